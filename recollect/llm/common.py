@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,27 +55,71 @@ def drop_staged(spark: SparkSession, *dfs: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
-def words(text: str | None, lower: bool = False) -> list[bytes]:
-    """Maximal runs of anything but the space and the five ASCII controls from tab to carriage return, as UTF-8."""
-    if not text:
-        return []
-    raw = text.encode("utf-8", "surrogatepass")
-    return (raw.lower() if lower else raw).split()  # bytes: both touch ASCII alone
-
-
-class WordHashes(dict):
-    """word -> 64-bit hash, kept while a task runs; emptied at `limit` words, so memory is bounded."""
-
-    limit = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), dtype=np.uint64, count=len(found))
+#: The space and the five ASCII controls from tab to carriage return.
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+_rng = np.random.Generator(np.random.PCG64(20240229))
+AS_IS = _rng.integers(1, 2**64, 256, np.uint64)
+LOWER = AS_IS.copy()
+LOWER[65:91] = AS_IS[97:123]
+BASE = 0x5851F42D4C957F2D
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE modulo 2**64 and their inverses, from exponent 0; kept by the worker for the largest n so far."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
+
+
+def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts and each text's bounds in them; null is empty."""
+    col = pc.fill_null(col.cast(pa.large_string()), "")
+    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = col.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.empty(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+class Words:
+    """Words of a batch of texts: maximal runs of bytes outside SPACE. `hashes` and byte bounds `start`, `end` of all words;
+    text i has words first[i] to first[i + 1]. A word's hash is a polynomial of random byte values modulo 2**64, mixed with
+    its length; with `lower`, A-Z count as a-z."""
+
+    def __init__(self, col: pa.Array, lower: bool = False):
+        self.data, self.offsets = text_buffer(col)
+        n = len(self.data)
+        space = SPACE[self.data]
+        edge = np.zeros(n + 1, bool)
+        edge[self.offsets] = True
+        edge[:n] |= space
+        inner = ~space
+        before = np.empty(n, bool)
+        if n:
+            before[0], before[1:] = True, space[:-1]
+        first_byte = np.zeros(n + 1, bool)
+        first_byte[self.offsets] = True
+        self.start = np.flatnonzero(inner & (before | first_byte[:n]))
+        self.end = np.flatnonzero(inner & edge[1:]) + 1
+        power, inverse = powers(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((LOWER if lower else AS_IS)[self.data] * power[:n], out=total[1:])
+        h = (total[self.end] - total[self.start]) * inverse[self.start]
+        self.hashes = finish(h + (self.end - self.start).astype(np.uint64) * MIX[0])
+        self.first = np.searchsorted(self.start, self.offsets)
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def of(self, i: int) -> np.ndarray:
+        return self.hashes[self.first[i] : self.first[i + 1]]
+
+    def count(self) -> np.ndarray:
+        return np.diff(self.first)
 
 
 def finish(h: np.ndarray) -> np.ndarray:
@@ -96,14 +140,29 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
-    """Distinct n-word shingles, ascending; with fewer words the whole sequence as one; none without words."""
-    return np.unique(gram_hashes(h, n if len(h) >= n else max(1, len(h))))
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Ascending, each value once."""
+    h = np.sort(h)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
+
+
+def shingle_sets(found: Words, n: int) -> list[np.ndarray]:
+    """Each text's distinct n-word shingles, ascending; with fewer words its whole sequence as one; none without words."""
+    grams, out = gram_hashes(found.hashes, n), []
+    for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True):
+        out.append(distinct(grams[a : b - n + 1]) if b - a >= n else gram_hashes(found.hashes[a:b], b - a) if b > a else grams[:0])
+    return out
 
 
-def chunks(batch: pa.RecordBatch, rows: int = 256):
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def chunks(batch: pa.RecordBatch, rows: int = 256, most: int = 4 << 20, text: int = 1):
+    """Slices of some rows and, as far as single rows allow, some bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        some = np.cumsum(sizes[at : at + rows])
+        n = max(1, int(np.searchsorted(some, most, "right")))
+        yield batch.slice(at, min(n, len(some)))
+        at += min(n, len(some))
 
 
 # Mergeable arrays of fixed size: each task fills one, packs it in blocks, and blocks are summed or or-ed.

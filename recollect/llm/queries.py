@@ -23,8 +23,22 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op2_sorted_table_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm import sst
+
+    return sst.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm import jaccard
+
+    return jaccard.linked_components(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_sorted_table_shards": op2_sorted_table_shards,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
