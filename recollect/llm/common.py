@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +181,7 @@ def pack_array(a: np.ndarray):
 def merge_arrays(df: DataFrame, dtype: str, how: str) -> np.ndarray:
     """Merges the tasks' arrays by block on the executors; the driver gets one array, whose size is a parameter, not the data's."""
 
-    def merge(key, batches):
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for data in batch.column(1):
