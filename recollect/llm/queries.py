@@ -47,12 +47,19 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.containment(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm import sharding
+
+    return sharding.placed(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sorted_table_shards": op2_sorted_table_shards,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_hilbert_sharding": op9_hilbert_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
