@@ -200,6 +200,31 @@ def merge_arrays(df: DataFrame, dtype: str, how: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(zlib.decompress(r["data"]), dtype) for r in sorted(rows, key=lambda r: r["block"])])
 
 
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, set at the top bits of the hashes (one long column)."""
+
+    def run(batches):
+        table = np.zeros((1 << bits) >> 3, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        if table.any():
+            yield pack_array(table)
+
+    table = merge_arrays(hashes.mapInArrow(run, SKETCH_SCHEMA), "uint8", "or")
+    return table if len(table) else np.zeros((1 << bits) >> 3, np.uint8)
+
+
+def bits_set(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    at = hashes >> np.uint64(64 - bits)
+    return table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+
+
+def beside(big: DataFrame, small: DataFrame, on, rows: int, most: int = 1 << 20, how: str = "inner") -> DataFrame:
+    """A join that broadcasts `small`, of which `rows` were counted, if these are `most` at most; else it shuffles."""
+    return big.join(F.broadcast(small) if rows <= most else small, on, how)
+
+
 def ids_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns an operator reads; other columns, whatever their names, stay out of its plans."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

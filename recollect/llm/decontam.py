@@ -37,10 +37,6 @@ def shingles(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
-def beside(big: DataFrame, small: DataFrame, on, rows: int, most: int, how: str = "inner") -> DataFrame:
-    return big.join(F.broadcast(small) if rows <= most else small, on, how)
-
-
 def containment(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = N, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pairs (doc_id, item_id, n_item, n_shared, containment): n_shared of the item's n_item distinct shingles are in the
     document. Null and empty texts have no shingles; items of fewer than `n` words match nothing, so that a common word or two
@@ -56,11 +52,11 @@ def containment(spark: SparkSession, docs: DataFrame, items: DataFrame, threshol
     signatures = common.staged(spark, hashes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= signed).select("item", "hash"), "signatures")
     texts = common.ids_and_text(docs)
     in_docs = exploded(texts.select("doc_id", split_words(F.col("text")).alias("words")), n, "doc_id")
-    found = beside(in_docs, signatures, "hash", signatures.count(), broadcast_rows).select("doc_id", "item").distinct()
+    found = common.beside(in_docs, signatures, "hash", signatures.count(), broadcast_rows).select("doc_id", "item").distinct()
     pairs = common.staged(spark, found, "leak-candidates")
     per_doc = common.staged(spark, pairs.groupBy("doc_id").agg(F.collect_set("item").alias("candidates")), "leak-documents")  # at most the items
     few = per_doc.withColumnRenamed("doc_id", "id")
-    here = beside(texts, few, F.col("doc_id").eqNullSafe(F.col("id")), per_doc.count(), broadcast_rows)
+    here = common.beside(texts, few, F.col("doc_id").eqNullSafe(F.col("id")), per_doc.count(), broadcast_rows)
     here = here.select("doc_id", shingles(split_words(F.col("text")), n).alias("doc_shingles"), F.explode("candidates").alias("item"))
     both = here.join(test.select("item", "item_id", "item_shingles", "n_item"), "item").withColumn("n_shared", F.size(F.array_intersect("doc_shingles", "item_shingles")))
     kept = both.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9)))

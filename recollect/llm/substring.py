@@ -69,21 +69,6 @@ def shared_anchors(docs: DataFrame, k: int, m: int) -> DataFrame:
     return ends.where("first < last").select("anchor")
 
 
-def bit_table(anchors: DataFrame, bits: int) -> np.ndarray:
-    """2**bits bits, set at the anchors' top bits."""
-
-    def run(batches):
-        table = np.zeros((1 << bits) >> 3, np.uint8)
-        for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-            np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        if table.any():
-            yield common.pack_array(table)
-
-    table = common.merge_arrays(anchors.mapInArrow(run, common.SKETCH_SCHEMA), "uint8", "or")
-    return table if len(table) else np.zeros((1 << bits) >> 3, np.uint8)
-
-
 def candidate_windows(docs: DataFrame, table, k: int, m: int, bits: int) -> DataFrame:
     """Windows whose anchor's bit is set."""
 
@@ -94,8 +79,7 @@ def candidate_windows(docs: DataFrame, table, k: int, m: int, bits: int) -> Data
                 found = common.Words(batch.column(1))
                 ids, hashes, owners, starts = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
                 for i, windows, anchors in _windows(found, k, m):
-                    at = anchors >> np.uint64(64 - bits)
-                    keep = np.flatnonzero(marked[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                    keep = np.flatnonzero(common.bits_set(marked, anchors, bits))
                     if len(keep):
                         hashes.append(windows[keep])
                         owners.append(np.full(len(keep), ids[i]))
@@ -110,7 +94,7 @@ def candidate_windows(docs: DataFrame, table, k: int, m: int, bits: int) -> Data
 def repeated_spans(spark: SparkSession, docs: DataFrame, k: int = WIDTH, m: int = ANCHOR, bits: int = TABLE_BITS) -> DataFrame:
     """Paths (doc_id, start, n_words, source, source_start) of windows that also start in a document with a smaller doc_id."""
     anchors = common.staged(spark, shared_anchors(docs, k, m), "anchors")
-    table = spark.sparkContext.broadcast(bit_table(anchors, bits))
+    table = spark.sparkContext.broadcast(common.bit_table(anchors, bits))
     common.drop_staged(spark, anchors)
     found = common.staged(spark, candidate_windows(docs, table, k, m, bits), "windows")
     edges = found.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("s"), F.max("doc_id").alias("last")).where("s.doc_id < last")
