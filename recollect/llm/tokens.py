@@ -16,14 +16,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space outside ASCII and the information separators, on which libraries differ.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: A space beside other white space: the byte-level pattern then looks over the cut.
-WIDE_SPACE = re.compile(r"\s[ \t\r\f\v]|[\t\r\f\v]|\n\n|\A\s|\s\Z| \n")
+#: White space of more than one character, or other than space and newline: the byte-level pattern then looks over the cut.
+WIDE_SPACE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\f", "\v", "\0")
 
 
 class Encoder:
     """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    limit = 400_000
+    limit = 1_200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -33,6 +33,7 @@ class Encoder:
         with open(path) as f:
             spec = json.load(f)
         self.cut = self.kind(spec)
+        self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.memo: dict[str, bytes] = {}
 
     @staticmethod
@@ -49,9 +50,9 @@ class Encoder:
         """A cut whose pieces encode alone as they do in the text; None if that isn't known."""
         if self.cut == "whole" or ODD_SPACE.search(text):
             return None
-        if self.cut == "dropped":
-            return text.split()
-        if WIDE_SPACE.search(text):
+        if self.cut == "dropped":  # A-Z first: it commutes with the normaliser's own steps
+            return (text.encode().lower().decode() if self.lower else text).split()
+        if text[:1].isspace() or text[-1:].isspace() or any(x in text for x in WIDE_SPACE):
             return None
         first, *rest = text.replace("\n", " \n").split(" ")
         return ["\0" + first, *rest]  # a first piece has no space before it
@@ -66,10 +67,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if self.cut == "spaced":
-            cut = [None if "\0" in t else self.pieces(t) for t in texts]
-        else:
-            cut = [self.pieces(t) for t in texts]
+        cut = [self.pieces(t) for t in texts]
         if len(self.memo) > self.limit:
             self.memo = {}
         memo = self.memo
