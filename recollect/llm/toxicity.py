@@ -12,7 +12,6 @@ bounded sample of labelled rows: a form is taken if its share of toxic documents
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm import common
 
-SAMPLE, THRESHOLD, FOLD = 12_000, 0.3, 2
+SAMPLE, THRESHOLD, FOLD = 6_000, 0.3, 2
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n\"“”„«»]")
 
@@ -133,47 +132,82 @@ class Grammar:
         return 1 / (1 + np.exp(-(self.weights[0] + features @ np.array(self.weights[1:]))))
 
 
-def forms(text: str) -> set[str]:
-    """Whole words (with a closing mark) and stems of 4 to 7 letters."""
-    out = set()
-    for w in set(re.findall(r"[^\W\d_]+", text.lower())):
+def forms(text: str) -> Counter[str]:
+    """How often each whole word (with a closing mark) and each stem of 4 to 7 letters occurs."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(re.findall(r"[^\W\d_]+", text.lower())).items():
         if len(w) > 2:
-            out.add(w + "$")
-        out.update(w[:k] for k in range(4, min(len(w), 8)))
+            out[w + "$"] += n
+        for k in range(4, min(len(w), 8)):
+            out[w[:k]] += n
     return out
 
 
+def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the columns of x, drawn towards `prior`."""
+    w = prior.copy() if start is None else start
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + np.diag(ridge), x.T @ (y - p) - ridge * (w - prior))
+        w = w + np.clip(step, -2, 2)
+        if abs(step).max() < 1e-7:
+            break
+    return w
+
+
+def lexicon(texts: list[str], y: np.ndarray) -> dict[str, int]:
+    """Forms and levels. Form by form, the one goes in that best explains what those before leave unexplained (a score test),
+    as long as that can't be chance given all forms tried. So a word that only comes along in copies of a toxic text stays out."""
+    rate = y.mean()
+    tried: Counter[str] = Counter()
+    for t, toxic in zip(texts, y, strict=True):
+        if toxic:
+            tried.update(forms(t).keys())
+    bar = math.log(100 * max(1, len(tried)))
+    names = sorted(f for f, n in tried.items() if n * math.log(1 / rate) > bar / 2)
+    number = {f: i for i, f in enumerate(names)}
+    del tried
+    doc, form, times = [], [], []
+    for i, t in enumerate(texts):
+        hits = [(number[f], n) for f, n in forms(t).items() if f in number]
+        doc.append(np.full(len(hits), i, np.int32))
+        form.append(np.array([f for f, _ in hits], np.int32))
+        times.append(np.minimum([n for _, n in hits], 3).astype(np.float32))
+    doc, form, times = np.concatenate(doc), np.concatenate(form).astype(np.int64), np.concatenate(times).astype(np.float64)
+    m = len(names)
+    a, n = np.bincount(form, y[doc], m), np.bincount(form, minlength=m)
+    odds = (a + 0.5) / (n - a + 0.5) * (1 - rate) / rate
+    length = np.array([len(f) + 10 * f.endswith("$") for f in names])
+    free, total, chosen = odds > 1.5, np.zeros(len(texts)), {}
+    while free.any() and len(chosen) < 80:
+        x = np.column_stack([np.ones(len(texts)), np.log1p(total)])
+        w = logistic(x, y, np.zeros(2), np.array([1e-3, 1e-2]))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g, h = np.bincount(form, (y - p)[doc] * times, m), np.bincount(form, (p * (1 - p))[doc] * times**2, m) + 0.25
+        gain = np.where(free & (g > 0), g * g / h / 2, 0)
+        best = max(np.flatnonzero(gain > gain.max() * 0.999), key=lambda i: (length[i], -i))  # of those that match alike, the longest
+        if gain[best] <= bar:
+            break
+        stem = names[best].rstrip("$")
+        chosen[names[best]] = level = max(1, min(LEVELS, round(math.log(odds[best]))))
+        mine = form == best
+        total += np.bincount(doc[mine], times[mine] * level / 4, len(texts))
+        free &= np.array([not (f.startswith(stem) or stem.startswith(f.rstrip("$"))) for f in names])
+    return chosen
+
+
 def learn(texts: list[str], labels: list[int]) -> Grammar:
-    """Lexicon and weights from a sample. Without both labels in it the fixed grammar stays."""
-    grammar, toxic = Grammar(), sum(labels)
-    if not 0 < toxic < len(labels):
+    """Lexicon and weights from a sample; equal texts count once. Without both labels in it the fixed grammar stays."""
+    once = dict(zip(texts, labels, strict=True))
+    texts, y = list(once), np.array(list(once.values()), float)
+    grammar = Grammar()
+    if not len(y) or y.min() == y.max():
         return grammar
-    rate = toxic / len(labels)
-    pos: Counter[str] = Counter(itertools.chain.from_iterable(forms(t) for t, y in zip(texts, labels, strict=True) if y))
-    tried = len(pos)
-    bar = math.log(100 * tried)
-    pos = Counter({f: n for f, n in pos.items() if n * math.log(1 / rate) > bar})
-    neg: Counter[str] = Counter()
-    for t, y in zip(texts, labels, strict=True):
-        if not y:
-            neg.update(forms(t) & pos.keys())
-    for f, a in pos.items():
-        p = a / (a + neg[f])
-        gain = (a + neg[f]) * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0))
-        if p > max(0.7, 2 * rate) and gain > bar:  # a binomial tail bound
-            level = max(1, min(LEVELS, round(math.log((a + 0.5) / (neg[f] + 0.5)) + 1)))
-            (grammar.words if f.endswith("$") else grammar.stems)[f.rstrip("$")] = level
+    for f, level in lexicon(texts, y).items():
+        (grammar.words if f.endswith("$") else grammar.stems)[f.rstrip("$")] = level
     x = np.hstack([np.ones((len(texts), 1)), grammar.features(texts, {})])
-    y, w = np.array(labels, float), np.zeros(1 + len(READINGS))
     prior = np.array(Grammar().weights)
-    keep = np.diag([1e-3] + [1.0] * len(READINGS))  # ridge towards the fixed weights
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + keep, x.T @ (y - p) - keep @ (w - prior))
-        w = w + np.clip(step, -2, 2)
-        if abs(step).max() < 1e-8:
-            break
-    grammar.weights = w.tolist()
+    grammar.weights = logistic(x, y, prior, np.array([1e-3] + [1.0] * len(READINGS))).tolist()
     return grammar
 
 
