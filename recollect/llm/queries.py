@@ -71,6 +71,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm import html
+
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sorted_table_shards": op2_sorted_table_shards,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_html_extraction": op7_html_extraction,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_hilbert_sharding": op9_hilbert_sharding,
     "op10_quality_rules": op10_quality_rules,
