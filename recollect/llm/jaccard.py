@@ -5,10 +5,10 @@
 2. All n-grams are counted in a table of 2**20 counters. Sorting a set by (counter, hash) is the same total order everywhere
    and puts frequent n-grams last; any such order is exact, counters only make it cheap. Their size doesn't grow with the data.
 3. Of a set of n only the prefix takes part: with similarity t two sets share one of the first n - ceil(t n) + 1 n-grams, and
-   the smaller set one of its first n - ceil(2t / (1 + t) n) + 1. Prefixes meet in an equi join on the n-gram, under these conditions:
-   length (t times the larger is at most the smaller), position (enough n-grams are left after this one) and suffix (128
-   parities of the whole sets differ in at most as many places as the sets may). A pair comes from its first shared n-gram: rows
-   that share one of the two n-grams before are left out.
+   the smaller set one of its first n - ceil(2t / (1 + t) n) + 1. N-grams in the prefix of one class alone are sieved out by a bit
+   table of fixed size. The others meet in an equi join under these conditions: length (t times the larger is at most the
+   smaller), position (enough n-grams are left after this one) and suffix (512 parities of the whole sets differ in at most as
+   many places as the sets may). A pair comes from its first shared n-gram: rows that share one of the two before are left out.
 4. Each pair is verified once on the whole sets.
 """
 
@@ -24,7 +24,11 @@ from recollect.llm import common, graph
 
 COUNTERS = 1 << 20
 SETS = "doc_id long, n long, k1 long, k2 long, block int, data binary"
-PREFIXES = "doc_id long, n long, q1 long, q2 long, grams array<bigint>"
+PARITIES = 512
+PREFIXES = "doc_id long, n int, parity binary, grams array<bigint>"
+WORDS_OF = [f"q{i}" for i in range(PARITIES // 64)]
+POSTS = "doc_id long, n int, pos int, h long, v1 long, v2 long, " + ", ".join(f"{q} long" for q in WORDS_OF)
+TABLE_BITS = 27
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -72,27 +76,42 @@ def prefixes(docs: DataFrame, n: int, counters, num: int, den: int) -> DataFrame
                     if len(s) < least or doc is None:
                         continue
                     order = np.argsort(table[_slot(s)], kind="stable")[: len(s) - -(-num * len(s) // den) + 1]
-                    parity = (np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)
-                    q1, q2 = np.packbits(parity).view(np.int64).tolist()
-                    rows.append((doc, len(s), q1, q2, s[order].view(np.int64)))
+                    parity = (np.bincount((s & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)
+                    rows.append((doc, len(s), np.packbits(parity).tobytes(), s[order].view(np.int64)))
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cols[4])]), pa.int32()), pa.array(np.concatenate(cols[4])))
-                    yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols[:4]), grams], names=["doc_id", "n", "q1", "q2", "grams"])
+                    grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cols[3])]), pa.int32()), pa.array(np.concatenate(cols[3])))
+                    yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), grams], names=["doc_id", "n", "parity", "grams"])
 
     return common.ids_and_text(docs).mapInArrow(run, PREFIXES)
 
 
-def candidates(prefix: DataFrame, num: int, den: int) -> DataFrame:
+def shared_posts(spark: SparkSession, prefix: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
+    """A row for each n-gram of a prefix that another prefix may have: its place, the two n-grams before, size and parities."""
+    shared = prefix.select(F.explode("grams").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    marked = spark.sparkContext.broadcast(common.bit_table(shared, bits))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                lists = batch.column(3)
+                sizes = np.diff(lists.offsets.to_numpy())
+                h = lists.flatten().to_numpy()
+                first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+                pos = np.arange(len(h)) - first
+                keep = np.flatnonzero(common.bits_set(marked.value, h.view(np.uint64), bits))
+                row = np.repeat(np.arange(len(sizes)), sizes)[keep]
+                before = [pa.array(h[np.maximum(keep - k, 0)], mask=pos[keep] < k) for k in (1, 2)]
+                parity = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64).reshape(-1, len(WORDS_OF))[row]
+                cols = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(pos[keep].astype(np.int32)), pa.array(h[keep]), *before]
+                yield pa.record_batch([*cols, *(pa.array(np.ascontiguousarray(parity[:, k])) for k in range(len(WORDS_OF)))], names=["doc_id", "n", "pos", "h", "v1", "v2", *WORDS_OF])
+
+    return prefix.mapInArrow(run, POSTS)
+
+
+def candidates(posts: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of class representatives that pass all filters, a the smaller set."""
-    one = F.array_repeat(F.lit(None).cast("long"), 1)
-    before = lambda c: F.concat(one, F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))))
-    posts = (
-        prefix.withColumn("v1", before(F.col("grams")))
-        .withColumn("v2", before(F.col("v1")))
-        .select("doc_id", "n", "q1", "q2", F.posexplode(F.arrays_zip("grams", "v1", "v2")).alias("pos", "g"))
-        .select("doc_id", "n", "q1", "q2", "pos", F.col("g.grams").alias("h"), "g.v1", "g.v2")
-    )
     a, b = posts.alias("a"), posts.alias("b")
     need = f"({num} * (a.n + b.n) + {num + den - 1}) DIV {num + den}"  # the least intersection
     tests = [
@@ -101,36 +120,59 @@ def candidates(prefix: DataFrame, num: int, den: int) -> DataFrame:
         f"{den} * a.n >= {num} * b.n",
         f"a.pos <= a.n - ({2 * num} * a.n + {num + den - 1}) DIV {num + den}",
         f"1 + least(a.n - a.pos, b.n - b.pos) - 1 >= {need}",
-        f"bit_count(a.q1 ^ b.q1) + bit_count(a.q2 ^ b.q2) <= a.n + b.n - 2 * ({need})",
+        " + ".join(f"bit_count(a.{q} ^ b.{q})" for q in WORDS_OF) + f" <= a.n + b.n - 2 * ({need})",
         "NOT (coalesce(a.v1 = b.v1, false) OR coalesce(a.v1 = b.v2, false) OR coalesce(a.v2 = b.v1, false) OR coalesce(a.v2 = b.v2, false))",
     ]
     return a.join(b, F.expr(" AND ".join(tests))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
 
-def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose whole sets are similar enough."""
+def pack_set(s: np.ndarray) -> bytes:
+    """A set's hashes in 48 bits each."""
+    return np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, share: int = 256) -> DataFrame:
+    """Those of `pairs` (a, b) whose whole sets are similar enough. The set of b travels with the pair; the set of a is sent once
+    to each task that holds its pairs, in shares of about `share`, so a set with many partners is spread over tasks."""
 
     def sets(batches):
         for whole in batches:
             for batch in common.chunks(whole):
                 found = common.shingle_sets(common.Words(batch.column(1), lower=True), n)
-                yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "grams"])
+                yield pa.record_batch([batch.column(0), pa.array([pack_set(s) for s in found], pa.binary())], names=["doc_id", "grams"])
 
     def check(batches):
+        now, x = None, np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(p) + len(q) - len(common.distinct(np.concatenate((p, q))))
-                keep.append(den * both >= num * (len(p) + len(q) - both))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = common.ids_and_text(docs).join(ids, "doc_id", "left_semi")
-    stored = common.staged(spark, texts.mapInArrow(sets, "doc_id long, grams binary").dropDuplicates(["doc_id"]), "sets")
-    both = pairs.join(stored.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(stored.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-    out = common.staged(spark, both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
-    common.drop_staged(spark, stored)
+            for a, b, grams in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                y = unpack_set(grams.as_py())
+                if b is None:
+                    now, x = a, y
+                    keep.append(False)
+                    continue
+                assert a == now
+                both = len(x) + len(y) - len(common.distinct(np.concatenate((x, y))))
+                keep.append(den * both >= num * (len(x) + len(y) - both))
+            yield pa.record_batch([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ids = common.staged(spark, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+    texts = common.beside(common.ids_and_text(docs), ids, "doc_id", ids.count(), how="left_semi")
+    stored = common.staged(spark, texts.mapInArrow(sets, "doc_id long, grams binary"), "sets")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("shares"))
+    heads = stored.withColumnRenamed("doc_id", "of").join(shares.withColumnRenamed("a", "of"), "of")
+    heads = heads.select(F.col("of").alias("a"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "grams")
+    dealt = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).select("a", "share", "b")
+    rows = dealt.join(stored.withColumnRenamed("doc_id", "b"), "b").select("a", "share", "b", "grams")
+    out = heads.union(rows).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long")
+    out = common.staged(spark, out.distinct(), "links")
+    common.drop_staged(spark, stored, ids)
     return out
 
 
@@ -146,7 +188,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 3, num: int = 90
     classes = common.staged(spark, rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     prefix = common.staged(spark, prefixes(docs, n, counters, num, den).join(reps, "doc_id", "left_semi"), "prefixes")
-    pairs = common.staged(spark, candidates(prefix, num, den), "pairs")
+    pairs = common.staged(spark, candidates(shared_posts(spark, prefix), num, den), "pairs")
     common.drop_staged(spark, prefix)
     links = verified(spark, docs, pairs, n, num, den)
     common.drop_staged(spark, pairs)
@@ -160,10 +202,19 @@ def linked_components(spark: SparkSession, docs: DataFrame, n: int = 3, num: int
     n_links (other documents it links with)."""
     members, links = jaccard_join(spark, docs, n, num, den)
     parts = common.staged(spark, graph.components(spark, links), "components")
-    sizes = members.where("n_shingles > 0").select("rep", "copies").distinct()
-    ends = links.union(links.select("b", "a"))
-    degree = ends.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+    sizes = members.where("n_shingles > 0").select(F.col("rep").alias("partner"), F.col("copies").alias("size")).distinct()
+    to_b = links.select("a", F.col("b").alias("partner")).join(sizes, "partner").select(F.col("a").alias("rep"), "size")
+    lower = sizes.withColumnRenamed("partner", "partner_a")
+    to_a = links.select("b", F.col("a").alias("partner_a")).join(lower, "partner_a").select(F.col("b").alias("rep"), "size")
+    degree = to_b.groupBy("rep").agg(F.sum("size").alias("n")).union(to_a.groupBy("rep").agg(F.sum("size").alias("n"))).groupBy("rep").agg(F.sum("n").alias("others"))
     more = common.staged(spark, degree.join(parts.withColumnRenamed("node", "rep"), "rep", "full_outer"), "link-facts")
     out = members.join(more, "rep", "left")
     links_of = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id"), links_of.cast("long").alias("n_links"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """`docs`, all columns, without those that reach a smaller doc_id by links; rows with null doc_id stay."""
+    found = linked_components(spark, docs, n, num, den)
+    gone = common.staged(spark, found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
+    return common.beside(docs, gone, F.col("doc_id") == F.col("gone"), gone.count(), how="left_anti")

@@ -1,17 +1,19 @@
 """Removal of repeated word windows: a De Bruijn graph of word k-mers, compacted through Spark joins.
 
-Edges of the graph are windows of k words. A text has about as many of them as words, and nearly all occur once, so they are
-found in two steps. Each window has an anchor: the least hash among its runs of m words. Equal windows have equal anchors, and
-neighbouring windows mostly share theirs, so a text has far fewer anchors than windows.
+Edges of the graph are windows of k words. A text has about as many of them as words, so they are compacted before they are
+joined. Each window has an anchor: the least hash among its runs of m words. Equal windows have equal anchors, and neighbours
+mostly share theirs; a maximal run of windows with one anchor is a nonbranching path of up to k - m + 1 edges, named by its words.
 
 1. Anchors are grouped; those in one document alone cannot lie in a window of another. The rest go into a bit table of fixed
-   size, which only spares work: a window passes if its anchor's bit is set, and false passes do no harm.
-2. Windows that pass are the candidate edges. Grouping them by their hash gives each edge its source, the least (doc_id,
-   start); edges with one document are unique and go.
-3. Compaction: occurrences join their edge. Along a document, windows whose sources follow each other in one source document
-   are a nonbranching path and become a single span (start, words, source, source start). Only spans leave this step.
-4. Source coordinates verify the spans: the words of a span and of its source, cut out of both texts, have to be equal.
-5. Spans are joined to their texts and the words that they cover are dropped.
+   size, which only spares work: what passes it wrongly is sorted out later.
+2. Paths whose anchor passes are grouped by name: the least (doc_id, start) is a path's source. Occurrences join their path; in a
+   document that isn't the source's, the whole path is repeated.
+3. Where one anchor has several paths, they branch: single windows may be shared though the paths are not. Those windows
+   alone are taken one by one, and grouped and joined in the same way.
+4. Along a document, repeated pieces whose sources follow each other in one source document become a single span (start, words,
+   source, source start).
+5. Source coordinates verify the spans: the words of a span and of its source, cut out of both texts, have to be equal.
+6. Spans are joined to their texts and the words that they cover are dropped.
 """
 
 from __future__ import annotations
@@ -69,79 +71,142 @@ def shared_anchors(docs: DataFrame, k: int, m: int) -> DataFrame:
     return ends.where("first < last").select("anchor")
 
 
-def candidate_windows(docs: DataFrame, table, k: int, m: int, bits: int) -> DataFrame:
-    """Windows whose anchor's bit is set."""
+def paths(windows: np.ndarray, anchors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, number of windows, name) of the runs of equal anchors in a text; a longer run is cut after `most` windows."""
+    run = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
+    inside = np.arange(len(anchors)) - np.repeat(run, np.diff(np.append(run, len(anchors))))
+    start = np.flatnonzero(inside % most == 0)
+    n = np.diff(np.append(start, len(anchors)))
+    name = common.finish(common.finish(windows[start] * common.MIX[1] + n.astype(np.uint64)) + windows[start + n - 1] * common.MIX[2])
+    return start, n, name
+
+
+def marked_pieces(docs: DataFrame, table, k: int, m: int, bits: int, single: bool) -> DataFrame:
+    """Paths, or with `single` windows, whose anchor's bit is set: name, anchor, doc_id, start, n (windows)."""
 
     def run(batches):
         marked = table.value
         for whole in batches:
             for batch in common.chunks(whole):
                 found = common.Words(batch.column(1))
-                ids, hashes, owners, starts = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
+                ids, cols = batch.column(0).to_numpy(zero_copy_only=False), []
                 for i, windows, anchors in _windows(found, k, m):
-                    keep = np.flatnonzero(common.bits_set(marked, anchors, bits))
+                    if single:
+                        start, n, name = np.arange(len(windows)), np.ones(len(windows), np.int64), windows
+                    else:
+                        start, n, name = paths(windows, anchors, k - m + 1)
+                    keep = np.flatnonzero(common.bits_set(marked, anchors[start], bits))
                     if len(keep):
-                        hashes.append(windows[keep])
-                        owners.append(np.full(len(keep), ids[i]))
-                        starts.append(keep)
-                if hashes:
-                    cols = (np.concatenate(hashes).view(np.int64), np.concatenate(owners).astype(np.int64), np.concatenate(starts).astype(np.int32))
-                    yield pa.record_batch([pa.array(c) for c in cols], names=["window", "doc_id", "start"])
+                        cols.append((name[keep].view(np.int64), anchors[start][keep].view(np.int64), np.full(len(keep), ids[i], np.int64), start[keep].astype(np.int32), n[keep].astype(np.int32)))
+                if cols:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names=["name", "anchor", "doc_id", "start", "n"])
+
+    return common.ids_and_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, "name long, anchor long, doc_id long, start int, n int")
+
+
+def sources(pieces: DataFrame) -> DataFrame:
+    """Per name its anchor and the least (doc_id, start), as one number, so that it is aggregated by hash."""
+    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("start")
+    return pieces.groupBy("name").agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.min("anchor").alias("anchor"))
 
-    return common.ids_and_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, "window long, doc_id long, start int")
+
+def repeats(pieces: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Occurrences outside the source's document: doc_id, start, n, source, at."""
+    named = firsts.select("name", F.expr("CAST(floor(place / CAST(4294967296 AS DECIMAL(10,0))) AS BIGINT)").alias("source"), F.col("place"))
+    named = named.select("name", "source", F.expr("CAST(place - CAST(source AS DECIMAL(20,0)) * CAST(4294967296 AS DECIMAL(10,0)) AS INT)").alias("at"))
+    return pieces.select("name", "doc_id", "start", "n").join(named, "name").where("doc_id > source").select("doc_id", "start", "n", "source", "at")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, k: int = WIDTH, m: int = ANCHOR, bits: int = TABLE_BITS) -> DataFrame:
-    """Paths (doc_id, start, n_words, source, source_start) of windows that also start in a document with a smaller doc_id."""
+    """Spans (doc_id, start, n_words, source, source_start) of windows that also start in a document with a smaller doc_id."""
     anchors = common.staged(spark, shared_anchors(docs, k, m), "anchors")
     table = spark.sparkContext.broadcast(common.bit_table(anchors, bits))
     common.drop_staged(spark, anchors)
-    found = common.staged(spark, candidate_windows(docs, table, k, m, bits), "windows")
-    edges = found.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("s"), F.max("doc_id").alias("last")).where("s.doc_id < last")
-    edges = edges.select("window", F.col("s.doc_id").alias("source"), F.col("s.start").alias("at"))
-    seen = found.join(edges, "window").where("doc_id > source").select("doc_id", "start", "source", "at")
-    along = Window.partitionBy("doc_id").orderBy("start")
-    fresh = (F.col("start") != F.lag("start").over(along) + 1) | (F.col("source") != F.lag("source").over(along)) | (F.col("at") != F.lag("at").over(along) + 1)
-    paths = seen.withColumn(  # repeated rows only break paths: what these cover stays the same
-        "path", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(along)
-    )
-    spans = paths.groupBy("doc_id", "path", "source").agg(F.min("start").alias("start"), (F.count("*") + k - 1).cast("int").alias("n_words"), F.min("at").alias("source_start"))
+    runs = common.staged(spark, marked_pieces(docs, table, k, m, bits, single=False), "paths")
+    firsts = common.staged(spark, sources(runs), "path-sources")
+    branching = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    forks = spark.sparkContext.broadcast(common.bit_table(branching, bits))
+    whole = common.staged(spark, repeats(runs, firsts), "repeated-paths")
+    common.drop_staged(spark, runs, firsts)
+    windows = common.staged(spark, marked_pieces(docs, forks, k, m, bits, single=True).drop("anchor").withColumn("anchor", F.lit(0).cast("long")), "windows")
+    single = common.staged(spark, repeats(windows, sources(windows)), "repeated-windows")
+    common.drop_staged(spark, windows)
+    along = Window.partitionBy("doc_id").orderBy("start", "n")
+    reach = F.lag(F.col("start") + F.col("n")).over(along)
+    ahead = F.lag(F.col("at") + F.col("n")).over(along)
+    fresh = (F.col("start") != reach) | (F.col("source") != F.lag("source").over(along)) | (F.col("at") != ahead)  # overlaps only cut spans
+    cut = whole.union(single).withColumn("span", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = cut.groupBy("doc_id", "span", "source").agg(F.min("start").alias("start"), (F.sum("n") + k - 1).cast("int").alias("n_words"), F.min("at").alias("source_start"))
     out = common.staged(spark, spans.select("doc_id", "start", "n_words", "source", "source_start"), "spans")
-    common.drop_staged(spark, found)
+    common.drop_staged(spark, whole, single)
     return out
 
 
-def removed(spark: SparkSession, docs: DataFrame, spans: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Every document with its words, those that `spans` cover, and the digest (or with `keep_text` the text) of the others,
-    joined by one space. A document without spans keeps its own text in that column where `keep_text` is set."""
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))  # at most a document's words
-    schema = OUT if not keep_text else "doc_id long, n_words long, n_removed long, kept_text string"
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """`docs` with a last column of their spans, at most a document's words."""
+    per_doc = spans.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_list(F.struct("start", "n_words")).alias("_spans"))
+    return docs.join(per_doc, F.col("doc_id") == F.col("_span_doc"), "left").drop("_span_doc")
+
+
+def uncovered(found: common.Words, i: int, spans: list[dict] | None) -> np.ndarray:
+    """Numbers of the words of text i in no span."""
+    a, n = int(found.first[i]), int(found.first[i + 1] - found.first[i])
+    if not spans:
+        return np.arange(a, a + n)
+    cover = np.zeros(n + 1, np.int32)
+    for s in spans:
+        cover[s["start"]] += 1
+        cover[s["start"] + s["n_words"]] -= 1
+    return np.flatnonzero(np.cumsum(cover[:-1]) == 0) + a
+
+
+def joined(found: common.Words, kept: np.ndarray) -> bytes:
+    data = found.data
+    return b" ".join([data[x:y].tobytes() for x, y in zip(found.start[kept].tolist(), found.end[kept].tolist(), strict=True)])
+
+
+def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Per document its words, those that `spans` cover, and the digest of the others, joined by one space."""
 
     def run(batches):
         for whole in batches:
             for batch in common.chunks(whole):
                 found = common.Words(batch.column(1))
                 counts, gone, out = found.count(), [], []
-                spans_of = batch.column(2)
                 for i in range(len(found)):
-                    a, n = int(found.first[i]), int(counts[i])
-                    cover = np.zeros(n + 1, np.int32)
-                    own = spans_of[i].as_py()
-                    for s in own or ():
-                        cover[s["start"]] += 1
-                        cover[s["start"] + s["n_words"]] -= 1
-                    stay = np.flatnonzero(np.cumsum(cover[:-1]) == 0) + a
-                    gone.append(n - len(stay))
-                    if keep_text and not own:
-                        out.append(batch.column(1)[i].as_py())
-                        continue
-                    raw = found.data
-                    text = b" ".join([raw[x:y].tobytes() for x, y in zip(found.start[stay].tolist(), found.end[stay].tolist(), strict=True)])
-                    out.append(text.decode() if keep_text else hashlib.sha256(text).hexdigest())
-                names = ["doc_id", "n_words", "n_removed", schema.split()[-2]]
-                yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=names)
-
-    return common.ids_and_text(docs).join(per_doc, "doc_id", "left").mapInArrow(run, schema)
+                    kept = uncovered(found, i, batch.column(2)[i].as_py())
+                    gone.append(int(counts[i]) - len(kept))
+                    out.append(hashlib.sha256(joined(found, kept)).hexdigest())
+                yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return with_spans(common.ids_and_text(docs), spans).mapInArrow(run, OUT)
+
+
+def rewritten(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """`docs` with all columns; a text with spans becomes its other words, joined by one space (n_chars follows, where there
+    is one), others stay as they are."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches):
+        for whole in batches:
+            for batch in common.chunks(whole, text=at):
+                found, texts = common.Words(batch.column(at)), batch.column(at).to_pylist()
+                hit = []
+                for i, spans_of in enumerate(batch.column(len(names)).to_pylist()):
+                    if spans_of:
+                        hit.append(i)
+                        texts[i] = joined(found, uncovered(found, i, spans_of)).decode()
+                cols = list(batch.columns[: len(names)])
+                cols[at] = pa.array(texts, pa.string())
+                if hit and "n_chars" in names:
+                    sizes = cols[names.index("n_chars")].to_pylist()
+                    for i in hit:
+                        sizes[i] = len(texts[i])
+                    cols[names.index("n_chars")] = pa.array(sizes, cols[names.index("n_chars")].type)
+                yield pa.record_batch(cols, names=names)
+
+    return with_spans(docs, spans).mapInArrow(run, docs.schema)
 
 
 def span_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -186,8 +251,13 @@ def verify(spark: SparkSession, docs: DataFrame, spans: DataFrame) -> DataFrame:
     return out
 
 
-def dedup(spark: SparkSession, docs: DataFrame, k: int = WIDTH, keep_text: bool = False) -> DataFrame:
-    """Per document: n_words, n_removed, kept_sha256 (or kept_text). Words are as in common.Words, unchanged. Null and empty
-    texts have no words; rows with null doc_id keep all their words and are no one's source; repeated rows, which share a
-    doc_id, are no smaller than each other."""
-    return removed(spark, docs, verify(spark, docs, repeated_spans(spark, docs, k)), keep_text)
+def dedup(spark: SparkSession, docs: DataFrame, k: int = WIDTH) -> DataFrame:
+    """Per document: n_words, n_removed, kept_sha256. Words are as in common.Words, unchanged. Null and empty texts have no
+    words; rows with null doc_id keep all their words and are no one's source; repeated rows, which share a doc_id, are no
+    smaller than each other."""
+    return digests(docs, verify(spark, docs, repeated_spans(spark, docs, k)))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, k: int = WIDTH) -> DataFrame:
+    """`docs` with all columns and shortened texts, under the rules of dedup()."""
+    return rewritten(docs, verify(spark, docs, repeated_spans(spark, docs, k)))

@@ -8,14 +8,14 @@ import pytest
 from recollect.llm import packing, tokens
 from recollect.llm.queries import tokenizer
 
-TEXTS = ["Hello  world", "it's ok\n\nthen\tgo ", None, "", "a b  c", " lead", "été naïve ÉTÉ", "x" * 300, "don't!!! stop... 12345 ́x", "line one\nline two", "a\x1cb  c", "日本語 テキスト", "ΟΔΟΣ Σ"]
+TEXTS = ["Hello  world", "it's ok\n\nthen\tgo ", None, "", "a b  c", " lead", "été naïve ÉTÉ", "x" * 300, "don't!!! stop... 12345 ́x", "line one\nline two", "a\x1cb  c", "日本語 テキスト", "ΟΔΟΣ Σ", "İstanbul K \ufb01", "e\u0301a  \u0301x", "\0zero \0", "a\nb\n", "<|endoftext|> x"]
 DOCS = "doc_id long, text string, start string, length string"
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_memo_equals_library(name):
     enc = tokens.Encoder(tokenizer(name))
-    texts = [t or "" for t in TEXTS]
+    texts = [t or "" for t in TEXTS] * 2 + ["some more words and words", "Words, and some!"]
     assert enc.ids(texts) == [array("I", enc.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
 
 

@@ -11,8 +11,8 @@ def test_round_trip_and_lookup(spark, tmp_path):
     path = tokenizer("byte_bpe_50k.json")
     rows = [(i * 7 - 50, f"text {i} with a few words\nand lines " * (i % 9), i) for i in range(400)] + [(5, None, 1), (5, "", 1), (None, "no id", 0), (3, "same", 0), (3, "same", 0)]
     docs = spark.createDataFrame(rows, DOCS)
-    manifest = sst.write(spark, docs, path, f"file://{tmp_path}/t", shard_bytes=20_000)
-    assert manifest.count() > 4
+    manifest = sst.write(spark, docs, path, f"file://{tmp_path}/t", shard_bytes=8_000, block_bytes=1_000)
+    assert manifest.count() >= 4
     library = tokens.Encoder(path).tokenizer
     ids = lambda t: array("I", library.encode(t or "", add_special_tokens=False).ids + [0]).tobytes()
     got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in sst.read(spark, manifest).collect()))

@@ -49,6 +49,14 @@ def test_equals_brute_force(spark):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute(rows)
 
 
+def test_texts_and_other_columns(spark):
+    p = " ".join(f"p{i}" for i in range(15))
+    rows = [(1, f"x {p}\ny", 9, "a"), (2, f"{p}  tail é", 9, "b"), (3, "keeps   its\tspace", 9, None), (4, None, None, "c"), (None, p, 9, "d")]
+    got = substring.without_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _start string")).collect()
+    want = [rows[0], (2, "tail é", 6, "b"), *rows[2:]]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_anchors():
     grams = np.random.default_rng(1).integers(0, 99, 50).astype(np.uint64)
     assert substring.window_anchors(grams, 9).tolist() == [min(grams[i : i + 9]) for i in range(42)]
