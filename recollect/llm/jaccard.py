@@ -218,3 +218,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80,
     found = linked_components(spark, docs, n, num, den)
     gone = common.staged(spark, found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
     return common.beside(docs, gone, F.col("doc_id") == F.col("gone"), gone.count(), how="left_anti")
+
+
+def oracle(n: int = 3, num: int = 90, den: int = 100) -> str:
+    """DuckDB SQL of linked_components() over documents, from all pairs that share a shingle."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"list_filter(regexp_split_to_array({low}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    cut = f"CASE WHEN len(w) >= {n} THEN list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+    return f"""WITH RECURSIVE sets AS (SELECT doc_id, list_sort({cut}) AS s FROM (SELECT doc_id, {words} AS w FROM documents)),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))),
+reach(x, y) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, (SELECT min(y) FROM reach r WHERE r.x = s.doc_id) AS component_id,
+  CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY s.s) END AS class_id, (SELECT count(*) FROM links l WHERE l.x = s.doc_id) AS n_links FROM sets s"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import decontam
+from recollect.llm import decontam, jaccard, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +32,10 @@ def op2_sorted_table_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from recollect.llm import jaccard
-
     return jaccard.linked_components(spark, table(spark, sf_dir, "documents"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from recollect.llm import substring
-
     return substring.dedup(spark, table(spark, sf_dir, "documents"))
 
 
@@ -91,5 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": jaccard.oracle(),
     "op6_benchmark_decontamination": decontam.oracle(),
+    "op8_substring_dedup": substring.oracle(),
 }

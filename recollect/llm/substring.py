@@ -261,3 +261,16 @@ def dedup(spark: SparkSession, docs: DataFrame, k: int = WIDTH) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, k: int = WIDTH) -> DataFrame:
     """`docs` with all columns and shortened texts, under the rules of dedup()."""
     return rewritten(docs, verify(spark, docs, repeated_spans(spark, docs, k)))
+
+
+def oracle(k: int = WIDTH) -> str:
+    """DuckDB SQL of dedup() over documents, from all windows as text."""
+    words = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    return f"""WITH t AS (SELECT doc_id, {words} AS w FROM documents),
+places AS (SELECT doc_id, unnest(range(1, len(w) - {k - 2})) AS i, w FROM t WHERE len(w) >= {k}),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {k - 1}], ' ') AS s FROM places),
+firsts AS (SELECT s, min(doc_id) AS f FROM windows GROUP BY s),
+covered AS (SELECT DISTINCT doc_id, i + unnest(range(0, {k})) AS i FROM windows JOIN firsts USING (s) WHERE f < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t),
+kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.i) AS s FROM each e ANTI JOIN covered c ON e.doc_id = c.doc_id AND e.i = c.i GROUP BY e.doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)"""
