@@ -5,7 +5,7 @@ Shard file: data blocks, Bloom filter, block index, footer. All integers are lit
 * Key: the identifier as 8 big-endian bytes with the sign bit flipped, so byte order is number order; empty for null.
 * Block: entries in key order, then the offsets of its restart points (4 bytes each), their number (4), crc32 of all that (4).
   Entry: varints shared, unshared, value length; then the key's unshared end and the value. `shared` bytes are those of the
-  entry before; at a restart point (every 16th entry) it is 0.
+  entry before; at a restart point (every 16th entry) it is 0. Value: bytes an id (1 byte, 2 or 4), then the ids.
 * Bloom filter: number of probes (1 byte), then the bits; 10 bits a key.
 * Index: per block its last key's length (1 byte), the last key, offset (8) and length (8).
 * Footer, 68 bytes: offset and length of filter and index (8 each), entries (8), tokens (8), blocks (8), crc32 of filter and
@@ -74,10 +74,21 @@ def probes(key: bytes, bits: int, n: int) -> list[int]:
     return [(h + i * step) % bits for i in range(n)]
 
 
+def pack_ids(ids: bytes) -> bytes:
+    """32-bit ids as a value: in 16 bits each where all fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return b"\x02" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\x04" + ids
+
+
+def unpack_ids(value: bytes) -> bytes:
+    return value[1:] if value[0] == 4 else np.frombuffer(value, "<u2", offset=1).astype("<u4").tobytes()
+
+
 class Writer:
     """Writes one shard; add() keys in order, then close()."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, block_bytes: int = BLOCK_BYTES):
+        self.block_bytes = block_bytes
         self.fs, self.path = fs.FileSystem.from_uri(path)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out = self.fs.open_output_stream(self.path + ".tmp")
@@ -88,9 +99,10 @@ class Writer:
         self._fresh()
 
     def _fresh(self) -> None:
-        self.block, self.restarts, self.in_block, self.last = bytearray(), [], 0, self.last
+        self.block, self.restarts, self.in_block = bytearray(), [], 0
 
-    def add(self, key: bytes, value: bytes) -> None:
+    def add(self, key: bytes, ids: bytes) -> None:
+        value = pack_ids(ids)
         if not self.hashed:
             self.first = key
         shared = 0
@@ -103,8 +115,8 @@ class Writer:
         self.in_block += 1
         self.last = key
         self.hashed.append(key)
-        self.n_tokens += len(value) // 4
-        if len(self.block) >= BLOCK_BYTES:
+        self.n_tokens += len(ids) // 4
+        if len(self.block) >= self.block_bytes:
             self._flush()
 
     def _flush(self) -> None:
@@ -176,7 +188,7 @@ class Reader:
             at, key = 0, b""
             while at < end:
                 key, value, at = self._entry(data, at, key)
-                yield key, value
+                yield key, unpack_ids(value)
 
     def may_have(self, key: bytes) -> bool:
         bits = (len(self.bloom) - 1) * 8
@@ -199,11 +211,11 @@ class Reader:
                 if now > key:
                     return found
                 if now == key:
-                    found.append(value)
+                    found.append(unpack_ids(value))
         return found
 
 
-def write(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Encodes every document, ends it with `end_id` and writes shards under `folder` (a URI that executors and driver
     share). Returns the manifest, a row a shard. Null text counts as empty, null doc_id sorts first, repeated ids stay side
     by side; an empty table makes no shard."""
@@ -221,7 +233,7 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str
                 for doc, ids in zip(batch.column(0).to_pylist(), enc.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                     if writer is None:
                         path = f"{folder}/{uuid.uuid4().hex}.sst"
-                        writer = Writer(path)
+                        writer = Writer(path, block_bytes)
                     writer.add(key_of(doc), ids + end)
                     if writer.at >= shard_bytes:
                         yield done()
