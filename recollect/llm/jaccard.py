@@ -123,6 +123,8 @@ def candidates(posts: DataFrame, num: int, den: int) -> DataFrame:
         " + ".join(f"bit_count(a.{q} ^ b.{q})" for q in WORDS_OF) + f" <= a.n + b.n - 2 * ({need})",
         "NOT (coalesce(a.v1 = b.v1, false) OR coalesce(a.v1 = b.v2, false) OR coalesce(a.v2 = b.v1, false) OR coalesce(a.v2 = b.v2, false))",
     ]
+    if "part" in posts.columns:
+        tests.append("a.part <> b.part")  # those in one part reach each other already
     return a.join(b, F.expr(" AND ".join(tests))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
 
@@ -176,11 +178,8 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, n: int, num
     return out
 
 
-def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has a row a document (doc_id, n_shingles, rep, copies: its class and the class's size), links
-    the similar pairs (a, b) of classes, each once. Two texts are similar where den * intersection >= num * union. Null and
-    empty texts have an empty set, are alone in a class of their own (rep is the doc_id) and link with nothing. Rows with null
-    doc_id are members but no representatives unless their whole class has null. Rows that share a doc_id count as one node."""
+def representatives(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes and keys of all documents' sets, classes of equal sets, prefixes of the class representatives)."""
     keys = common.staged(spark, set_keys(docs, n), "set-keys")
     table = common.merge_arrays(keys.where("block IS NOT NULL").select("block", "data"), "int64", "sum")
     counters = spark.sparkContext.broadcast(table if len(table) else np.zeros(COUNTERS, np.int64))
@@ -188,6 +187,15 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 3, num: int = 90
     classes = common.staged(spark, rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     prefix = common.staged(spark, prefixes(docs, n, counters, num, den).join(reps, "doc_id", "left_semi"), "prefixes")
+    return rows, classes, prefix
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members has a row a document (doc_id, n_shingles, rep, copies: its class and the class's size), links
+    the similar pairs (a, b) of classes, each once. Two texts are similar where den * intersection >= num * union. Null and
+    empty texts have an empty set, are alone in a class of their own (rep is the doc_id) and link with nothing. Rows with null
+    doc_id are members but no representatives unless their whole class has null. Rows that share a doc_id count as one node."""
+    rows, classes, prefix = representatives(spark, docs, n, num, den)
     pairs = common.staged(spark, candidates(shared_posts(spark, prefix), num, den), "pairs")
     common.drop_staged(spark, prefix)
     links = verified(spark, docs, pairs, n, num, den)
@@ -213,10 +221,37 @@ def linked_components(spark: SparkSession, docs: DataFrame, n: int = 3, num: int
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id"), links_of.cast("long").alias("n_links"))
 
 
+def stars(posts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of each representative with the smallest one that shares an n-gram of its prefix, as far as sizes and parities
+    allow: at most one a post, however large a group is."""
+    least = posts.groupBy("h").agg(F.min(F.struct("doc_id", "n", *WORDS_OF)).alias("m"))
+    need = f"({num} * (n + m.n) + {num + den - 1}) DIV {num + den}"
+    parity = " + ".join(f"bit_count({q} ^ m.{q})" for q in WORDS_OF)
+    tests = ["doc_id > m.doc_id", f"{den} * least(n, m.n) >= {num} * greatest(n, m.n)", f"{parity} <= n + m.n - 2 * ({need})"]
+    return posts.join(least, "h").where(" AND ".join(tests)).select(F.col("m.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def parts(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, part) of documents that reach a smaller one by links or equal sets: part is the smallest. The same components as
+    by all pairs, but in a large group of near copies few pairs are made: first every set is compared with the smallest that it
+    shares an n-gram with, then only sets in different components."""
+    rows, classes, prefix = representatives(spark, docs, n, num, den)
+    posts = common.staged(spark, shared_posts(spark, prefix), "posts")
+    common.drop_staged(spark, prefix)
+    close = verified(spark, docs, common.staged(spark, stars(posts, num, den), "stars"), n, num, den)
+    known = common.staged(spark, graph.components(spark, close), "first-components")
+    marked = posts.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+    far = verified(spark, docs, common.staged(spark, candidates(marked, num, den), "pairs"), n, num, den)
+    found = common.staged(spark, graph.components(spark, close.union(far)), "components")
+    common.drop_staged(spark, posts)
+    member = rows.where("n_shingles > 0").join(classes, ["k1", "k2"]).select("doc_id", "rep")
+    named = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("part"))
+    return named.where("part < doc_id")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """`docs`, all columns, without those that reach a smaller doc_id by links; rows with null doc_id stay."""
-    found = linked_components(spark, docs, n, num, den)
-    gone = common.staged(spark, found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
+    gone = common.staged(spark, parts(spark, docs, n, num, den).select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
     return common.beside(docs, gone, F.col("doc_id") == F.col("gone"), gone.count(), how="left_anti")
 
 

@@ -58,6 +58,13 @@ def test_equals_brute_force(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got) == brute(rows)
 
 
+def test_parts_are_the_same_components(spark):
+    for seed in (3, 4):
+        rows = fixture(seed)
+        got = {r["doc_id"]: r["part"] for r in jaccard.parts(spark, spark.createDataFrame(rows, DOCS), 3, 90, 100).collect()}
+        assert got == {d: c for d, _, c, _ in brute(rows) if c != d}
+
+
 def test_chain_hot_group_and_odd_rows(spark):
     words = [f"a{i}" for i in range(200)]
     chain = [" ".join(words[:k] + [f"b{i}" for i in range(k, 200)][::-1][:0] + words[k:]) + " x" * k for k in range(1)]
