@@ -22,17 +22,19 @@ N, THRESHOLD, BROADCAST_ROWS = 5, 0.8, 1 << 20
 
 
 def split_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def exploded(rows: DataFrame, n: int, *keep: str) -> DataFrame:
-    """A row a shingle: `keep`, and `hash` of its words. The words stay a variable of the generated code."""
-    long = rows.where(F.size("words") >= n).select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("i"))
+    """A row a shingle: `keep`, and `hash` of its words. The words are split once and stay a variable of the generated code."""
+    starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))
+    long = rows.select(*keep, "words", F.explode(starts).alias("i"))
     return long.select(*keep, F.xxhash64(*(F.get("words", F.col("i") + k) for k in range(n))).alias("hash"))
 
 
 def shingles(words: Column, n: int) -> Column:
-    """Distinct shingles as text; none where there are fewer words."""
+    """Distinct shingles as text; none where there are fewer words. `words` has to be a stored or exploded column: an expression
+    would be evaluated for every shingle."""
     made = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
     return F.when(F.size(words) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
@@ -57,7 +59,8 @@ def containment(spark: SparkSession, docs: DataFrame, items: DataFrame, threshol
     per_doc = common.staged(spark, pairs.groupBy("doc_id").agg(F.collect_set("item").alias("candidates")), "leak-documents")  # at most the items
     few = per_doc.withColumnRenamed("doc_id", "id")
     here = common.beside(texts, few, F.col("doc_id").eqNullSafe(F.col("id")), per_doc.count(), broadcast_rows)
-    here = here.select("doc_id", shingles(split_words(F.col("text")), n).alias("doc_shingles"), F.explode("candidates").alias("item"))
+    here = here.select("doc_id", split_words(F.col("text")).alias("words"), F.explode("candidates").alias("item"))  # keeps the split below
+    here = here.select("doc_id", "item", shingles(F.col("words"), n).alias("doc_shingles"))
     both = here.join(test.select("item", "item_id", "item_shingles", "n_item"), "item").withColumn("n_shared", F.size(F.array_intersect("doc_shingles", "item_shingles")))
     kept = both.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9)))
     best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("b"))
