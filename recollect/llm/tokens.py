@@ -10,7 +10,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
+import unicodedata
+from itertools import chain
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -20,10 +23,26 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 WIDE_SPACE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\f", "\v", "\0")
 
 
+class Numbers(dict):
+    """piece -> number, counted on; `new` collects those met for the first time."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        number = self[piece] = len(self)
+        return number
+
+
 class Encoder:
-    """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
+    """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers.
 
-    limit = 1_200_000
+    Pieces are numbered; the ids of piece k are the length[k] from begin[k] in the pool. New pieces are encoded many at a time, in one
+    string, and parted again by the bytes that each id stands for. At `limit` pieces the memo starts anew."""
+
+    limit, together = 300_000, 400
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -34,7 +53,16 @@ class Encoder:
             spec = json.load(f)
         self.cut = self.kind(spec)
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
-        self.memo: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        end = spec["model"].get("end_of_word_suffix") or ""
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes_of[i] = len(token.removesuffix(end) if end else token)
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo, self.pool, self.used = Numbers(), np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     @staticmethod
     def kind(spec: dict) -> str:
@@ -63,17 +91,66 @@ class Encoder:
             return piece
         return piece[1:] if piece[:1] == "\0" else " " + piece
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of `pieces`, and how many each has."""
+        plain = [self.plain(p) for p in pieces]
+        if self.cut == "dropped":
+            sizes = [len((unicodedata.normalize("NFC", p).lower() if not p.isascii() else p).encode()) for p in plain]
+        else:
+            sizes = [len(p.encode()) for p in plain]
+        groups = [slice(i, i + self.together) for i in range(0, len(plain), self.together)]
+        made, counts = [], []
+        for g, ids in zip(groups, self.encode([(" " if self.cut == "dropped" else "").join(plain[g]) for g in groups]), strict=True):
+            ends, want = np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[g])
+            at = np.searchsorted(ends, want)
+            if len(ends) and ends[-1] == want[-1] and np.array_equal(ends[np.minimum(at, len(ends) - 1)], want):
+                made.append(ids)
+                counts.append(np.diff(at + 1, prepend=0))
+            else:  # a form that the normaliser changes in length
+                alone = self.encode(plain[g])
+                made += alone
+                counts.append(np.array([len(x) for x in alone]))
+        return np.concatenate(made), np.concatenate(counts)
+
+    def learn(self) -> None:
+        """Encodes the memo's new pieces."""
+        new, self.memo.new = self.memo.new, []
+        known, n = len(self.memo) - len(new), len(self.memo)
+        if n > len(self.begin):
+            self.begin, self.length = (np.concatenate((x, np.zeros(n, np.int64))) for x in (self.begin, self.length))
+        other = [i for i, p in enumerate(new) if p[:1] != "\0"]
+        if other:
+            self.keep(known + np.array(other), *self.encode_pieces([new[i] for i in other]))
+        first = [i for i, p in enumerate(new) if p[:1] == "\0"]  # no white space parts those
+        if first:
+            made = self.encode([self.plain(new[i]) for i in first])
+            self.keep(known + np.array(first), np.concatenate(made), np.array([len(x) for x in made]))
+
+    def keep(self, numbers: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        size = self.used + len(ids)
+        if size > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(size, np.uint32)))
+        self.pool[self.used : size] = ids
+        self.begin[numbers], self.length[numbers] = self.used + np.cumsum(counts) - counts, counts
+        self.used = size
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
         if len(self.memo) > self.limit:
-            self.memo = {}
-        memo = self.memo
-        if new := list(set().union(*(c for c in cut if c)) - memo.keys()):
-            memo.update(zip(new, self.encode([self.plain(p) for p in new]), strict=True))
-        return [self.encode([t])[0] if c is None else b"".join(map(memo.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+            self.forget()
+        cut = [self.pieces(t) for t in texts]
+        sizes = [len(c) if c else 0 for c in cut]
+        numbers = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(c for c in cut if c)), np.int64, sum(sizes))
+        if self.memo.new:
+            self.learn()
+        start, length = self.begin[numbers], self.length[numbers]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.pool[np.repeat(start - (ends - length), length) + np.arange(total)]
+        bounds = np.concatenate(([0], ends))[np.cumsum([0, *sizes])]
+        return [self.encode([t])[0].tobytes() if c is None else flat[a:b].tobytes() for t, c, a, b in zip(texts, cut, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 _loaded: dict[str, Encoder] = {}
