@@ -83,7 +83,7 @@ SELECT p.doc_id, round(p.bm25 + 0.1 * coalesce(max(c.c), 0.0), 6) AS score FROM
     "utility_default": Plan("P10 R22", "SELECT d.doc_id, coalesce(l.quality * 100.0, 50.0) AS utility, round(0.7 + 0.3 * coalesce(l.quality * 100.0, 50.0), 6) AS factor FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "structured_filter": Plan("P11 P9", "WITH t AS (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS bought, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failed FROM events GROUP BY user_id), f AS (SELECT user_id FROM t WHERE bought = 1 AND failed = 1) SELECT user_id FROM f UNION ALL SELECT user_id FROM t WHERE NOT EXISTS (SELECT 1 FROM f)"),
     "ttl_expired": Plan("P13 M9", f"SELECT event_id FROM events WHERE @EPOCH(ts) + 20 * 86400 < @EPOCH({ANCHOR})"),
-    "guardrails": Plan("P16", "WITH rules AS (SELECT item_id, lower(substr(text, 1, 5)) AS pattern FROM benchmark WHERE item_id < 40) SELECT r.item_id, count(*) AS hits FROM conversations c JOIN rules r ON contains(lower(c.text), r.pattern) GROUP BY r.item_id"),
+    "guardrails": Plan("P16", "WITH rules AS (SELECT item_id, @EXPLODE(@DISTINCT(@MAP(@RANGE(0, CAST(floor((length(text) - 1) / 5.0) AS BIGINT)), i => lower(substr(text, CAST(i * 5 + 1 AS INT), 5))))) AS pattern FROM benchmark WHERE text <> ''), found AS (SELECT p.pattern, count(*) AS hits FROM (SELECT DISTINCT pattern FROM rules) p JOIN (SELECT lower(text) AS turn FROM conversations) c ON contains(c.turn, p.pattern) GROUP BY p.pattern) SELECT r.item_id, CAST(sum(f.hits) AS BIGINT) AS hits FROM rules r JOIN found f ON r.pattern = f.pattern GROUP BY r.item_id"),
     "correction_turns": Plan("P17 P18", "SELECT conv_id, turn FROM conversations WHERE @HAS(lower(text), @R'\\b(no|not|wrong|instead|actually|never|always|must)\\b') AND NOT (role = 'assistant' AND length(trim(text)) <= 20)"),
     "disclosure_levels": Plan("P19 P14", f"WITH {VECTOR} SELECT vec_id, CASE WHEN round(sim, 9) >= 0.8 THEN 'full' WHEN round(sim, 9) >= 0.6 THEN 'index' ELSE 'drop' END AS level FROM near"),
     "union_last_wins": Plan("E1 E2", "WITH u AS (SELECT o_custkey AS id, 1 AS pri, count(*) AS n FROM orders GROUP BY o_custkey UNION ALL SELECT c_custkey, 0, 0 FROM customer) SELECT id, n FROM (SELECT id, n, row_number() OVER (PARTITION BY id ORDER BY pri DESC) AS k FROM u) t WHERE k = 1"),
@@ -157,7 +157,7 @@ SELECT id, round(fused / (1 + exp(-20 * (fused - 0.6))), 6) AS score FROM f""",
     "ndcg_graded": Plan("V2", f"WITH {RANKED}, r AS (SELECT query_id, rank, CASE WHEN label = gold THEN 3 WHEN label % 2 = gold % 2 THEN 2 ELSE 0 END AS rel FROM top), s AS (SELECT query_id, rel, rank, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS best FROM r) SELECT query_id, round(CASE WHEN sum(rel) = 0 THEN 0.0 ELSE sum(rel / log2(rank + 1)) / sum(rel / log2(best + 1)) END, 6) AS ndcg FROM s GROUP BY query_id"),
     "mrr_penalty": Plan("V4 V5", f"WITH {RANKED}, f AS (SELECT query_id, min(CASE WHEN label = gold THEN rank END) AS hit FROM top GROUP BY query_id) SELECT query_id, round(coalesce(1.0 / hit, 0.0), 6) AS reciprocal, CASE WHEN hit <= 3 THEN 1 ELSE 0 END AS recall_3, CASE WHEN hit IS NULL OR hit >= 5 THEN 1 ELSE 0 END AS penalty FROM f"),
     "parameter_sweep": Plan("V8", f"WITH {RANKED}, p AS (SELECT * FROM (VALUES (1), (3), (5), (10)) AS v(k)) SELECT k, round(avg(hit), 6) AS recall_any FROM (SELECT p.k, query_id, max(CASE WHEN label = gold AND rank <= p.k THEN 1.0 ELSE 0.0 END) AS hit FROM top CROSS JOIN p GROUP BY p.k, query_id) t GROUP BY k"),
-    "fragment_recall": Plan("V6", "SELECT b.item_id, count(d.doc_id) AS hits FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) AND contains(d.text, substr(b.text, 41, 30)) WHERE b.item_id % 10 = 0 GROUP BY b.item_id"),
+    "fragment_recall": Plan("V6", "WITH b AS (SELECT item_id, substr(text, 1, 40) AS head, @MAP(@RANGE(0, CAST(floor(length(text) / 40.0) AS BIGINT)), i => substr(text, CAST(i * 40 + 1 AS INT), 40)) AS parts FROM benchmark) SELECT b.item_id, count(d.doc_id) AS hits FROM b LEFT JOIN documents d ON contains(d.text, b.head) AND @LEN(@KEEP(b.parts, x => NOT contains(d.text, x))) = 0 GROUP BY b.item_id"),
     # chunks
     "fixed_chunks": Plan("H1 H5", "WITH w AS (SELECT doc_id, @KEEP(@SPLIT(text, @R'\\s+'), x => x <> '') AS w FROM documents), s AS (SELECT doc_id, @EXPLODE(@RANGE(0, CAST(CASE WHEN @LEN(w) <= 200 THEN 0 ELSE ceil((@LEN(w) - 200) / 180.0) END AS BIGINT))) AS i FROM w WHERE @LEN(w) > 0) SELECT s.doc_id, s.i AS part, @JOINED(@SLICE(w.w; CAST(s.i * 180 + 1 AS INT); 200), ' ') AS chunk FROM s JOIN w ON s.doc_id = w.doc_id"),
     "headings": Plan("H3 T8", "SELECT page_id, @FIND(html, @R'<h1>([^<]*)</h1>', 1) AS title, CAST(@BYTES(html) AS BIGINT) AS end_byte FROM pages"),
