@@ -2,7 +2,7 @@
 
 Both families of files cut a text before any merge rule is applied, and never let a token cross such a cut. So the ids of
 a text are the ids of its pieces, and a piece met before needn't be encoded again. A text for which the cheap cut isn't
-proven goes to the library whole.
+proven goes to the library whole; so does one that holds the content of an added token, in whatever case.
 """
 
 from __future__ import annotations
@@ -48,10 +48,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as f:
             spec = json.load(f)
-        self.cut = self.kind(spec)
+        self.cut, self.added = self.kind(spec), None
+        if added := [t["content"] for t in spec.get("added_tokens") or []]:
+            self.added = re.compile("|".join(map(re.escape, added)), re.I)
+            if any(not t.isascii() or re.search(r"[\s;`]", t) for t in added):
+                self.cut = "whole"  # white space lies in it, or the normaliser can make it of other characters
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         vocab = self.tokenizer.get_vocab()
         end = spec["model"].get("end_of_word_suffix") or ""
@@ -76,7 +79,7 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str] | None:
         """A cut whose pieces encode alone as they do in the text; None if that isn't known."""
-        if self.cut == "whole" or ODD_SPACE.search(text):
+        if self.cut == "whole" or ODD_SPACE.search(text) or self.added and self.added.search(text):
             return None
         if self.cut == "dropped":  # A-Z first: it commutes with the normaliser's own steps
             return (text.encode().lower().decode() if self.lower else text).split()
