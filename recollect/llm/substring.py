@@ -228,7 +228,7 @@ def span_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                             continue
                         low, high = int(found.start[x]), int(found.end[y - 1])
                         text = raw[low:high].tobytes()
-                        if single[y - 1 - a] != single[x - a] or b"\n" in text or b"\t" in text or b"\r" in text:
+                        if single[y - 1 - a] != single[x - a] or any(c in text for c in (b"\n", b"\t", b"\r", b"\x0b", b"\x0c")):
                             text = b" ".join(text.split())
                         rows.append((doc, s["start"], s["n_words"], xxhash.xxh3_128_digest(text)))
                 if rows:
