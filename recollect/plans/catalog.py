@@ -116,7 +116,7 @@ SELECT p.doc_id, round(p.bm25 + 0.1 * coalesce(max(c.c), 0.0), 6) AS score FROM
     "knn_cosine": Plan("K2 S4 S5", f"WITH {VECTOR} SELECT vec_id, round(sim, 5) AS sim FROM near ORDER BY round(sim, 9) DESC, vec_id LIMIT 50"),
     "knn_by_label": Plan("K2 K4", f"WITH {VECTOR} SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(sim, 9) DESC, vec_id) AS k FROM near) t WHERE k <= 3"),
     "vector_norms": Plan("S6", "SELECT vec_id, round(sqrt(@DOT(embedding, embedding)), 4) AS norm, abs(sqrt(@DOT(embedding, embedding)) - 1) < 0.01 AS unit FROM embeddings"),
-    "scope_graduation": Plan("J8 R16 R19", f"WITH {RANKED} SELECT query_id, CAST(min(CASE WHEN label <> gold THEN rank END) AS BIGINT) AS first_other, count(CASE WHEN label = gold THEN 1 END) AS same FROM top GROUP BY query_id"),
+    "scope_graduation": Plan("J8", "WITH n AS (SELECT vec_id, label, embedding, sqrt(@DOT(embedding, embedding)) AS norm FROM embeddings), m AS (SELECT a.vec_id AS query_id, a.label AS scope, b.vec_id AS other_id, b.label AS other_scope, round(@DOT(a.embedding, b.embedding) / nullif(a.norm * b.norm, 0), 9) AS sim FROM n a JOIN n b ON a.label <> b.label), f AS (SELECT query_id, scope, other_id, other_scope, sim, row_number() OVER (PARTITION BY query_id ORDER BY other_id) AS k FROM m WHERE sim >= 0.85) SELECT query_id, scope, other_id, other_scope, round(sim, 6) AS sim FROM f WHERE k = 1"),
     # ranking
     "gaussian_decay": Plan("S7", f"WITH {ACCESS} SELECT user_id, round(greatest(exp(-0.5 * (hours / 375.0) * (hours / 375.0)), 0.1), 6) AS decay FROM aged"),
     "exponential_decay": Plan("S8", f"WITH {ACCESS} SELECT user_id, round(greatest(exp(-0.05 * days), 0.1), 6) AS decay FROM aged"),

@@ -28,3 +28,15 @@ def test_guardrails_takes_every_item_and_its_whole_text(spark, tmp_path):
         want |= {i: hits} if hits else {}
     got = run(spark, tmp_path, "guardrails", benchmark={"item_id": list(items), "text": list(items.values())}, conversations={"conv_id": list(range(6)), "turn": [0] * 6, "role": ["user"] * 6, "text": turns})
     assert {r["item_id"]: r["hits"] for r in got} == want and want[150] == 1
+
+
+def test_scope_graduation_takes_the_first_of_another_scope_over_the_bar(spark, tmp_path):
+    near = [[1.0, 0.001 * i] for i in range(15)]  # more neighbours of the own scope than ten
+    rows = [(i, 0, v) for i, v in enumerate(near)] + [(20, 1, [0.0, 3.0]), (21, 1, [2.0, 0.9]), (22, 2, [1.0, 0.0]), (23, 2, [-1.0, 0.2]), (24, 1, [0.0, 0.0])]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / ((sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5 or 1)
+    want = {}
+    for i, scope, v in rows:
+        first = next((j for j, other, w in rows if other != scope and cos(v, w) >= 0.85), None)
+        want |= {} if first is None else {i: first}
+    got = run(spark, tmp_path, "scope_graduation", embeddings={"vec_id": [r[0] for r in rows], "label": [r[1] for r in rows], "embedding": [r[2] for r in rows]})
+    assert {r["query_id"]: r["other_id"] for r in got} == want and want[0] == 21 and 20 not in want and 23 not in want
