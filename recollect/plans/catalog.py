@@ -68,7 +68,7 @@ SELECT p.doc_id, round(p.bm25 + 0.1 * coalesce(max(c.c), 0.0), 6) AS score FROM
     "user_prefix": Plan("P3 P2", f"WITH {EPISODES} SELECT id, @SUB(session_id, @R'_[0-9]{{1,3}}$', '') AS prefix FROM episode"),
     "turn_index": Plan("T26 T27", f"WITH {EPISODES}, t AS (SELECT id, concat('Session ', session_id, ' - Turn ', CAST(turn AS VARCHAR(20))) AS title FROM episode) SELECT id, CAST(@FIND(title, @R' - Turn ([0-9]+)$', 1) AS BIGINT) AS turn_index FROM t"),
     "scope_from_url": Plan("T25 T28", "SELECT page_id, @FIND(url, @R'^https?://([^/?#]+)', 1) AS host, coalesce(nullif(@FIND(url, @R'^https?://[^/]+/([^/?#]+)', 1), ''), 'general') AS scope FROM pages"),
-    "checklist_lines": Plan("T22", "WITH l AS (SELECT doc_id, @EXPLODE(@SPLIT(text, @R'\\n')) AS line FROM documents) SELECT doc_id, count(*) AS n FROM l WHERE line LIKE '%- [ ]%' OR line LIKE '%|%' GROUP BY doc_id"),
+    "checklist_lines": Plan("T22", "WITH l AS (SELECT doc_id, @EXPLODE(@SPLIT(text, @R'\\n')) AS line FROM documents) SELECT doc_id, @SUB(line, @R'^\\s+|\\s+$', '') AS line FROM l WHERE contains(line, '- [ ]') OR contains(line, '- [x]')"),
     "sanitised_ids": Plan("T28", "SELECT page_id, coalesce(nullif(@SUB(url, @R'[^A-Za-z0-9_-]', ''), ''), 'unknown') AS id FROM pages"),
     "page_title": Plan("T10 C12", "SELECT page_id, @FIND(html, @R'<title>([^<]*)</title>', 1) AS title FROM pages"),
     "link_targets": Plan("T13 J12", "WITH l AS (SELECT page_id, @EXPLODE(@SPLIT(html, '<a href=\"')) AS part FROM pages) SELECT page_id, count(DISTINCT @FIND(part, @R'^(/[^\"]*)\"', 1)) AS targets FROM l WHERE part LIKE '/%' GROUP BY page_id"),
@@ -160,6 +160,13 @@ SELECT id, round(fused / (1 + exp(-20 * (fused - 0.6))), 6) AS score FROM f""",
     "fragment_recall": Plan("V6", "WITH b AS (SELECT item_id, substr(text, 1, 40) AS head, @MAP(@RANGE(0, CAST(floor(length(text) / 40.0) AS BIGINT)), i => substr(text, CAST(i * 40 + 1 AS INT), 40)) AS parts FROM benchmark) SELECT b.item_id, count(d.doc_id) AS hits FROM b LEFT JOIN documents d ON contains(d.text, b.head) AND @LEN(@KEEP(b.parts, x => NOT contains(d.text, x))) = 0 GROUP BY b.item_id"),
     # chunks
     "fixed_chunks": Plan("H1 H5", "WITH w AS (SELECT doc_id, @KEEP(@SPLIT(text, @R'\\s+'), x => x <> '') AS w FROM documents), s AS (SELECT doc_id, @EXPLODE(@RANGE(0, CAST(CASE WHEN @LEN(w) <= 200 THEN 0 ELSE ceil((@LEN(w) - 200) / 180.0) END AS BIGINT))) AS i FROM w WHERE @LEN(w) > 0) SELECT s.doc_id, s.i AS part, @JOINED(@SLICE(w.w; CAST(s.i * 180 + 1 AS INT); 200), ' ') AS chunk FROM s JOIN w ON s.doc_id = w.doc_id"),
-    "headings": Plan("H3 T8", "SELECT page_id, @FIND(html, @R'<h1>([^<]*)</h1>', 1) AS title, CAST(@BYTES(html) AS BIGINT) AS end_byte FROM pages"),
+    "headings": Plan(
+        "H3",
+        """WITH d AS (SELECT doc_id, CAST(@BYTES(text) AS BIGINT) AS total, @SPLIT(text, @R'\\n') AS parts FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, total, parts, @EXPLODE(@RANGE(1, @LEN(parts))) AS i FROM d), l AS (SELECT doc_id, total, i, @GET(parts, i) AS line FROM n),
+o AS (SELECT doc_id, total, line, CAST(coalesce(sum(@BYTES(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte FROM l),
+h AS (SELECT doc_id, @SUB(@SUB(line, @R'^\\s*#+', ''), @R'^\\s+|\\s+$', '') AS title, start_byte, coalesce(lead(start_byte) OVER (PARTITION BY doc_id ORDER BY start_byte), total) AS end_byte FROM o WHERE @HAS(line, @R'^\\s*#+ \\s*\\S'))
+SELECT doc_id, title, start_byte, end_byte FROM h UNION ALL SELECT doc_id, 'Document Root', 0, total FROM d WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = d.doc_id)""",
+    ),
     "node_types": Plan("H11", "SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN 'fact' WHEN url LIKE '%/de/%' THEN 'rule' WHEN url LIKE '%?%' THEN 'raw' ELSE 'insight' END AS node_type FROM pages"),
 }

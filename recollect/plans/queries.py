@@ -38,7 +38,7 @@ def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H2 H4."""
+    """H2."""
 
     @F.pandas_udf("array<string>")
     def cut(s: pd.Series) -> pd.Series:

@@ -40,3 +40,12 @@ def test_scope_graduation_takes_the_first_of_another_scope_over_the_bar(spark, t
         want |= {} if first is None else {i: first}
     got = run(spark, tmp_path, "scope_graduation", embeddings={"vec_id": [r[0] for r in rows], "label": [r[1] for r in rows], "embedding": [r[2] for r in rows]})
     assert {r["query_id"]: r["other_id"] for r in got} == want and want[0] == 21 and 20 not in want and 23 not in want
+
+
+def test_headings_and_checklists_over_all_lines(spark, tmp_path):
+    text = "vor é\n# Eins \n- [x] done\n  ## Zwei#\n#no\n - [ ] open \n| a | b |\n# \n### Drei"
+    docs = {"doc_id": [1, 2, 3], "text": [text, "plain é", None]}
+    starts = [len(text[: text.index(x)].encode()) for x in ("# Eins", "  ## Zwei", "### Drei")] + [len(text.encode())]
+    want = [(1, t, a, b) for t, a, b in zip(("Eins", "Zwei#", "Drei"), starts, starts[1:], strict=False)] + [(2, "Document Root", 0, 8)]
+    assert sorted(map(tuple, run(spark, tmp_path, "headings", documents=docs))) == sorted(want)
+    assert sorted(map(tuple, run(spark, tmp_path, "checklist_lines", documents=docs))) == [(1, "- [ ] open"), (1, "- [x] done")]
