@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from recollect.llm import common
 
 OUT = "page_id long, url string, text string, n_chars long"
-NEAR, SIBLING, CERTAIN = 1.0, 0.5, 1e6
+NEAR, SIBLING, CERTAIN, HINTED = 1.0, 0.5, 1e6, 8.0
 
 # Names of elements and hints.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "select", "head"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = {"script", "style", "textarea", "title", "template", "iframe", "canvas", "select", "head"}
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object".split())
+INLINE |= set("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
+INLINE |= set("svg circle clippath defs desc ellipse filter g image line lineargradient marker mask path pattern polygon polyline radialgradient rect stop symbol text textpath tspan use".split())
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 AWAY = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 MAIN = {"article", "main"}
@@ -36,27 +38,32 @@ HINT = re.compile(
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|post|story|entry|content|body|main|text)(?=$|[\s_-])", re.I)
+HEAD = re.compile(r"(?:^|(?<=[\s_-]))headers?(?=$|[\s_-])", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 class Block:
-    __slots__ = ("away", "heading", "linked", "main", "path", "text")
+    __slots__ = ("away", "heading", "hints", "linked", "main", "path", "text")
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], away: bool, main: bool, heading: bool):
-        self.text, self.linked, self.path, self.away, self.main, self.heading = text, linked, path, away, main, heading
+    def __init__(self, text: str, linked: int, path: tuple[int, ...], away: bool, main: bool, hints: float, heading: bool):
+        self.text, self.linked, self.path, self.away, self.main, self.hints, self.heading = text, linked, path, away, main, hints, heading
 
 
-def hinted(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """(boilerplate, content) by the element's name, class, id, role and style."""
-    away, good = tag in AWAY or tag == "header" and not in_main, tag in MAIN
+def hinted(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]:
+    """(boilerplate for certain by name, role or style, content, boilerplate by a class or id). A class that speaks for content
+    outweighs the others of its element; a header of content is part of it."""
+    hint, away, good = False, tag in AWAY or tag == "header" and not in_main, tag in MAIN
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), entities.unescape(next((v for v in values if v), ""))
             if name in ("class", "id"):
-                away |= tag not in ("html", "body") and tag not in MAIN and bool(HINT.search(value))
-                good |= bool(GOOD.search(value))
+                for word in value.split():
+                    content = bool(GOOD.search(word))
+                    against = bool(HINT.search(HEAD.sub("", word) if content or in_main else word))
+                    hint |= against and tag not in ("html", "body") and tag not in MAIN
+                    good |= content and not against
             elif name == "role":
                 away |= value.lower() in ROLES
                 good |= value.lower() in ("main", "article")
@@ -64,14 +71,14 @@ def hinted(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
                 away |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             elif name == "hidden" or value.lower() == "true":
                 away = True
-    return away, good
+    return away, good, hint and not good
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. White space is one space, trimmed; empty blocks are left out. Unclosed elements end with
     the element around them, a paragraph at the next block."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, number, boilerplate, content
+    stack: list[tuple[str, int, bool, bool, float]] = []  # tag, number, boilerplate, content, cost of hints
     parts: list[str] = []
     linked = links = at = number = 0
 
@@ -80,8 +87,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                top = stack[-1] if stack else ("", 0, False, False)
-                out.append(Block(text, linked, tuple(s[1] for s in stack), top[2], top[3], any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-3:])))
+                top = stack[-1] if stack else ("", 0, False, False, 0.0)
+                out.append(Block(text, linked, tuple(s[1] for s in stack), top[2], top[3], top[4], any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-3:])))
         parts, linked = [], 0
 
     def text(piece: str) -> None:
@@ -122,16 +129,17 @@ def blocks(page: str) -> list[Block]:
         while stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
             stack.pop()
         number += 1
-        top = stack[-1] if stack else ("", 0, False, False)
-        away, good = hinted(tag, m[3], top[3])
-        stack.append((tag, number, top[2] or away, top[3] or good))
+        top = stack[-1] if stack else ("", 0, False, False, 0.0)
+        away, good, hint = hinted(tag, m[3], top[3])
+        cost = max(top[4], (2 * HINTED if top[3] else HINTED) if hint else 0.0)  # twice as much inside content, which it isn't part of
+        stack.append((tag, number, top[2] or away, good or top[3] and not hint, cost))
     flush()
     return out
 
 
 def costs(page_blocks: list[Block]) -> list[float]:
     """Cost of the label boilerplate less that of content: positive speaks for content."""
-    marked = any(b.main and not b.away for b in page_blocks)
+    marked = any(b.main and not b.away and not b.hints for b in page_blocks)
     out = []
     for b in page_blocks:
         if b.away:
@@ -140,7 +148,7 @@ def costs(page_blocks: list[Block]) -> list[float]:
         n = len(b.text)
         density = min(1.0, b.linked / n)
         stops = sum(b.text.count(c) for c in ".,;!?")
-        score = -1.0 + min(3.0, n / 80) + min(1.5, 0.5 * stops) - 4 * density
+        score = -1.0 - b.hints + min(3.0, n / 80) + min(1.5, 0.5 * stops) - 4 * density
         if b.heading:
             score += 0.5
         if b.main:
