@@ -179,7 +179,7 @@ def lexicon(texts: list[str], y: np.ndarray) -> dict[str, int]:
     odds = (a + 0.5) / (n - a + 0.5) * (1 - rate) / rate
     length = np.array([len(f) + 10 * f.endswith("$") for f in names])
     free, total, chosen = odds > 1.5, np.zeros(len(texts)), {}
-    while free.any() and len(chosen) < 80:
+    while free.any():
         x = np.column_stack([np.ones(len(texts)), np.log1p(total)])
         w = logistic(x, y, np.zeros(2), np.array([1e-3, 1e-2]))
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -192,7 +192,10 @@ def lexicon(texts: list[str], y: np.ndarray) -> dict[str, int]:
         chosen[names[best]] = level = max(1, min(LEVELS, round(math.log(odds[best]))))
         mine = form == best
         total += np.bincount(doc[mine], times[mine] * level / 4, len(texts))
-        free &= np.array([not (f.startswith(stem) or stem.startswith(f.rstrip("$"))) for f in names])
+        if names[best].endswith("$"):  # covers itself, and stems met in this word alone
+            free &= np.array([not (i == best or stem.startswith(f) and len(f) < len(stem) and n[i] == n[best]) for i, f in enumerate(names)])
+        else:  # covers longer words and stems, not the word of just these letters
+            free &= np.array([not (f.startswith(stem) and f != stem + "$") for f in names])
     return chosen
 
 
