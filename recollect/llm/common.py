@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +21,31 @@ from pyspark.sql import functions as F
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
+_left: set[str] = set()
+
+
+def _sweep() -> None:
+    """Deletes staged tables that nobody dropped, when the driver's Python ends."""
+    from pyspark import SparkContext
+
+    if _left and SparkContext._jvm is not None:
+        for path in _left:
+            p = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(SparkContext._jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
+atexit.register(_sweep)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; where that is unset (tests), a temporary one."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where that is unset, a temporary folder of a local
+    session, as in tests; on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         made = tempfile.mkdtemp(prefix="recollect-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         base = f"file://{made}"
@@ -40,6 +60,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def staged(spark: SparkSession, df: DataFrame, label: str, **options: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     path = new_path(spark, label)
+    _left.add(path)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path  # type: ignore[attr-defined]
@@ -52,6 +73,7 @@ def drop_staged(spark: SparkSession, *dfs: DataFrame) -> None:
         if path := getattr(df, "_staged_path", None):
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _left.discard(path)
     gc.collect()
     spark._jvm.System.gc()
 
@@ -59,22 +81,11 @@ def drop_staged(spark: SparkSession, *dfs: DataFrame) -> None:
 #: The space and the five ASCII controls from tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_rng = np.random.Generator(np.random.PCG64(20240229))
-AS_IS = _rng.integers(1, 2**64, 256, np.uint64)
-LOWER = AS_IS.copy()
-LOWER[65:91] = AS_IS[97:123]
-BASE = 0x5851F42D4C957F2D
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE modulo 2**64 and their inverses, from exponent 0; kept by the worker for the largest n so far."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: The low 0 to 8 bytes of a number.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+LONG_WORD = 64
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,31 +97,47 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def byte_blocks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as a little-endian number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes, 8 bytes a step; runs of the same length up to 8 bytes never collide. Long ones go to xxhash."""
+    size = end - start
+    h = size.astype(np.uint64) * MIX[0]
+    blocks, at, live = byte_blocks(data), start, np.flatnonzero(size <= LONG_WORD)
+    here, left, now = at[live], size[live], h[live]
+    while len(live):
+        now = finish((now ^ (blocks[here] & LOW_BYTES[np.minimum(left, 8)])) * MIX[1])
+        h[live] = now
+        more = np.flatnonzero(left > 8)
+        live, here, left, now = live[more], here[more] + 8, left[more] - 8, now[more]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return h
+
+
 class Words:
     """Words of a batch of texts: maximal runs of bytes outside SPACE. `hashes` and byte bounds `start`, `end` of all words;
-    text i has words first[i] to first[i + 1]. A word's hash is a polynomial of random byte values modulo 2**64, mixed with
-    its length; with `lower`, A-Z count as a-z."""
+    text i has words first[i] to first[i + 1]. With `lower`, A-Z count as a-z in the hashes. Memory: some bytes a byte of text
+    and some numbers a word."""
 
     def __init__(self, col: pa.Array, lower: bool = False):
         self.data, self.offsets = text_buffer(col)
         n = len(self.data)
         space = SPACE[self.data]
-        edge = np.zeros(n + 1, bool)
-        edge[self.offsets] = True
-        edge[:n] |= space
-        inner = ~space
-        before = np.empty(n, bool)
-        if n:
-            before[0], before[1:] = True, space[:-1]
-        first_byte = np.zeros(n + 1, bool)
-        first_byte[self.offsets] = True
-        self.start = np.flatnonzero(inner & (before | first_byte[:n]))
-        self.end = np.flatnonzero(inner & edge[1:]) + 1
-        power, inverse = powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((LOWER if lower else AS_IS)[self.data] * power[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * inverse[self.start]
-        self.hashes = finish(h + (self.end - self.start).astype(np.uint64) * MIX[0])
+        bound = np.zeros(n + 1, bool)
+        bound[self.offsets] = True
+        starts = ~space
+        starts[1:] &= space[:-1] | bound[1:n]
+        self.start = np.flatnonzero(starts)
+        ends = ~space
+        ends[:-1] &= space[1:] | bound[1:n]
+        self.end = np.flatnonzero(ends) + 1
+        self.hashes = run_hashes(LOWER[self.data] if lower else self.data, self.start, self.end)
         self.first = np.searchsorted(self.start, self.offsets)
 
     def __len__(self) -> int:
@@ -155,7 +182,7 @@ def shingle_sets(found: Words, n: int) -> list[np.ndarray]:
     return out
 
 
-def chunks(batch: pa.RecordBatch, rows: int = 256, most: int = 4 << 20, text: int = 1):
+def chunks(batch: pa.RecordBatch, rows: int = 256, most: int = 1 << 20, text: int = 1):
     """Slices of some rows and, as far as single rows allow, some bytes of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     at = 0
@@ -221,10 +248,30 @@ def bits_set(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def beside(big: DataFrame, small: DataFrame, on, rows: int, most: int = 1 << 20, how: str = "inner") -> DataFrame:
-    """A join that broadcasts `small`, of which `rows` were counted, if these are `most` at most; else it shuffles."""
+    """A join that broadcasts `small`, whose rows are a few numbers and of which `rows` were counted, if these are `most` at
+    most; else it shuffles."""
     return big.join(F.broadcast(small) if rows <= most else small, on, how)
 
 
+def reserved(*taken: list[str]) -> str:
+    """A prefix for column names of an operator's own, which no column in `taken` starts with."""
+    names, k = [n.lower() for some in taken for n in some], 0
+    while any(n.startswith(f"_r{k}_") for n in names):
+        k += 1
+    return f"_r{k}_"
+
+
+ARROW_ROWS = 1_000
+
+
 def ids_and_text(docs: DataFrame, *more: str) -> DataFrame:
-    """Only the columns an operator reads; other columns, whatever their names, stay out of its plans."""
+    """Only the columns an operator reads; other columns, whatever their names, stay out of its plans. From here on at most
+    ARROW_ROWS rows go to a Python worker at once: a batch of whole texts counts twice, in both processes."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))

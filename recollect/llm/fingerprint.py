@@ -20,15 +20,28 @@ from recollect.llm import common
 
 K, WIDTH, BYTES = 128, 12, 6
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, np.uint64)
+BASE = 0x5851F42D4C957F2D
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE modulo 2**64 and their inverses, from exponent 0; kept by the worker for the largest n so far."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
 
 
 def char_shingles(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
     """Hashes of each text's runs of `width` code points (repeats included)."""
     data, bounds = common.text_buffer(pa.array(texts, pa.large_string()))
     n = len(data)
-    power, inverse = common.powers(n + 1)
+    power, inverse = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(common.AS_IS[data] * power[:n], out=total[1:])
+    np.cumsum(BYTE_VALUES[data] * power[:n], out=total[1:])
     at = np.append(np.flatnonzero((data & 0xC0) != 0x80), n)
     first = np.searchsorted(at, bounds)
     whole = np.empty(0, np.uint64)
