@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         for whole in batches:
             for batch in common.chunks(whole):
                 rows: list[tuple] = []
-                for doc, ids in zip(batch.column(0).to_pylist(), enc.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1)), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), step)):
                         part = ids[at : at + step]

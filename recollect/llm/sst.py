@@ -230,7 +230,7 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str
 
         for whole in batches:
             for batch in common.chunks(whole):
-                for doc, ids in zip(batch.column(0).to_pylist(), enc.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1)), strict=True):
                     if writer is None:
                         path = f"{folder}/{uuid.uuid4().hex}.sst"
                         writer = Writer(path, block_bytes)
