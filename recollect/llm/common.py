@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -17,6 +18,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+
+def _steady_memory() -> None:
+    """Freed arrays go back to the system: large blocks are mapped one by one, and Arrow keeps no pool of its own. Without this a Python
+    worker that is used again and again holds its largest stage's memory."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+_steady_memory()
+
 #: Odd 64-bit multipliers of the shingle mix (from the fractional digits of pi).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
@@ -168,6 +185,14 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def grams_at(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """gram_hashes(h, n) at some places."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(n):
+        out = finish((out + h[at + i]) * MIX[i % len(MIX)])
+    return out
+
+
 def distinct(h: np.ndarray) -> np.ndarray:
     """Ascending, each value once."""
     h = np.sort(h)
@@ -261,6 +286,14 @@ def reserved(*taken: list[str]) -> str:
     return f"_r{k}_"
 
 
+def without(docs: DataFrame, ids: DataFrame, nulls: bool = False) -> DataFrame:
+    """`docs`, all columns, without the rows whose doc_id is in `ids` (a stored table with doc_id); `nulls`: null is an id too."""
+    name = reserved(docs.columns) + "id"
+    gone = ids.select(F.col("doc_id").cast("long").alias(name))
+    here = F.col("doc_id").cast("long")
+    return beside(docs, gone, here.eqNullSafe(F.col(name)) if nulls else here == F.col(name), ids.count(), how="left_anti")
+
+
 ARROW_ROWS = 1_000
 
 
