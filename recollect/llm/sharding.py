@@ -66,7 +66,8 @@ def magnitude(c: Column, bits: int = BITS) -> Column:
 def placed(spark: SparkSession, docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text, null none, plus 1), text_crc32, law, shard, slot (gapless from 0 in each shard),
     grown_shard (null: the law is no function of the key), and the dimensions lang, source, curve. Null metadata is a value of
-    its own, null text counts as empty, repeated rows are rows; an empty table has no shards."""
+    its own, null text counts as empty, repeated rows are rows; an empty table has no shards. A very long text is one row of its
+    size. Other columns of `docs` aren't read."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     raw = F.encode(text, "UTF-8")
     rows = docs.select(
@@ -74,12 +75,18 @@ def placed(spark: SparkSession, docs: DataFrame, shards: int = 16) -> DataFrame:
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.xxhash64(raw).alias("tie"),
+        F.xxhash64(F.lit(1), raw).alias("tie2"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
     )
-    curve = hilbert_index([category(F.col("lang")), category(F.col("source")), magnitude(F.col("size"))])
-    keyed = common.staged(spark, rows.withColumn("curve", curve), "curve")
-    key = ["curve", "tie", "doc_id", "lang", "source"]
+    same = rows.groupBy("tie", "tie2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lang", "source")).alias("head")).where("n > 1").select("tie", "tie2", "head")
+    same = common.staged(spark, same, "equal-texts")
+    rows = common.beside(rows, same, ["tie", "tie2"], same.count(), how="left")
+    of_group = [F.when(F.col("head").isNull(), F.col(c)).otherwise(F.col(f"head.{c}")) for c in ("lang", "source")]
+    curve = hilbert_index([*(category(c) for c in of_group), magnitude(F.col("size"))])
+    keyed = common.staged(spark, rows.withColumn("curve", curve).drop("head"), "curve")
+    common.drop_staged(spark, same)
+    key = ["curve", "tie", "tie2", "doc_id", "lang", "source"]
     ordered = common.staged(spark, keyed.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("place", F.monotonically_increasing_id()), "ordered")
     common.drop_staged(spark, keyed)
     part = F.shiftright("place", 33)
@@ -95,8 +102,9 @@ def placed(spark: SparkSession, docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, folder: str, shards: int = 16) -> None:
-    """Writes `docs` with all their columns as Parquet, a folder a shard, rows in the order of their slots. Repeated rows (equal
-    doc_id and text) are told apart by number, so each is written once."""
+    """Writes `docs` with all their columns as Parquet, a folder a shard (`_shard`, or a name that no column has), rows in the order
+    of their slots. Repeated rows (equal doc_id and text) are told apart by number, so each is written once."""
+    folder_of = "_shard" if "_shard" not in docs.columns else common.reserved(docs.columns) + "shard"
     key = ["doc_id", "text_crc32", "copy"]
     copy = F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy(F.lit(0)))
     place = placed(spark, docs, shards).withColumn("copy", copy).select(*key, "shard", "slot")
@@ -104,4 +112,4 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, shards: int
     named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("text_crc32")).withColumn("copy", copy)
     same = [named[k].eqNullSafe(place[k]) for k in key]
     both = named.join(place, same).select("row", "shard", "slot")
-    both.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select("row.*", F.col("shard").alias("_shard")).write.partitionBy("_shard").parquet(folder)
+    both.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select("row.*", F.col("shard").alias(folder_of)).write.partitionBy(folder_of).parquet(folder)

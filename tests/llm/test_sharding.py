@@ -47,3 +47,18 @@ def test_rows_law(spark, tmp_path):
 def test_few_rows(spark):
     assert sharding.placed(spark, spark.createDataFrame([], DOCS)).collect() == []
     assert len({r["shard"] for r in sharding.placed(spark, spark.createDataFrame(fixture()[:3], DOCS)).collect()}) == 3
+
+
+def test_equal_texts_stand_together_whatever_their_metadata(spark):
+    rows = [(i, f"copy {i % 40}", f"l{i % 7}", f"s{i % 11}", "", "") for i in range(2000)] + [(3000 + i, "hot", f"l{i % 5}", f"s{i % 13}", "", "") for i in range(1500)]
+    got = sharding.placed(spark, spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    ordered = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    groups = [crc for crc, _ in itertools.groupby(r["text_crc32"] for r in ordered)]
+    assert len(groups) == len(set(groups)) == 41
+    assert {r["curve"] for r in got if r["doc_id"] >= 3000} == {next(r["curve"] for r in got if r["doc_id"] == 3000)}
+
+
+def test_clashing_names_and_a_very_long_text(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "z" * 2_000_000, "en", "s", 1), (2, "b", "en", "s", 2)], "doc_id long, text string, lang string, source string, _shard int")
+    sharding.write_shards(spark, docs, f"{tmp_path}/out", 2)
+    assert sorted((r["doc_id"], r["_shard"], len(r["text"])) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 1, 2_000_000), (2, 2, 1)]
