@@ -1,37 +1,23 @@
-"""Row functions that need more than an expression: redaction, splitting, token estimates."""
+"""Row functions that a column expression can't say: splitting, compaction, nested JSON."""
 
 from __future__ import annotations
 
 import difflib
+import json
 import re
 
-SECRETS = [
-    (re.compile(r"""((?:password|passwd|secret|token|api[_-]?key)["']?\s*[:=]\s*)(["'])([^"'\n]+)\2""", re.I), r"\1\2[REDACTED]\2"),
-    (re.compile(r"AKIA[0-9A-Z]{16}"), "[REDACTED]"),
-    (re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), "[REDACTED]"),
-    (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S), "[REDACTED]"),
-    (re.compile(r"eyJ[\w-]+\.[\w-]+\.[\w-]+"), "[REDACTED]"),
-    (re.compile(r"(export\s+\w*(?:KEY|TOKEN|SECRET|PASSWORD)\w*=)\S+"), r"\1[REDACTED]"),
-]
-
-
-def redact(text: str | None) -> str | None:
-    for pattern, new in SECRETS if text else ():
-        text = pattern.sub(new, text)
-    return text
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def token_estimate(text: str) -> int:
-    """White space runs and punctuation (`::`, `->`, `=>` as one) count 1; words by humps and underscores, (bytes + 2) / 3 each."""
+    """White space and marks count 1 (`::`, `->`, `=>` together), underscores too; words are cut into humps, of (bytes + 2) / 3 each.
+    The same as columns.token_estimate, for texts that a Python function makes."""
     total = 0
-    for m in re.finditer(r"\s|::|->|=>|[^\W]+|[^\w\s]", text):
-        piece = m[0]
-        if not (piece[0].isalnum() or piece[0] == "_"):
-            total += 1
-            continue
-        for part in piece.split("_"):
-            for hump in re.findall(r"[A-Z]?[^A-Z]+|[A-Z]+", part):
-                total += max(1, (len(hump.encode()) + 2) // 3)
+    for m in re.finditer(r"(?s)[^\W_]+|::|->|=>|.", text):
+        humps = re.sub(r"(?<=[^\W\d_])(?=[A-Z])", lambda k: "\0" if m[0][k.start() - 1].islower() else "", m[0]).split("\0") if m[0][0].isalnum() else []
+        total += sum((len(h.encode()) + 2) // 3 for h in humps) if humps else 1
     return total
 
 
@@ -58,20 +44,113 @@ def split_recursive(text: str, most: int, marks: tuple[str, ...] = ("\n---\n", "
     return [*out, now] if now else out
 
 
-def strip_diffs(text: str) -> str:
-    """Fenced diffs become a mark; bare diff lines go."""
-    text = re.sub(r"```diff\n.*?(?:```|\Z)", "[Diff Truncated]", text, flags=re.S)
-    return "\n".join(x for x in text.split("\n") if not x.startswith(("diff --git", "--- ", "+++ ", "@@")))
-
-
 def sequence_diff(a: list[str], b: list[str]) -> str:
     return "\n".join(difflib.unified_diff(a, b, "a", "b", lineterm=""))
 
 
-def front_matter(text: str) -> tuple[dict[str, str], str]:
-    """(keys, body) of a text with a head between two --- lines."""
-    parts = text.strip().split("---", 2)
-    if not text.strip().startswith("---") or len(parts) < 3:
-        return {}, text
-    pairs = (line.split(":", 1) for line in parts[1].splitlines() if ":" in line)
-    return {k.strip(): v.strip().strip("\"'") for k, v in pairs}, parts[2].lstrip("\n")
+def sections(text: str) -> list[tuple[str, str]]:
+    """(title, text) of each section that a line of # marks opens; the whole text where there is none. What stands before the first goes."""
+    heads = [(m.start(), m[1].strip()) for m in re.finditer(r"(?m)^[ \t]*#+ +(\S.*)$", text)]
+    if not heads:
+        return [("Document Root", text)]
+    ends = [at for at, _ in heads[1:]] + [len(text)]
+    return [(title, text[at:end]) for (at, title), end in zip(heads, ends, strict=True)]
+
+
+def windows(text: str, size: int, overlap: int) -> list[str]:
+    """Windows of `size` words, each `overlap` words into the one before."""
+    w = text.split()
+    out = [" ".join(w[at : at + size]) for at in range(0, max(1, len(w) - overlap), size - overlap)]
+    return out if w else []
+
+
+def grouped_sections(text: str, tokens: int = 24_000, overlap: int = 2_400, most: int = 20_000) -> list[tuple[str, str]]:
+    """Neighbouring sections together, up to `tokens` words; a longer one in windows; what is over `most` bytes cut again."""
+    groups: list[tuple[str, str]] = []
+    batch: list[tuple[str, str]] = []
+    used = 0
+
+    def close() -> None:
+        nonlocal batch, used
+        if batch:
+            title = batch[0][0] if len(batch) == 1 else f"{batch[0][0]} - {batch[-1][0]}"
+            groups.append((title, "".join(b for _, b in batch)))
+        batch, used = [], 0
+
+    for title, body in sections(text):
+        n = len(body.split())
+        if n > tokens:
+            close()
+            groups.extend((f"{title} (Part {k})", w) for k, w in enumerate(windows(body, tokens, overlap), 1))
+            continue
+        if used + n > tokens:
+            close()
+        batch.append((title, body))
+        used += n
+    close()
+    out = []
+    for title, body in groups:
+        if len(body.encode()) > most:
+            out += [(f"{title} (Part {k})", p) for k, p in enumerate(split_recursive(body, most // 4 if not body.isascii() else most), 1)]
+        else:
+            out.append((title, body))
+    return out or [("Document Root", text)]
+
+
+CUT = "... [Truncated (Inner-Node Compaction)]"
+
+
+def compacted(text: str | None, budget: int, count=token_estimate) -> str | None:
+    """A text of at most `budget` tokens: without the part between reason and remedy, else without its last paragraphs, else cut
+    behind a character. None if not even that fits."""
+    text = text or ""
+    if count(text) <= budget:
+        return text
+    why, remedy = text.find("\n**Why**:"), text.find("\n**Prescribed Remedy**:")
+    if why >= 0 and remedy >= 0 and count(text[:why] + text[remedy:]) <= budget:
+        return text[:why] + text[remedy:]
+    parts = text.split("\n\n")
+    least = 2 if parts[0].startswith("---") and len(parts) > 2 else 1
+    for n in range(len(parts) - 1, least - 1, -1):
+        shorter = "\n\n".join(parts[:n]) + "\n\n" + CUT
+        if count(shorter) <= budget:
+            return shorter
+    low, high = -1, len(text)  # the longest head that fits; a longer one never costs less
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if count(text[:middle] + CUT) <= budget else (low, middle)
+    return text[:low] + CUT if low >= 0 else None
+
+
+def flat(value) -> str:
+    """Text of a string, of blocks, or of blocks within blocks: text, content, output and input of each, line by line."""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, dict):
+        value = [value]
+    out = []
+    for block in value if isinstance(value, list) else []:
+        if isinstance(block, str):
+            out.append(block)
+        elif isinstance(block, dict):
+            inner = flat(block.get("content"))
+            out += [x for x in (block.get("text"),) if isinstance(x, str)] + ([inner] if inner else [])
+            out += [x for x in (block.get("output"), block.get("input")) if isinstance(x, str)]
+    return "\n".join(out)
+
+
+@F.pandas_udf(StringType())
+def flattened(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: flat(json.loads(x)) if x else "")
+
+
+def members(value):
+    """A JSON value without members that are null."""
+    if isinstance(value, dict):
+        return {k: members(v) for k, v in value.items() if v is not None}
+    return [members(v) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(StringType())
+def without_nulls(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else json.dumps(members(json.loads(x)), separators=(",", ":"), ensure_ascii=False))

@@ -29,11 +29,14 @@ def history(table: DataFrame, batch: DataFrame, keys: list[str], changed_at: Col
     return table.join(batch.select(*keys).distinct(), keys, "left_semi").withColumn("changed_at", changed_at)
 
 
-def checked_edges(edges: DataFrame) -> DataFrame:
-    """Edges once a pair, confidence 1 where unset; an interval that ends before it starts is an error."""
+def checked_edges(edges: DataFrame, strict: bool = True) -> DataFrame:
+    """Edges once a pair, confidence 1 where unset. An interval that ends before it starts is an error; if not `strict`, it is marked in
+    `refused` (null where an end is open)."""
     wrong = F.col("valid_to") < F.col("valid_from")
-    sound = edges.withColumn("confidence", F.when(wrong, F.raise_error(F.lit("valid_to before valid_from"))).otherwise(F.coalesce("confidence", F.lit(1.0))))
-    return sound.dropDuplicates(["src", "dst"])
+    once = edges.dropDuplicates(["src", "dst"])
+    if not strict:
+        return once.withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).withColumn("refused", wrong)
+    return once.withColumn("confidence", F.when(wrong, F.raise_error(F.lit("valid_to before valid_from"))).otherwise(F.coalesce("confidence", F.lit(1.0))))
 
 
 def close_edges(edges: DataFrame, pairs: DataFrame, at: Column) -> DataFrame:
@@ -65,3 +68,41 @@ def mirror(table: DataFrame, live: DataFrame, key: str) -> DataFrame:
 def hand_over(kv: DataFrame, parent: str, child: str) -> DataFrame:
     """The parent's values also as the child's."""
     return kv.unionByName(kv.where(F.col("session_id") == parent).withColumn("session_id", F.lit(child)))
+
+
+def hand_over_all(kv: DataFrame, children: DataFrame) -> DataFrame:
+    """All values, and each parent's also as its child's. children: session_id (the parent), child."""
+    return kv.unionByName(kv.join(children, "session_id").select(F.col("child").alias("session_id"), *(c for c in kv.columns if c != "session_id")))
+
+
+def kv_rows(rows: DataFrame, ttl: int = 300) -> DataFrame:
+    """Rows (session_id, key, value, updated_at, ...) with `expires_at` in seconds: keys `broadcast:k[:seconds]` expire, `ttl` seconds
+    later where none are said, and are kept as `broadcast:k`."""
+    form = r"^(broadcast:[^:]+)(?::(\d+))?$"
+    shared = F.col("key").rlike(form)
+    said = F.regexp_extract("key", form, 2)
+    life = F.when(said == "", ttl).otherwise(said.try_cast("long"))
+    out = rows.withColumn("expires_at", F.when(shared, F.unix_timestamp("updated_at") + life))
+    return out.withColumn("key", F.when(shared, F.regexp_extract("key", form, 1)).otherwise(F.col("key")))
+
+
+def upsert_actions(have: DataFrame, batch: DataFrame) -> DataFrame:
+    """What each row of `batch` (doc_id, path, hash; one a path) does to `have` (id, path, hash): update its path's row, keep the row of
+    the same content, or be inserted (the first of a content). utility: what an inserted row's metrics start with."""
+    by_path = have.select("path", F.col("id").alias("by_path"))
+    by_hash = have.groupBy("hash").agg(F.min("id").alias("by_hash"))
+    met = batch.join(by_path, "path", "left").join(by_hash, "hash", "left")
+    new = F.col("by_path").isNull() & F.col("by_hash").isNull()
+    first = met.where(new).groupBy("hash").agg(F.min("doc_id").alias("first"))
+    rows = met.join(first, "hash", "left").withColumn("fresh", new & (F.col("first") == F.col("doc_id")))
+    action = F.when(F.col("by_path").isNotNull(), "update").when(F.col("fresh"), "insert").otherwise("keep")
+    return rows.select("doc_id", action.alias("action"), F.coalesce("by_path", "by_hash", "first").alias("id"), F.when(F.col("fresh"), 50).alias("utility"))
+
+
+def updated(table: DataFrame, changes: list[tuple[Column, dict[str, Column]]]) -> DataFrame:
+    """Rows that a condition holds for get its values; later changes win. Conditions are about the rows as they were."""
+    values: dict[str, Column] = {}
+    for test, new in changes:
+        for name, value in new.items():
+            values[name] = F.when(test, value).otherwise(values.get(name, F.col(name)))
+    return table.select(*(values[c].alias(c) if c in values else F.col(c) for c in table.columns))

@@ -4,72 +4,128 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from recollect.functions import texts
+from recollect.sources import staging
 
 
 def pack_budget(rows: DataFrame, group: str, budget: int) -> DataFrame:
-    """Per group, in order of hierarchy and score, takes what still fits the budget and goes on after what doesn't.
-    Columns: group, id, hierarchy, score, tokens. A group is a result list, so it is bounded by its limit."""
+    """Per group, in order of hierarchy and score, takes what still fits the budget, and goes on after what doesn't. Columns: group, id,
+    hierarchy, score, tokens; with `text`, what doesn't fit is cut to what is left, if it can be. A group is a result list, so it is
+    bounded by its limit. Returns group, id, and the text that is kept."""
+    cut = "text" in rows.columns
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["hierarchy", "score", "id"], ascending=[True, False, True])
-        left, keep = budget, []
-        for n in pdf["tokens"]:
-            keep.append(n <= left)
-            left -= n if n <= left else 0
-        return pdf[keep][[group, "id"]]
-
-    return rows.groupBy(group).applyInPandas(fold, f"{group} {dict(rows.dtypes)[group]}, id long")
-
-
-def greedy_clusters(rows: DataFrame, scope: str, similarity: float = 0.55, least: int = 2) -> DataFrame:
-    """Per scope, in order of id, an unassigned row takes all later unassigned rows that are similar enough; clusters under
-    `least` are dropped. Columns: scope, id, embedding. One scope is one fold, by the operator's definition."""
+        left, kept = budget, []
+        for row in pdf.itertuples():
+            text, need = (row.text if cut else None), row.tokens
+            if need > left and cut:
+                text = texts.compacted(row.text, left)
+                need = texts.token_estimate(text) if text is not None else left + 1
+            if need <= left:
+                left -= need
+                kept.append((getattr(row, group), row.id, text))
+        return pd.DataFrame(kept, columns=[group, "id", "text"]).astype({"text": object})
+
+    return rows.groupBy(group).applyInPandas(fold, f"{group} {dict(rows.dtypes)[group]}, id long, text string")
+
+
+def promoted(pdf: pd.DataFrame, pool: int, head: int = 10, want: int = 3, share: float = 0.3) -> pd.DataFrame:
+    """A result list, best first: sessions of the first `head` with fewer than `want` rows in the pool pull theirs from behind it, at most
+    `share` of the pool, in place of its last rows. Columns: id, session_id."""
+    inside, behind = pdf.iloc[:pool], pdf.iloc[pool:]
+    pulled = []
+    for session in dict.fromkeys(s for s in inside["session_id"].iloc[:head] if s is not None and s == s):
+        missing = want - int((inside["session_id"] == session).sum())
+        pulled += list(behind[behind["session_id"] == session].index[: max(0, missing)])
+    pulled = pulled[: int(share * pool)]
+    return pd.concat([inside.iloc[: pool - len(pulled)] if len(inside) == pool else inside, behind.loc[pulled]])
+
+
+def promote_sessions(rows: DataFrame, group: str, pool: int = 75) -> DataFrame:
+    """Per group (a result list, so bounded by its limit) the rows that promoted() keeps, with their rank. Columns: group, id, session_id,
+    score."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        v = np.stack([np.asarray(e, float) for e in pdf["embedding"]])
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        cluster = np.full(len(v), -1)
-        for i in range(len(v)):
-            if cluster[i] < 0:
-                cluster[(cluster < 0) & (np.arange(len(v)) >= i) & ((v @ v[i] >= similarity) | (np.arange(len(v)) == i))] = i
-        pdf = pdf.assign(cluster=pdf["id"].to_numpy()[cluster])
-        sizes = pdf.groupby("cluster")["id"].transform("size")
-        return pdf[sizes >= least][[scope, "id", "cluster"]]
-
-    return rows.groupBy(scope).applyInPandas(fold, f"{scope} {dict(rows.dtypes)[scope]}, id long, cluster long")
-
-
-def promote_sessions(rows: DataFrame, group: str, pool: int = 75, head: int = 10, want: int = 3, share: float = 0.3) -> DataFrame:
-    """Sessions of the top `head` with fewer than `want` rows in the pool pull theirs from behind it, at most `share` of the pool,
-    in place of its last rows. Columns: group, id, session, score."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        inside, behind = pdf.iloc[:pool], pdf.iloc[pool:]
-        pulled = []
-        for session in dict.fromkeys(inside["session"].iloc[:head]):
-            missing = want - int((inside["session"] == session).sum())
-            pulled += list(behind[behind["session"] == session].index[: max(0, missing)])
-        pulled = pulled[: int(share * pool)]
-        kept = pd.concat([inside.iloc[: pool - len(pulled)] if len(inside) == pool else inside, behind.loc[pulled]])
+        kept = promoted(pdf.sort_values(["score", "id"], ascending=[False, True]), pool)
         return kept.assign(rank=range(1, len(kept) + 1))[[group, "id", "rank"]]
 
     return rows.groupBy(group).applyInPandas(fold, f"{group} {dict(rows.dtypes)[group]}, id long, rank long")
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """Uniform start, fixed rounds, repeated edges count, dangling mass leaks. edges: src, dst."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    out = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    links = edges.join(out, "src")
-    n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n if n else 0.0))
-    for k in range(rounds):
-        sent = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        ranks = nodes.join(sent, nodes["node"] == sent["dst"], "left").select("node", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if k % 5 == 4 and edges.sparkSession.sparkContext.getCheckpointDir():
-            ranks = ranks.checkpoint()
-    return ranks
+def visible(scopes: list[str]) -> Column:
+    """Rows of some scopes or the general one, neither archived nor superseded, no artifacts, no logs. Columns: scope, archived,
+    vault_path, status, node_type."""
+    path = F.col("vault_path").isNull() | ~F.col("vault_path").contains("wiki/artifacts/")
+    return F.col("scope").isin([*scopes, "general"]) & ~F.coalesce("archived", F.lit(False)) & path & (F.col("status") != "superseded") & ~F.col("node_type").isin("tool_execution", "system_log", "handoff_event")
+
+
+def structured(rows: DataFrame, order: Column, concepts: list, files: list[str], limit: int) -> DataFrame:
+    """The best 3 * limit rows, filtered by concepts and files; unfiltered if none passes; at most `limit`. Columns: concepts,
+    files_read, files_modified."""
+    best = rows.orderBy(order).limit(3 * limit)
+    passes = F.arrays_overlap("concepts", F.array(*(F.lit(x) for x in concepts))) & F.arrays_overlap(F.concat("files_read", "files_modified"), F.array(*(F.lit(x) for x in files)))
+    marked = best.withColumn("_pass", F.coalesce(passes, F.lit(False)))
+    kept = marked.withColumn("_any", F.max("_pass").over(Window.partitionBy())).where("_pass OR NOT _any")  # 3 * limit rows at most
+    return kept.orderBy(order).limit(limit).drop("_pass", "_any")
+
+
+def first_of_each(rows: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
+    """The first n rows of each key, numbered in `k`. Each task keeps only n a key, so a hot key costs no task all its rows."""
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("k") <= n)
+
+
+def contained(rules: DataFrame, texts: DataFrame, pattern: str, text: str, width: int) -> DataFrame:
+    """`rules` with `hits`, the number of texts that contain their pattern, where there are any. Patterns are about `width` long: the
+    texts' own pieces of each length that occurs meet them in an equi join."""
+    lengths = sorted(r[0] for r in rules.select(F.length(pattern)).distinct().collect())  # a few numbers
+    wanted = rules.select(F.col(pattern).alias("_piece")).distinct()
+    hits = None
+    for n in lengths:
+        cut = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(F.col(text), i, F.lit(n)))  # noqa: B023
+        pieces = texts.where(F.length(text) >= n).select(F.explode(F.array_distinct(cut)).alias("_piece"))
+        met = pieces.join(wanted.where(F.length("_piece") == n), "_piece").groupBy("_piece").agg(F.count("*").alias("hits"))
+        hits = met if hits is None else hits.unionByName(met)
+    if hits is None:
+        return rules.withColumn("hits", F.lit(0).cast("long")).limit(0)
+    return rules.join(hits.withColumnRenamed("_piece", pattern), pattern)
+
+
+def all_parts(items: DataFrame, key: str, parts: str, docs: DataFrame, text: str, most: int = 1 << 20) -> DataFrame:
+    """Per item the number of texts that contain all its parts. The longest word that stands whole inside a part is looked up among the
+    texts' words, which leaves few texts to search. Items without such a word are compared with every text."""
+    inside = F.flatten(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"), F.lit(0))))
+    longest = F.element_at(F.array_sort(inside, lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, -1).when(a > b, 1).otherwise(0)), -1)
+    asked = staging.staged(items.select(key, parts, F.when(F.size(inside) > 0, longest).alias("_word")), "items")
+    numbered = docs.select(text).withColumn("_row", F.monotonically_increasing_id())
+    rows = staging.staged(numbered, "texts")
+    words = rows.select("_row", F.explode(F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+"))).alias("_word"))
+    wanted = asked.where("_word IS NOT NULL").select("_word", key)
+    met = words.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "_word").select("_row", key)
+    found = met.join(rows, "_row").join(asked.select(key, parts), key).where(F.forall(parts, lambda p: F.contains(F.col(text), p))).groupBy(key).agg(F.count("*").alias("hits"))
+    rest = asked.where("_word IS NULL").select(key, parts)
+    slow = rows.join(F.broadcast(rest), F.forall(parts, lambda p: F.contains(F.col(text), p))).groupBy(key).agg(F.count("*").alias("hits"))
+    return items.select(key).join(found.unionByName(slow), key, "left").select(key, F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def diverse(pool: DataFrame, key: str, n: int, share: float) -> DataFrame:
+    """The first n rows by maximal marginal relevance: share * sim less (1 - share) times the greatest product with a row chosen before.
+    pool: key, embedding, sim; a result list, so bounded by its limit."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["sim", key], ascending=[False, True]).reset_index(drop=True)
+        v = np.stack(pdf["embedding"].to_numpy()).astype(float)
+        worst, chosen = np.zeros(len(pdf)), []
+        for _ in range(min(n, len(pdf))):
+            gain = np.round(share * pdf["sim"].to_numpy() - (1 - share) * worst, 9)
+            gain[chosen] = -np.inf
+            best = int(np.argmax(gain))
+            chosen.append(best)
+            worst = np.maximum(worst, v @ v[best]) if len(chosen) > 1 else v @ v[best]
+        return pd.DataFrame({key: pdf[key].to_numpy()[chosen], "place": range(1, len(chosen) + 1)})
+
+    return pool.groupBy().applyInPandas(fold, f"{key} long, place int")

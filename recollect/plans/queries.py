@@ -1,102 +1,53 @@
-"""Queries that SQL can't express."""
+"""All queries of the package and their SQL. A DataFrame plan comes before a text that both engines share."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from recollect.functions import stem, texts, words
-from recollect.operators import folds
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def stem_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4: the stemmer runs once a distinct term."""
-
-    @F.pandas_udf("string")
-    def stemmed(s: pd.Series) -> pd.Series:
-        return s.map(stem.stem)
-
-    terms = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}-]+")).alias("term")).where("term <> ''").distinct()
-    return terms.where(~F.col("term").isin(words.STOP_WORDS)).select("term", stemmed("term").alias("stem"))
-
-
-def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T14 D15."""
-
-    @F.pandas_udf("string")
-    def redacted(s: pd.Series) -> pd.Series:
-        return s.map(texts.redact)
-
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redacted("text"), 256).alias("redacted_sha256"))
-
-
-def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H2."""
-
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: texts.split_recursive(t or "", 2000))
-
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut("text")).alias("part", "chunk"))
-
-
-def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T7."""
-
-    @F.pandas_udf("long")
-    def estimate(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: texts.token_estimate(t or ""))
-
-    return table(spark, sf_dir, "documents").select("doc_id", estimate("text").alias("tokens"))
-
-
-def temporal_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S28 S30."""
-
-    @F.pandas_udf("string")
-    def cue(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: (words.temporal_cue(t or "") or (None,))[0])
-
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", cue("text").alias("cue"))
-
+from recollect.functions import columns as c
+from recollect.operators import folds, lines
+from recollect.plans import feeds, graph, retrieval, search, tables, texts
+from recollect.plans.catalog import PLANS
+from recollect.plans.registry import REGISTRY, Tables, query
 
-def token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W8 T17: per source, the best documents within a budget; the result list is cut to 75 before the fold, as the operator does."""
-    from pyspark.sql.window import Window
+MODULES = (feeds, graph, retrieval, search, tables, texts)
 
-    d = table(spark, sf_dir, "documents").withColumn("score", F.col("doc_id") % 97)
-    top = d.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))).where("k <= 75")
-    rows = top.select("source", F.col("doc_id").alias("id"), (F.col("n_chars") % 6).alias("hierarchy"), "score", F.ceil(F.col("n_chars") / 4).alias("tokens"))
-    return folds.pack_budget(rows, "source", 8000)
 
+@query("T4", None)
+def stem_terms(t: Tables):
+    """The stemmer runs once a distinct term."""
+    terms = t("documents").select(F.explode(lines.terms(F.col("text"))).alias("term")).distinct()
+    return terms.select("term", lines.stemmed("term").alias("stem"))
 
-def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R12 R13."""
-    return folds.greedy_clusters(table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), "embedding"), "label")
 
+def pooled(t: Tables, group: str, most: int):
+    """The best rows of each group: a result list of a bounded length."""
+    d = t("documents").withColumn("score", (F.col("doc_id") * 37 % 1009).cast("double"))
+    return d.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "doc_id"))).where(F.col("k") <= most)
 
-def diversity_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W11: per language of the 150 best candidates of its search."""
-    from pyspark.sql.window import Window
 
-    d = table(spark, sf_dir, "documents").withColumn("score", (F.col("doc_id") * 37 % 1009).cast("double"))
-    top = d.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), "doc_id"))).where("k <= 150")
-    return folds.promote_sessions(top.select("lang", F.col("doc_id").alias("id"), F.col("source").alias("session"), "score"), "lang")
+@query("W8 T17", None)
+def token_packing(t: Tables):
+    """Each source's result list within a budget, by hierarchy; what is too long is cut to what is left."""
+    tier = F.element_at(F.array(F.lit("wisdom"), F.lit("project"), F.lit("session"), F.lit("working")), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = pooled(t, "source", 75).withColumn("text", F.coalesce("text", F.lit("")))
+    ranked = rows.select("source", F.col("doc_id").alias("id"), c.hierarchy(tier, F.lit(None).cast("string"), F.lit("")).alias("hierarchy"), "score", c.token_estimate(F.col("text")).alias("tokens"), "text")
+    return folds.pack_budget(ranked, "source", 8000)
 
 
-def pagerank_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R8."""
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 10_000_000).alias("dst"))
-    return folds.pagerank(edges.union(edges.select("dst", "src")), 10)
+@query("W11", """WITH r AS (SELECT lang, doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY doc_id * 37 % 1009 DESC, doc_id) AS k FROM documents
+  QUALIFY k <= 150), h AS (SELECT lang, source, min(k) AS first FROM r WHERE k <= 10 GROUP BY lang, source), m AS (SELECT h.*, 3 - (SELECT count(*)
+  FROM r WHERE r.lang = h.lang AND r.source = h.source AND r.k <= 75) AS miss FROM h),
+b AS (SELECT r.lang, r.doc_id, r.k, first, miss, row_number() OVER (PARTITION BY r.lang, r.source ORDER BY r.k) AS j FROM r
+  JOIN m ON m.lang = r.lang AND m.source = r.source WHERE r.k > 75), p AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang
+  ORDER BY first, k) AS o FROM b WHERE j <= miss QUALIFY o <= 22), n AS (SELECT lang, count(*) AS n FROM p GROUP BY lang),
+a AS (SELECT r.lang, r.doc_id, r.k AS o FROM r LEFT JOIN n ON n.lang = r.lang WHERE r.k <= 75 - coalesce(n, 0) UNION ALL
+  SELECT lang, doc_id, 1000 + o FROM p) SELECT lang, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY o) AS rank FROM a""")
+def diversity_promotion(t: Tables):
+    """Sessions of the first ten get three rows each in the pool, from behind it."""
+    return folds.promote_sessions(pooled(t, "lang", 150).select("lang", F.col("doc_id").alias("id"), F.col("source").alias("session_id"), "score"), "lang")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (stem_terms, secret_redaction, recursive_chunks, token_estimates, temporal_cues, token_packing, greedy_clusters, diversity_promotion, pagerank_10)
-}
+QUERIES = {name: plan.spark for name, plan in PLANS.items()} | {name: q.spark for name, q in REGISTRY.items()}
+ORACLE_SQL = {name: plan.duck() for name, plan in PLANS.items() if name not in REGISTRY} | {name: q.sql for name, q in REGISTRY.items() if q.sql}

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from recollect.functions import texts
-
-
-@F.pandas_udf(StringType())
-def redacted(s: pd.Series) -> pd.Series:
-    return s.map(texts.redact)
+from recollect.functions import columns
 
 
 def write_texts(df: DataFrame, folder: str, column: str = "text") -> None:
-    df.withColumn(column, redacted(column)).write.parquet(folder)
+    df.withColumn(column, columns.redacted(F.col(column))).write.parquet(folder)
 
 
 def write_results(df: DataFrame, folder: str) -> None:
@@ -29,3 +22,11 @@ def write_report(metrics: DataFrame, folder: str) -> None:
     lines = metrics.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names)), F.lit(" |")).alias("value"))
     head = metrics.sparkSession.createDataFrame([(f"| {' | '.join(names)} |",), (f"|{' --- |' * len(names)}",)], "value string")
     head.coalesce(1).union(lines.coalesce(1)).coalesce(1).write.text(folder)
+
+
+def write_run(results: DataFrame, metrics: DataFrame, facts: dict[str, str], folder: str) -> None:
+    """A run's result lines, its report, and last its manifest with what it was and how many results there are."""
+    write_results(results, f"{folder}/results")
+    write_report(metrics, f"{folder}/report")
+    counted = results.agg(F.count("*").alias("results"))
+    counted.select(*(F.lit(v).alias(k) for k, v in facts.items()), "results").coalesce(1).write.json(f"{folder}/manifest")

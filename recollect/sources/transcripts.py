@@ -1,19 +1,28 @@
-"""Readers of conversation files: JSON lines, message arrays, step logs, markdown and code trees."""
+"""Readers of conversation files: JSON lines, documents, key-value lines, step logs, markdown and code trees. What can't be read is
+kept apart, never dropped."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.functions import columns as c
+
 MESSAGE = "role string, speaker string, content string, text string, message string, _bad string"
 
 
 def jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(messages with role and text, unreadable lines): the first of several spellings of each field."""
-    raw = spark.read.schema(MESSAGE).option("columnNameOfCorruptRecord", "_bad").json(path)
+    """(messages with role and text, unreadable lines with their file): the first of several spellings of each field."""
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("file", F.input_file_name())
+    raw = lines.select("file", F.from_json("value", MESSAGE, {"columnNameOfCorruptRecord": "_bad"}).alias("m")).select("file", "m.*")
     good = raw.where("_bad IS NULL").select(F.coalesce("role", "speaker", F.lit("unknown")).alias("role"), F.coalesce("content", "text", "message").alias("text"))
-    lines = spark.read.text(path)
-    return good, lines.where(F.from_json("value", "map<string,string>").isNull())
+    return good, raw.where("_bad IS NOT NULL").select("file", F.col("_bad").alias("line"), F.lit("not a JSON object").alias("error"))
+
+
+def quarantined(bad: DataFrame, folder: str) -> None:
+    """Moves unreadable lines aside, with their file and what was wrong."""
+    bad.write.mode("append").json(folder)
 
 
 def message_arrays(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +32,44 @@ def message_arrays(spark: SparkSession, path: str) -> DataFrame:
     return many.unionByName(raw.where("messages IS NULL").select("role", F.col("content").alias("text")))
 
 
+MESSAGES = "array<struct<role: string, content: string>>"
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, role, text): a file that is an array of messages, or an object with `messages`, or else lines of messages."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
+    listed = F.from_json("body", MESSAGES)
+    inner = F.from_json("body", f"messages {MESSAGES}")["messages"]
+    each = F.filter(F.transform(c.lines(F.col("body")), lambda x: F.from_json(x, "role string, content string")), lambda m: m["role"].isNotNull() | m["content"].isNotNull())
+    whole = F.when(F.trim("body").startswith("["), listed).otherwise(inner)
+    found = F.when(F.size(F.coalesce(whole, F.array().cast(MESSAGES))) > 0, whole).otherwise(each)
+    return raw.select("file", F.posexplode(found).alias("place", "m")).select("file", "place", F.coalesce("m.role", F.lit("unknown")).alias("role"), F.coalesce("m.content", F.lit("")).alias("text"))
+
+
+def assigned(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, role, text) of lines role = "..." and content = "...", in any order of the two; what is no message is read over."""
+
+    def pairs(s: pd.Series) -> pd.Series:
+        return s.map(_pairs)
+
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
+    made = F.pandas_udf(pairs, MESSAGES)
+    return raw.select("file", F.posexplode(made("body")).alias("place", "m")).select("file", "place", "m.role", F.col("m.content").alias("text"))
+
+
+def _pairs(body: str | None) -> list[dict[str, str]]:
+    out, now = [], {}
+    for line in (body or "").splitlines():
+        name, mark, rest = line.strip().partition("=")
+        name, quoted = name.rstrip(), rest.split('"')
+        if mark and name in ("role", "content") and len(quoted) > 2:
+            now[name] = quoted[1]
+        if now.get("role") and now.get("content"):
+            out.append(now)
+            now = {}
+    return out
+
+
 def step_log(spark: SparkSession, path: str) -> DataFrame:
     """User inputs and planner responses of a log in one document a file, in order; the first created_at dates it."""
     raw = spark.read.schema("step_index int, type string, content string, created_at string").json(path).withColumn("file", F.input_file_name())
@@ -31,10 +78,29 @@ def step_log(spark: SparkSession, path: str) -> DataFrame:
     return kept.groupBy("file").agg(F.array_join(F.transform(parts, lambda x: x["s"]), "\n\n").alias("text"), F.min("created_at").alias("created_at"))
 
 
-def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, sha256 and text of every file below a folder."""
+# Folders that a workspace walk leaves out.
+IGNORED = [".git", "node_modules", "target", "dist", "build", ".venv", "__pycache__"]
+
+
+def files(spark: SparkSession, folder: str, pattern: str = "*", depth: int | None = None) -> DataFrame:
+    """path, sha256 and text of every file below a folder, down to a depth; folders that hold no sources are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return raw.select("path", F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
+    below = F.split(F.regexp_replace("path", r"^.*?" + folder.rstrip("/").rpartition("/")[2] + "/", ""), "/")
+    kept = raw.where(~F.exists(F.slice(below, 1, F.greatest(F.size(below) - 1, F.lit(0))), lambda x: x.isin(IGNORED)))
+    if depth is not None:
+        kept = kept.where(F.size(below) <= depth)
+    return kept.select("path", F.sha2("content", 256).alias("sha256"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def tail(spark: SparkSession, folder: str, offsets: DataFrame) -> DataFrame:
+    """(path, text, next): what each file holds behind its stored offset (path, offset; none is 0); a file that is shorter than that is read
+    from its start. Only whole lines are taken, `next` is the offset behind them."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content", "length")
+    known = raw.join(offsets, "path", "left")
+    start = F.when(F.coalesce("offset", F.lit(0)) > F.col("length"), 0).otherwise(F.coalesce("offset", F.lit(0))).cast("int")
+    behind = F.substring("content", start + 1, F.greatest(F.col("length").cast("int") - start, F.lit(0)))
+    whole = F.regexp_extract(F.make_valid_utf8(behind.cast("string")), r"(?s)\A(.*\n)", 1)
+    return known.select("path", whole.alias("text"), (start + F.octet_length(whole)).cast("long").alias("next"))
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import dml
+from recollect.operators import dml, folds
 from recollect.plans import search
 from recollect.sources import sinks
 
@@ -44,15 +44,47 @@ def test_sinks(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/r").collect()) == ["| 1 |", "| id |", "| --- |"] or spark.read.text(f"{tmp_path}/r").count() == 3
 
 
+def memory(spark):
+    at = "2024-01-01 00:00:00"
+    turn = lambda i, text, vec, session, archived=False, title="Note", node="agent_thought": (i, title, text, session, "general", None, archived, "active", node, 0.5, at, 1.0, vec)
+    shape = "id string, title string, content string, session_id string, scope string, vault_path string, archived boolean, status string, node_type string, importance double, aged_at string, confidence double, embedding array<double>"
+    episodes = [turn("a", "the hotel booking in rome", [1.0, 0.0], "u_1"), turn("b", "a hotel", [0.9, 0.436], "v_1"), turn("c", "weather report", [0.0, 1.0], "u_2"), turn("d", "hotel rome rome", [0.99, 0.14], "v_2", True), turn("l", "hotel", [1.0, 0.0], None, node="system_log")]
+    make = lambda rows: spark.createDataFrame(rows, shape).withColumn("aged_at", F.to_timestamp("aged_at"))
+    wiki = [("w", "Rome", "all about rome", None, "general", None, False, "active", "insight", 0.6, at, None, [0.95, 0.31]), ("x", "Old", "hotel rome", None, "other", None, False, "active", "insight", 0.6, at, None, [1.0, 0.0])]
+    rule = [("r", "Rule", "book early", None, "general", None, False, "superseded", "rule", 0.9, at, None, [1.0, 0.0])]
+    none = spark.createDataFrame([], "src string, dst string")
+    return {"episode": make(episodes), "wiki": make(wiki), "rule": make(rule), "followed": spark.createDataFrame([("c", "a")], none.schema), "relates": spark.createDataFrame([("a", "w")], none.schema)}
+
+
 def test_search(spark):
-    t = "2024-01-01 00:00:00"
-    docs = spark.createDataFrame(
-        [("a", "the hotel booking in rome", [1.0, 0.0], "u_1", t, 5.0, False), ("b", "a hotel", [0.9, 0.436], "v_1", t, 5.0, False), ("c", "weather report", [0.0, 1.0], "u_2", t, 5.0, False), ("d", "hotel rome rome", [0.99, 0.14], "v_2", t, 5.0, True)],
-        "id string, content string, embedding array<double>, session_id string, created_at string, importance double, archived boolean",
-    )
-    got = search.search(docs, ["hotel", "rome"], [1.0, 0.0], "2024-01-02 00:00:00").collect()
-    assert [r["id"] for r in got][0] == "a" and "c" not in [r["id"] for r in got] and [r["id"] for r in got][-1] in ("b", "d")
-    assert search.search(docs, ["hotel"], None, t, p=search.Params(limit=1, threshold=0.0)).first()["has_more"]
-    boosted = search.search(docs, ["hotel"], [1.0, 0.0], t, session="v_7").collect()
-    assert boosted[0]["id"] in ("b", "d")
-    assert search.search(docs.limit(0), ["x"], None, t).collect() == []
+    tables, ask = memory(spark), lambda **k: search.Request(**{"query": "hotel rome", "vector": [1.0, 0.0], "anchor": "2024-01-02 00:00:00", "threshold": 0.2} | k)
+    ids = lambda **k: [r["id"] for r in search.search(tables, ask(**k)).orderBy("place").collect()]
+    assert ids()[0] == "a" and not {"b", "d", "l", "x", "r", "w"} & set(ids())  # others' turns, archived ones, logs, other scopes, old rules; w is shown with a
+    assert "x" in ids(everywhere=True) and "b" in ids(session="v_7") and "a" not in ids(session="v_7")
+    assert {"d", "b"} <= set(ids(session="v_7", include_archived=True, threshold=0.1))
+    assert ids(limit=1, offset=1, session="v_7") != ids(limit=1, session="v_7")
+    assert "c" not in ids(threshold=0.4) and "c" in ids(query="hotel rome before", threshold=0.4)  # a cue brings the turn before
+    assert ids(vector=None, session="u_9", threshold=0.1)[0] == "a"
+    empty = {k: v.limit(0) for k, v in tables.items()}
+    assert search.search(empty, ask()).collect() == [] and search.search(empty, ask(vector=None, query="?")).collect() == []
+    packed = search.search(tables, ask(token_budget=20, session="u_1")).collect()
+    assert [r["id"] for r in packed if r["id"] == "a"] == ["a"] and all(r["total"] >= len(packed) for r in packed)
+
+
+def test_upserts(spark):
+    have = spark.createDataFrame([(1, "p", "h1"), (2, "q", "h2")], "id long, path string, hash string")
+    batch = spark.createDataFrame([(10, "p", "x"), (11, "new", "h2"), (12, "a", "n"), (13, "b", "n")], "doc_id long, path string, hash string")
+    assert rows(dml.upsert_actions(have, batch), "doc_id", "action", "id", "utility") == [(10, "update", 1, None), (11, "keep", 2, None), (12, "insert", 12, 50), (13, "keep", 12, None)]
+    kv = spark.createDataFrame([("k",), ("broadcast:a",), ("broadcast:a:60",), ("broadcast:a:b",)], "key string").withColumn("updated_at", F.timestamp_seconds(F.lit(100)))
+    assert [tuple(r) for r in dml.kv_rows(kv).select("key", "expires_at").collect()] == [("k", None), ("broadcast:a", 400), ("broadcast:a", 160), ("broadcast:a:b", None)]
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "i int, s string")
+    assert rows(dml.updated(df, [(F.col("i") == 1, {"s": F.lit("a")}), (F.col("i") > 0, {"i": F.col("i") + 1})]), "i", "s") == [(2, "a"), (3, "y")]
+    children = spark.createDataFrame([("p", "c")], "session_id string, child string")
+    assert rows(dml.hand_over_all(spark.createDataFrame([("p", "k", 1), ("o", "k", 2)], "session_id string, key string, value int"), children), "session_id", "value") == [("c", 1), ("o", 2), ("p", 1)]
+
+
+def test_budget(spark):
+    plain = spark.createDataFrame([("g", 1, 0, 5.0, 60), ("g", 2, 1, 9.0, 50), ("g", 3, 1, 8.0, 30)], "g string, id long, hierarchy long, score double, tokens long")
+    assert sorted(r["id"] for r in folds.pack_budget(plain, "g", 100).collect()) == [1, 3]
+    cut = spark.createDataFrame([("g", 1, 0, 5.0, 101, "word " * 50), ("g", 2, 1, 9.0, 3, "ab c")], "g string, id long, hierarchy long, score double, tokens long, text string")
+    assert [r["id"] for r in folds.pack_budget(cut, "g", 60).orderBy("id").collect()] in ([1], [1, 2])

@@ -2,13 +2,13 @@
 
 import pandas as pd
 
-from recollect.plans.catalog import PLANS
+from recollect.plans.queries import QUERIES
 
 
 def run(spark, folder, name, **tables):
     for t, rows in tables.items():
         pd.DataFrame(rows).to_parquet(f"{folder}/{t}.parquet")
-    return PLANS[name].spark(spark, str(folder)).collect()
+    return QUERIES[name](spark, str(folder)).collect()
 
 
 def test_fragment_recall_searches_every_item_and_its_whole_text(spark, tmp_path):
