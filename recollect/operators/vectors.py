@@ -38,7 +38,7 @@ def unit(embedding):
     """A vector of length 1; null for a vector without one."""
     wide = F.transform(embedding, lambda x: x.cast("double"))
     length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(wide, lambda x: x / length))
+    return F.when(length > 0, F.zip_with(wide, F.array_repeat(length, F.size(wide)), lambda x, y: x / y))  # the length is taken once
 
 
 def best(sims: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:

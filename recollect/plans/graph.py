@@ -369,6 +369,16 @@ def wisdom_rules(t: Tables):
 # Chunks and names
 
 
+@query("H1", PLANS["fixed_chunks"].duck())
+def fixed_chunks(t: Tables):
+    """Windows of 200 words, each 20 words into the one before, cut within a row."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    rows = t("documents").select("doc_id", words.alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.when(F.size("w") <= 200, 0).otherwise(F.ceil((F.size("w") - 200) / 180.0)).cast("int"))
+    cut = F.transform(starts, lambda i: F.array_join(F.slice("w", i * 180 + 1, F.lit(200)), " "))
+    return rows.select("doc_id", F.posexplode(cut).alias("part", "chunk")).select("doc_id", F.col("part").cast("long").alias("part"), "chunk")
+
+
 @query("H4", None)
 def section_groups(t: Tables):
     """Sections of a text in groups of a bounded number of tokens; a section that is longer is cut into windows, and a group over

@@ -453,7 +453,7 @@ def mock_embeddings(t: Tables):
     seed = F.array_repeat(F.xxhash64("text"), 768)  # the text is hashed once
     raw = rows.select("doc_id", F.transform(seed, lambda x, i: F.xxhash64(x, i) / 2.0**63).alias("raw"))
     length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))
-    unit = raw.select("doc_id", F.transform("raw", lambda x: x / length).alias("v"))
+    unit = raw.select("doc_id", F.zip_with("raw", F.array_repeat(length, 768), lambda x, y: x / y).alias("v"))
     marked = unit.select("doc_id", F.size("v").alias("n"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), F.xxhash64("v").alias("h"))
     first = marked.groupBy("h").agg(F.min("doc_id").alias("first"))
     return marked.join(first, "h").select("doc_id", "n", "norm", (F.col("doc_id") == F.col("first")).alias("first_of_its_text"))
