@@ -126,7 +126,8 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
 
 def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Adds sequence_id and offset to `pieces` (any columns, among them `length`, 1 to capacity, and those of `order`, which
-    decide the rank among pieces of one length). `pieces` is read more than once: pass a stored table."""
+    decide the rank among pieces of one length, nulls first; equal ones in any order). `pieces` is read more than once: pass a stored
+    table. Its other columns may have any names but n_buckets, bucket, rank and ahead."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     slots, _ = plan(counts, capacity)
     each = max(256, sum(counts.values()) >> 16)  # so there are at most 2**16 + capacity buckets
@@ -146,5 +147,7 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, order
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Packs every document. An empty table gives no rows."""
+    """Packs every document, a row a piece. An empty table gives no rows; null and empty texts are a piece of the end id alone; null ids
+    and repeated rows are packed like others; only texts longer than a sequence are cut, however long they are. Other columns of `docs`
+    aren't read."""
     return pack(spark, common.staged(spark, token_pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)

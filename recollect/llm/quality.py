@@ -187,6 +187,8 @@ def scored(stats: DataFrame, model: Ensemble, threshold: float = THRESHOLD) -> D
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scores of all rows. Null and empty texts have zero statistics; repeated rows score alike."""
+    """Scores of all rows. Null and empty texts have zero statistics; repeated rows score alike; a null doc_id is in no fold and
+    trains nothing; an empty table gives no rows, and without labels all score alike. Very long texts are counted whole; other columns
+    of `docs` aren't read."""
     stats = common.staged(spark, statistics(docs), "statistics")
     return scored(stats, train(stats, labels))

@@ -95,3 +95,21 @@ def test_stages_and_run(spark, tmp_path):
     for r in got:
         fill[r["sequence_id"]] += r["length"]
     assert max(fill.values()) <= 4096 and len(fill) <= -(-sum(fill.values()) // 4096) + 1
+
+
+def test_clashing_names_an_empty_table_and_odd_rows(spark, tmp_path):
+    rows, items, labels = fixture()
+    rows = [*rows[:80], (None, "no id at all, but words enough to be a text of its own", "en", "s", 1), (3, rows[3][1], "en", "s9", 2), (700, "z" * 400_000, None, None, None), (701, "", "en", None, 0)]
+    extra = ", gone int, leaked string, _spans int, _span_doc int, _r0_id int, _r0_spans string, part int, class int, start int"
+    names = [c.split()[0] for c in (COLUMNS + extra).split(", ")]
+    docs = spark.createDataFrame([(*r, 1, "l", 2, 3, 4, "s", 5, 6, 7) for r in rows], COLUMNS + extra)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == names and {tuple(r)[5:] for r in out.collect()} == {(1, "l", 2, 3, 4, "s", 5, 6, 7)}
+        kept = [r["doc_id"] for r in out.collect()]
+        assert None in kept and 700 in kept and 701 in kept
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).count() >= len(rows)
+    docs.limit(0).select(*names[:5]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
