@@ -1,4 +1,4 @@
-"""Plans whose text both engines share, and the SQL that some DataFrame plans are checked against. Each over the whole of its tables."""
+"""SQL that DataFrame plans of the same name are checked against, by their common parts. Each over the whole of its tables."""
 
 from __future__ import annotations
 

@@ -1,38 +1,14 @@
-"""One text, two engines: plans are written once and rendered as Spark SQL and as the DuckDB SQL they are checked against.
-
-Names that start with @ stand for what the engines spell differently.
-"""
+"""The shorthand in which the catalog's SQL is written, and its rendering for DuckDB. Names that start with @ stand for longer forms."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-SPARK = {
-    "SPLIT": "split",
-    "EXPLODE": "explode",
-    "LEN": "size",
-    "DISTINCT": "array_distinct",
-    "SHA": lambda x: f"sha2({x}, 256)",
-    "EPOCH": lambda x: f"unix_timestamp({x})",
-    "BYTES": lambda x: f"octet_length({x})",
-    "SUB": lambda x: "regexp_replace(" + x + ")",
+DUCK = {
     "FIND": lambda x: "regexp_extract(" + x + ")",
-    "HAS": lambda x: "regexp_like(" + x + ")",
-    "KEEP": lambda x: "filter(" + x.replace("=>", "->") + ")",
-    "MAP": lambda x: "transform(" + x.replace("=>", "->") + ")",
-    "DOT": lambda x: "aggregate(zip_with({0}, {1}, (p, q) -> CAST(p AS DOUBLE) * CAST(q AS DOUBLE)), CAST(0 AS DOUBLE), (s, p) -> s + p)".format(*x.split(", ")),
-    "RANGE": lambda x: "sequence({0}, {1})".format(*x.split(", ")),
-    "JOINED": lambda x: "array_join(" + x + ")",
-    "SLICE": lambda x: "slice({0}, {1}, {2})".format(*x.split("; ")),
-    "GET": lambda x: "element_at(" + x + ")",
-    "R": "r",
-}
-DUCK = SPARK | {
     "SPLIT": "regexp_split_to_array",
     "EXPLODE": "unnest",
     "LEN": "len",
@@ -54,11 +30,10 @@ DUCK = SPARK | {
 
 
 def render(sql: str, names: dict) -> str:
-    """Replaces @NAME and @NAME(arguments), innermost first. Numbers with a point are doubles in both engines."""
+    """Replaces @NAME and @NAME(arguments), innermost first. Numbers with a point become doubles."""
     sql = "'".join(x if i % 2 else re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", x) for i, x in enumerate(sql.split("'")))
-    while m := re.search(r"@([A-Z]+)", sql):
-        for m in reversed(list(re.finditer(r"@([A-Z]+)", sql))):  # the last one has no other inside its arguments
-            break
+    while found := list(re.finditer(r"@([A-Z]+)", sql)):
+        m = found[-1]  # the last one has no other inside its arguments
         value = names[m[1]]
         if callable(value):
             depth, at = 1, m.end() + 1
@@ -73,16 +48,10 @@ def render(sql: str, names: dict) -> str:
 
 @dataclass(frozen=True)
 class Plan:
-    """rows: the survey rows it covers; sql: its text; setup: common table expressions by name that it may use."""
+    """rows: the survey rows it covers; sql: its text."""
 
     rows: str
     sql: str
 
-    def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in TABLES:
-            if re.search(rf"\b{t}\b", self.sql):
-                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(render(self.sql, SPARK))
-
     def duck(self) -> str:
         return render(self.sql, DUCK)

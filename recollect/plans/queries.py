@@ -1,4 +1,4 @@
-"""All queries of the package and their SQL. A DataFrame plan comes before a text that both engines share."""
+"""All queries of the package and their SQL."""
 
 from __future__ import annotations
 
@@ -7,11 +7,10 @@ from pyspark.sql.window import Window
 
 from recollect.functions import columns as c
 from recollect.operators import folds, lines
-from recollect.plans import feeds, graph, retrieval, search, tables, texts
-from recollect.plans.catalog import PLANS
+from recollect.plans import basics, feeds, graph, retrieval, search, tables, texts
 from recollect.plans.registry import REGISTRY, Tables, query
 
-MODULES = (feeds, graph, retrieval, search, tables, texts)
+MODULES = (basics, feeds, graph, retrieval, search, tables, texts)
 
 
 @query("T4", None)
@@ -49,5 +48,5 @@ def diversity_promotion(t: Tables):
     return folds.promote_sessions(pooled(t, "lang", 150).select("lang", F.col("doc_id").alias("id"), F.col("source").alias("session_id"), "score"), "lang")
 
 
-QUERIES = {name: plan.spark for name, plan in PLANS.items()} | {name: q.spark for name, q in REGISTRY.items()}
-ORACLE_SQL = {name: plan.duck() for name, plan in PLANS.items() if name not in REGISTRY} | {name: q.sql for name, q in REGISTRY.items() if q.sql}
+QUERIES = {name: q.spark for name, q in REGISTRY.items()}
+ORACLE_SQL = {name: q.sql for name, q in REGISTRY.items() if q.sql}

@@ -136,6 +136,14 @@ def secret_redaction(t: Tables):
     return t("documents").select("doc_id", F.sha2(c.redacted(F.col("text")), 256).alias("redacted_sha256"))
 
 
+@query("T22", "SELECT doc_id, '* - [ ] open ' || lang AS line FROM documents UNION ALL SELECT doc_id, '- [x] done ' || doc_id FROM documents")
+def checklists(t: Tables):
+    """Lines of a list that are to be ticked, ticked or not, without the white space around them."""
+    text = said("head\n  * - [ ] open ", F.col("lang"), "\n- no\n- [x] done ", F.col("doc_id"), " \n| a |")
+    rows = t("documents").select("doc_id", F.explode(c.lines(text)).alias("line"))
+    return rows.where(c.any_of(F.col("line"), ["- [ ]", "- [x]"])).select("doc_id", c.trimmed(F.col("line")).alias("line"))
+
+
 # Entities, facts, code
 
 
