@@ -54,3 +54,34 @@ def test_empty(spark):
     assert tox.classify(spark, docs, labels).collect() == []
     kept = tox.passing(spark.createDataFrame([(1, "you moron", 0.0, "x"), (2, None, 0.0, "y")], DOCS), tox.Grammar()).collect()
     assert [tuple(r) for r in kept] == [(2, None, 0.0, "y")]
+
+
+def test_transducers_are_composed():
+    n, t, i = tox.NEGATION, tox.THREAT, tox.INSULT
+    assert tox.negation.read([n, 0, i, 0, i, tox.END, i]) == [0, 0, tox.NEGATED_INSULT, 0, i, tox.END, i]
+    assert tox.speech.read([tox.QUOTE, tox.NEGATED_INSULT, i, t, tox.END, i]) == [0, tox.NEGATED_INSULT, tox.TOLD_INSULT, tox.TOLD_THREAT, tox.END, i]
+    rng = random.Random(1)
+    chain = tox.then(tox.then(tox.negation, tox.speech), tox.aim)
+    other = tox.then(tox.negation, tox.then(tox.speech, tox.aim))  # composition is associative
+    for _ in range(300):
+        symbols = [rng.randrange(tox.INSULT + 1) for _ in range(rng.randint(0, 25))]
+        want = tox.aim.read(tox.speech.read(tox.negation.read(symbols)))
+        state, got = 0, []
+        for x in symbols:
+            got.append(tox.EMIT[state][x])
+            state = tox.NEXT[state][x]
+        assert chain.read(symbols) == other.read(symbols) == want == got
+
+
+def test_each_reading_adds_something():
+    good = ["a fine day", "you said so", "not an idiot", "he said moron", "they say clown", "i will not hurt you", "kill time", "nobody is a fool"] * 6
+    bad = ["you idiot", "you are scum", "i will kill you", "moron", "you clown", "they will hurt him"] * 6
+    rank = tox.ablation(good + bad, [0] * len(good) + [1] * len(bad), tox.learn([f"{t} {k}" for k, t in enumerate(good + bad)], [0] * len(good) + [1] * len(bad)))
+    assert rank[""] > 0.95 and rank["plain"] < rank[""] and rank["aimed"] < rank[""] and rank["threat"] < rank[""] and set(rank) == {"", *tox.READINGS}
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows = [(i, "moron " * 200 if i % 2 else "calm " * 200) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, 0.0, "") for i, t in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert tox.fit(docs, labels, most_bytes=0) == tox.Grammar() and tox.fit(docs, labels, most_bytes=50_000) != tox.Grammar()
