@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +114,7 @@ def contained(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id and fingerprint of every row; null text is empty."""
+    """doc_id and fingerprint of every row; null text is empty, null ids and repeated rows stay as they are."""
 
     def run(batches):
         for whole in batches:
@@ -124,29 +126,38 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def in_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Rows (bucket, extra, doc_id, text), partitioned by bucket and sorted by (bucket, extra, doc_id). Buckets are ranges of
-    doc_id; each also holds the first row of the next bucket, marked extra (the last one the very first row). So every row's
-    successor stands right behind it, in one shuffle of the texts. Null ids come first."""
+    """Rows (bucket, extra, doc_id, text), partitioned by bucket and sorted by (bucket, extra, doc_id, a hash of the text). Buckets are
+    ranges of doc_id, and of the hash within an id that many rows share; each also holds the first row of the next bucket, marked
+    extra (the last one the very first row). So every row's successor stands right behind it, in one shuffle of the texts. Null ids
+    come first."""
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    rows = common.ids_and_text(docs).withColumn("key", key.cast("double"))
+    rows = common.ids_and_text(docs).withColumn("key", key.cast("double")).withColumn("tie", F.xxhash64("text"))
     n = min(20_000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] or []
-    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="key", outputCol="bucket").transform(rows).withColumn("bucket", F.col("bucket").cast("int"))
-    first = sorted((r["bucket"], r["first"]) for r in dealt.groupBy("bucket").agg(F.min(key).alias("first")).collect())  # a row a bucket
-    before = [(at, first[i - 1][0]) for i, (_, at) in enumerate(first)]
-    heads = F.create_map(*(F.lit(x) for pair in before for x in pair)) if before else F.lit(None).cast("map<long,int>")
-    here = F.array(F.struct("bucket", F.lit(False).alias("extra")))
-    there = F.element_at(heads, key)
+    hot = {c: k + 1 for c, k in Counter(cuts).items() if k > 1}  # an id that several cuts fall on, and in how many parts it is cut
+    splits = [float("-inf"), *(sorted({*cuts, *(math.nextafter(c, math.inf) for c in hot)}) or [0.0]), float("inf")]
+    dealt = Bucketizer(splits=splits, inputCol="key", outputCol="range").transform(rows)
+    parts = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in hot.items() for x in pair)), F.col("key")), F.lit(1)) if hot else F.lit(1)
+    part = F.least(parts - 1, F.floor((F.col("tie") / 2.0**64 + 0.5) * parts).cast("int"))
+    dealt = dealt.withColumn("at", F.struct(F.col("range").cast("int").alias("range"), part.alias("part")))
+    place = F.struct(key.alias("id"), "tie")
+    first = sorted((tuple(r["at"]), tuple(r["first"])) for r in dealt.groupBy("at").agg(F.min(place).alias("first")).collect())  # a row a bucket
+    number = {at: i for i, (at, _) in enumerate(first)}
+    numbers = F.create_map(*(x for (a, b), i in number.items() for x in (F.lit(a * 100_000 + b), F.lit(i)))) if first else F.lit(None).cast("map<int,int>")
+    heads = F.create_map(*(x for i, (_, (doc, tie)) in enumerate(first) for x in (F.concat_ws(":", F.lit(doc), F.lit(tie)), F.lit((i - 1) % len(first))))) if first else F.lit(None).cast("map<string,int>")
+    bucket = F.element_at(numbers, F.col("at.range") * 100_000 + F.col("at.part"))
+    here = F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("extra")))
+    there = F.element_at(heads, F.concat_ws(":", key, F.col("tie")))
     both = F.when(there.isNotNull(), F.concat(here, F.array(F.struct(there.alias("bucket"), F.lit(True).alias("extra"))))).otherwise(here)
-    spread = dealt.select("doc_id", "text", F.explode(both).alias("b")).select("b.bucket", "b.extra", "doc_id", "text", F.xxhash64("text").alias("tie"))
+    spread = dealt.select("doc_id", "text", "tie", F.explode(both).alias("b")).select("b.bucket", "b.extra", "doc_id", "text", "tie")
     return spread.repartition("bucket").sortWithinPartitions("bucket", "extra", "doc_id", "tie").select("bucket", "extra", "doc_id", "text")
 
 
 def edited(spark: SparkSession, docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of each text and of its edited text: the last floor(n_chars / 4) code points replaced by the first as many
     (or all) of the next document's. Null text is empty; rows with null doc_id come first; rows that share a doc_id are in the
-    order of a hash of their text; a table of one row is its own next."""
+    order of a hash of their text; a table of one row is its own next, an empty table gives no rows. Very long texts are taken whole;
+    other columns of `docs` aren't read."""
 
     def finished(rows: list[tuple], ahead: tuple):
         texts = [r[1] for r in rows]

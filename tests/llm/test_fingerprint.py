@@ -50,3 +50,19 @@ def test_few_rows(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1
     rows = [(None, "some text", "", 0), (None, "other text", "", 0), (4, "a", "", 0), (4, "a", "", 0)]
     assert len(fp.edited(spark, spark.createDataFrame(rows, DOCS)).collect()) == 4
+
+
+def test_an_id_that_many_rows_share_is_cut_into_parts(spark):
+    rows = [(5, f"hot text number {i} of many") for i in range(600)] + [(i, f"other {i}") for i in range(100, 160)] + [(None, "none"), (None, "none too"), (4, "before")]
+    made = fp.in_order(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = made.collect()
+    own, extra = [r for r in got if not r["extra"]], [r for r in got if r["extra"]]
+    assert len({r["bucket"] for r in own if r["doc_id"] == 5}) > 3 and sorted((str(r["doc_id"]), r["text"]) for r in own) == sorted((str(d), t) for d, t in rows)
+    heads = {}
+    for r in own:
+        heads.setdefault(r["bucket"], []).append(((r["doc_id"] is not None, r["doc_id"]), r["text"]))
+    order = sorted(heads)
+    assert [max(h[0] for h in heads[a]) <= min(h[0] for h in heads[b]) for a, b in zip(order, order[1:], strict=False)].count(False) == 0
+    assert {r["bucket"] for r in extra} == set(order)
+    back = fp.edited(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(back) == len(rows)
