@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,15 +40,45 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|post|story|entry|content|body|main|text)(?=$|[\s_-])", re.I)
 HEAD = re.compile(r"(?:^|(?<=[\s_-]))headers?(?=$|[\s_-])", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
+#: Where a quotation mark is never closed, tags are read without regard to marks from there on, so no page is scanned twice.
+PLAIN_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*(?:>|\Z)", re.S)
+OPENING = re.compile(r"</?[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
+class Element:
+    """An open element: its number, the one around it, and what it says about the text inside."""
+
+    __slots__ = ("away", "cost", "depth", "good", "heading", "number", "parent", "tag")
+
+    def __init__(self, tag: str, number: int, parent: Element | None, away: bool, good: bool, cost: float):
+        self.tag, self.number, self.parent, self.away, self.good, self.cost = tag, number, parent, away, good, cost
+        self.depth = parent.depth + 1 if parent else 0
+        self.heading = 3 if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else max(0, parent.heading - 1) if parent else 0  # so many levels down
+
+
+ROOT = Element("", 0, None, False, False, 0.0)
+
+
 class Block:
-    __slots__ = ("away", "heading", "hints", "linked", "main", "path", "text")
+    __slots__ = ("away", "element", "heading", "hints", "linked", "main", "text")
+
+    def __init__(self, text: str, linked: int, element: Element):
+        self.text, self.linked, self.element = text, linked, element
+        self.away, self.main, self.hints, self.heading = element.away, element.good, element.cost, element.heading > 0
+
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], away: bool, main: bool, hints: float, heading: bool):
-        self.text, self.linked, self.path, self.away, self.main, self.hints, self.heading = text, linked, path, away, main, hints, heading
+def steps_between(a: Element, b: Element) -> int:
+    """Edges of the tree between two elements."""
+    n = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        n += 1
+    return n
 
 
 def hinted(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]:
@@ -78,17 +108,17 @@ def blocks(page: str) -> list[Block]:
     """Text blocks in page order. White space is one space, trimmed; empty blocks are left out. Unclosed elements end with
     the element around them, a paragraph at the next block."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, float]] = []  # tag, number, boilerplate, content, cost of hints
+    here, open_tags = ROOT, Counter()
     parts: list[str] = []
     linked = links = at = number = 0
+    pattern, endless = TOKEN, set()
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                top = stack[-1] if stack else ("", 0, False, False, 0.0)
-                out.append(Block(text, linked, tuple(s[1] for s in stack), top[2], top[3], top[4], any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-3:])))
+                out.append(Block(text, linked, here))
         parts, linked = [], 0
 
     def text(piece: str) -> None:
@@ -98,12 +128,29 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(piece)
 
+    def leave() -> None:
+        nonlocal here
+        open_tags[here.tag] -= 1
+        here = here.parent
+
     while at < len(page):
-        m = TOKEN.search(page, at)
-        if m is None:
+        mark = page.find("<", at)
+        if mark < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
+        text(page[at:mark])
+        m = pattern.match(page, mark)
+        if m is None:
+            at = mark
+            if pattern is TOKEN and OPENING.match(page, mark):  # a tag that quotation marks keep open to the end
+                pattern = PLAIN_TOKEN
+            elif page.find(">", mark) < 0:
+                text(page[mark:])
+                break
+            else:
+                text("<")
+                at += 1
+            continue
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -115,24 +162,29 @@ def blocks(page: str) -> list[Block]:
         flush()
         links = 0
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                while here.tag != tag:
+                    leave()
+                leave()
             continue
         if tag in RAW:
-            closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = closing.end() if closing else (len(page) if tag != "head" else at)
+            closing = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if closing:
+                at = closing.end()
+            elif tag == "head":  # its end may be left out
+                endless.add(tag)
+            else:
+                at = len(page)
             continue
         if tag in VOID or m[3].endswith("/") and tag not in ("p", "div"):
             continue
-        while stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-            stack.pop()
+        while here is not ROOT and (here.tag == "p" or here.tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
+            leave()
         number += 1
-        top = stack[-1] if stack else ("", 0, False, False, 0.0)
-        away, good, hint = hinted(tag, m[3], top[3])
-        cost = max(top[4], (2 * HINTED if top[3] else HINTED) if hint else 0.0)  # twice as much inside content, which it isn't part of
-        stack.append((tag, number, top[2] or away, good or top[3] and not hint, cost))
+        away, good, hint = hinted(tag, m[3], here.good)
+        cost = max(here.cost, (2 * HINTED if here.good else HINTED) if hint else 0.0)  # twice as much inside content, which it isn't part of
+        here = Element(tag, number, here, here.away or away, good or here.good and not hint, cost)
+        open_tags[tag] += 1
     flush()
     return out
 
@@ -164,10 +216,8 @@ def ties(page_blocks: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(page_blocks):
         if i:
-            p, q = page_blocks[i - 1].path, b.path
-            same = next((k for k, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q)))
-            out.append((i - 1, i, NEAR / (1 + len(p) + len(q) - 2 * same)))
-        parent = b.path[:-1]
+            out.append((i - 1, i, NEAR / (1 + steps_between(page_blocks[i - 1].element, b.element))))
+        parent = b.element.parent
         if parent in last and last[parent] != i - 1:
             out.append((last[parent], i, SIBLING))
         last[parent] = i
@@ -261,7 +311,9 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page. Null html is empty; a page without content has an empty text; null ids and
-    urls and repeated rows stay as they are."""
+    urls and repeated rows stay as they are; an empty table gives no rows. A very long page is read once, whatever its nesting and
+    open quotation marks. Other columns aren't read."""
+    common.small_batches(pages.sparkSession)
 
     def run(batches):
         for whole in batches:
