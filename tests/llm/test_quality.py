@@ -56,3 +56,20 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.classify(spark, spark.createDataFrame([], DOCS), none).collect() == []
     assert len(quality.classify(spark, spark.createDataFrame([(1, "a b", 0.0, "")], DOCS), none).collect()) == 1
+
+
+def test_statistics_equal_brute_force():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["ab", "É", "Z", "1", ".", "!", "|", "#", ",", " ", "\n", "\x0b", "the "]) for _ in range(rng.randint(0, 80))) for _ in range(200)] + ["x " * 200_000, "y" * 300_000]
+    made = quality.text_stats(pa.record_batch({"doc_id": list(range(len(texts))), "text": texts}))
+    for text, row in zip(texts, made, strict=True):
+        raw = text.encode()
+        w = [x for x in raw.translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ") if x]
+        share = [sum(raw.count(bytes([b])) for b in of) / max(1, len(raw)) for of in quality.CLASSES.values()]
+        if not w:
+            assert not row.any()
+            continue
+        counts = {x: w.count(x) for x in set(w)} if len(w) < 1000 else {w[0]: len(w)}
+        lines, stops = raw.count(b"\n") + 1, sum(raw.count(bytes([b])) for b in quality.CLASSES["stops"]) + 1
+        want = [np.log1p(len(w)), sum(map(len, w)) / len(w), len(counts) / len(w), sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w), max(counts.values()) / len(w), len(w) / lines, len(w) / stops, *share]
+        assert np.allclose(row, want)
