@@ -1,8 +1,9 @@
-"""Removal of repeated word windows: a De Bruijn graph of word k-mers, compacted through Spark joins.
+"""Removal of repeated word windows: a De Bruijn graph of word k-mers, compacted before and behind Spark joins.
 
 Edges of the graph are windows of k words. A text has about as many of them as words, so they are compacted before they are
 joined. Each window has an anchor: the least hash among its runs of m words. Equal windows have equal anchors, and neighbours
-mostly share theirs; a maximal run of windows with one anchor is a nonbranching path of up to k - m + 1 edges, named by its words.
+mostly share theirs; a maximal run of windows with one anchor is a nonbranching path of up to k - m + 1 edges, named by its words
+(128 bits).
 
 1. Anchors are grouped; those in one document alone cannot lie in a window of another. The rest go into a bit table of fixed
    size, which only spares work: what passes it wrongly is sorted out later.
@@ -14,6 +15,9 @@ mostly share theirs; a maximal run of windows with one anchor is a nonbranching
    source, source start).
 5. Source coordinates verify the spans: the words of a span and of its source, cut out of both texts, have to be equal.
 6. Spans are joined to their texts and the words that they cover are dropped.
+
+Compacting the paths at their nodes instead, by degrees and pointer doubling (a join a round), gave the same results at 1663 CPU
+seconds a GB and 3.83 times the input of disk, against budgets of 960 and 4; so step 4 is a window over each document.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from recollect.llm import common
 
 WIDTH, ANCHOR = 13, 5
 TABLE_BITS = 27
+ODD_SPACE = np.array([9, 10, 11, 12, 13], np.uint8)
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -44,13 +49,22 @@ def window_anchors(grams: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
+def names_at(h: np.ndarray, grams: np.ndarray, at: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for the windows at some places: a hash of their words, and one of their runs of m words, which cover them."""
+    other = np.zeros(len(at), np.uint64)
+    for i in [*range(0, k - m, m), k - m]:
+        other = common.finish((other + grams[at + i]) * common.MIX[i % len(common.MIX)])
+    return common.grams_at(h, at, k), other
+
+
 def _windows(found: common.Words, k: int, m: int):
-    """(text, hashes of its windows, their anchors) of each text with a window."""
-    windows, grams = common.gram_hashes(found.hashes, k), common.gram_hashes(found.hashes, m)
+    """(text, place of its first window among all words, anchors of its windows) of each text with a window, and all runs of m words."""
+    if len(found.hashes) < k:
+        return [], np.empty(0, np.uint64)
+    grams = common.gram_hashes(found.hashes, m)
     anchors = window_anchors(grams, k - m + 1)
-    for i, (a, b) in enumerate(zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True)):
-        if b - a >= k:
-            yield i, windows[a : b - k + 1], anchors[a : b - k + 1]
+    bounds = zip(found.first[:-1].tolist(), found.first[1:].tolist(), strict=True)
+    return [(i, a, anchors[a : b - k + 1]) for i, (a, b) in enumerate(bounds) if b - a >= k], grams
 
 
 def shared_anchors(docs: DataFrame, k: int, m: int) -> DataFrame:
@@ -61,7 +75,7 @@ def shared_anchors(docs: DataFrame, k: int, m: int) -> DataFrame:
             for batch in common.chunks(whole):
                 found = common.Words(batch.column(1))
                 ids, parts = batch.column(0).to_numpy(zero_copy_only=False), []
-                for i, _, anchors in _windows(found, k, m):
+                for i, _, anchors in _windows(found, k, m)[0]:
                     parts.append((i, common.distinct(anchors)))
                 if parts:
                     docs_of = np.repeat(ids[[i for i, _ in parts]], [len(a) for _, a in parts])
@@ -71,18 +85,23 @@ def shared_anchors(docs: DataFrame, k: int, m: int) -> DataFrame:
     return ends.where("first < last").select("anchor")
 
 
-def paths(windows: np.ndarray, anchors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, number of windows, name) of the runs of equal anchors in a text; a longer run is cut after `most` windows."""
+def paths(anchors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, number of windows) of the runs of equal anchors in a text; a longer run is cut after `most` windows."""
     run = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
     inside = np.arange(len(anchors)) - np.repeat(run, np.diff(np.append(run, len(anchors))))
     start = np.flatnonzero(inside % most == 0)
-    n = np.diff(np.append(start, len(anchors)))
-    name = common.finish(common.finish(windows[start] * common.MIX[1] + n.astype(np.uint64)) + windows[start + n - 1] * common.MIX[2])
-    return start, n, name
+    return start, np.diff(np.append(start, len(anchors)))
+
+
+def path_names(first: np.ndarray, last: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return common.finish(common.finish(first * common.MIX[1] + n.astype(np.uint64)) + last * common.MIX[2])
+
+
+PIECES = "name long, name2 long, anchor long, doc_id long, start int, n int"
 
 
 def marked_pieces(docs: DataFrame, table, k: int, m: int, bits: int, single: bool) -> DataFrame:
-    """Paths, or with `single` windows, whose anchor's bit is set: name, anchor, doc_id, start, n (windows)."""
+    """Paths, or with `single` windows, whose anchor's bit is set: name (two halves), anchor, doc_id, start, n (windows)."""
 
     def run(batches):
         marked = table.value
@@ -90,31 +109,39 @@ def marked_pieces(docs: DataFrame, table, k: int, m: int, bits: int, single: boo
             for batch in common.chunks(whole):
                 found = common.Words(batch.column(1))
                 ids, cols = batch.column(0).to_numpy(zero_copy_only=False), []
-                for i, windows, anchors in _windows(found, k, m):
-                    if single:
-                        start, n, name = np.arange(len(windows)), np.ones(len(windows), np.int64), windows
-                    else:
-                        start, n, name = paths(windows, anchors, k - m + 1)
+                texts, grams = _windows(found, k, m)
+                for i, at, anchors in texts:
+                    start, n = (np.arange(len(anchors)), np.ones(len(anchors), np.int64)) if single else paths(anchors, k - m + 1)
                     keep = np.flatnonzero(common.bits_set(marked, anchors[start], bits))
                     if len(keep):
-                        cols.append((name[keep].view(np.int64), anchors[start][keep].view(np.int64), np.full(len(keep), ids[i], np.int64), start[keep].astype(np.int32), n[keep].astype(np.int32)))
+                        start, n = start[keep], n[keep]
+                        cols.append((anchors[start].view(np.int64), np.full(len(start), ids[i], np.int64), start.astype(np.int32), n.astype(np.int32), at + start))
                 if cols:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names=["name", "anchor", "doc_id", "start", "n"])
+                    *made, places = [np.concatenate(c) for c in zip(*cols, strict=True)]
+                    names = names_at(found.hashes, grams, places, k, m)
+                    if not single:
+                        names = [path_names(a, b, made[3]) for a, b in zip(names, names_at(found.hashes, grams, places + made[3] - 1, k, m), strict=True)]
+                    yield pa.record_batch([*(pa.array(x.view(np.int64)) for x in names), *map(pa.array, made)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return common.ids_and_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, "name long, anchor long, doc_id long, start int, n int")
+    return common.ids_and_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, PIECES)
 
 
-def sources(pieces: DataFrame) -> DataFrame:
-    """Per name its anchor and the least (doc_id, start), as one number, so that it is aggregated by hash."""
+def sources(pieces: DataFrame, *more: str) -> DataFrame:
+    """Per name the least (doc_id, start), as one number, so that it is aggregated by hash, and the greatest doc_id."""
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("start")
-    return pieces.groupBy("name").agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.min("anchor").alias("anchor"))
+    return pieces.groupBy("name", "name2").agg(F.min(place.cast("decimal(38,0)")).alias("place"), F.max("doc_id").alias("last"), *(F.min(c).alias(c) for c in more))
 
 
 def repeats(pieces: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Occurrences outside the source's document: doc_id, start, n, source, at."""
-    named = firsts.select("name", F.expr("CAST(floor(place / CAST(4294967296 AS DECIMAL(10,0))) AS BIGINT)").alias("source"), F.col("place"))
-    named = named.select("name", "source", F.expr("CAST(place - CAST(source AS DECIMAL(20,0)) * CAST(4294967296 AS DECIMAL(10,0)) AS INT)").alias("at"))
-    return pieces.select("name", "doc_id", "start", "n").join(named, "name").where("doc_id > source").select("doc_id", "start", "n", "source", "at")
+    """Occurrences outside the source's document: doc_id, start, n, source, at. `firsts`, names that several documents have, is a
+    stored table, so that a name with very many occurrences can be split over tasks."""
+    named = firsts.select("name", "name2", F.col("source"), F.expr("CAST(place - CAST(source AS DECIMAL(20,0)) * CAST(4294967296 AS DECIMAL(10,0)) AS INT)").alias("at"))
+    return pieces.select("name", "name2", "doc_id", "start", "n").join(named, ["name", "name2"]).where("doc_id > source").select("doc_id", "start", "n", "source", "at")
+
+
+def several(firsts: DataFrame) -> DataFrame:
+    """Names that more than one document has, with their source's document."""
+    return firsts.withColumn("source", F.expr("CAST(floor(place / CAST(4294967296 AS DECIMAL(10,0))) AS BIGINT)")).where("source < last")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, k: int = WIDTH, m: int = ANCHOR, bits: int = TABLE_BITS) -> DataFrame:
@@ -123,14 +150,15 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, k: int = WIDTH, m: int
     table = spark.sparkContext.broadcast(common.bit_table(anchors, bits))
     common.drop_staged(spark, anchors)
     runs = common.staged(spark, marked_pieces(docs, table, k, m, bits, single=False), "paths")
-    firsts = common.staged(spark, sources(runs), "path-sources")
+    firsts = common.staged(spark, sources(runs, "anchor"), "path-sources")
     branching = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     forks = spark.sparkContext.broadcast(common.bit_table(branching, bits))
-    whole = common.staged(spark, repeats(runs, firsts), "repeated-paths")
+    whole = common.staged(spark, repeats(runs, several(firsts)), "repeated-paths")
     common.drop_staged(spark, runs, firsts)
-    windows = common.staged(spark, marked_pieces(docs, forks, k, m, bits, single=True).drop("anchor").withColumn("anchor", F.lit(0).cast("long")), "windows")
-    single = common.staged(spark, repeats(windows, sources(windows)), "repeated-windows")
-    common.drop_staged(spark, windows)
+    windows = common.staged(spark, marked_pieces(docs, forks, k, m, bits, single=True).drop("anchor"), "windows")
+    firsts = common.staged(spark, several(sources(windows)), "window-sources")
+    single = common.staged(spark, repeats(windows, firsts), "repeated-windows")
+    common.drop_staged(spark, windows, firsts)
     along = Window.partitionBy("doc_id").orderBy("start", "n")
     reach = F.lag(F.col("start") + F.col("n")).over(along)
     ahead = F.lag(F.col("at") + F.col("n")).over(along)
@@ -143,26 +171,32 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, k: int = WIDTH, m: int
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """`docs` with a last column of their spans, at most a document's words."""
-    per_doc = spans.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_list(F.struct("start", "n_words")).alias("_spans"))
-    return docs.join(per_doc, F.col("doc_id") == F.col("_span_doc"), "left").drop("_span_doc")
-
-
-def uncovered(found: common.Words, i: int, spans: list[dict] | None) -> np.ndarray:
-    """Numbers of the words of text i in no span."""
-    a, n = int(found.first[i]), int(found.first[i + 1] - found.first[i])
-    if not spans:
-        return np.arange(a, a + n)
-    cover = np.zeros(n + 1, np.int32)
-    for s in spans:
-        cover[s["start"]] += 1
-        cover[s["start"] + s["n_words"]] -= 1
-    return np.flatnonzero(np.cumsum(cover[:-1]) == 0) + a
-
-
-def joined(found: common.Words, kept: np.ndarray) -> bytes:
-    data = found.data
-    return b" ".join([data[x:y].tobytes() for x, y in zip(found.start[kept].tolist(), found.end[kept].tolist(), strict=True)])
+    """`docs` with a last column of their spans, at most a document's words; its name is none of theirs."""
+    name = common.reserved(docs.columns)
+    per_doc = spans.groupBy(F.col("doc_id").alias(f"{name}doc")).agg(F.collect_list(F.struct("start", "n_words")).alias(f"{name}spans"))
+    return docs.join(per_doc, F.col("doc_id") == F.col(f"{name}doc"), "left").drop(f"{name}doc")
+
+
+def kept_texts(found: common.Words, spans: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, bounds, words gone) of a batch's texts without the words in their spans, the others joined by one space."""
+    counts = found.count()
+    cover = np.zeros(len(found.start) + 1, np.int32)
+    for i, of in enumerate(spans):
+        for s in of or ():
+            cover[found.first[i] + s["start"]] += 1
+            cover[found.first[i] + s["start"] + s["n_words"]] -= 1
+    keep = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
+    text = np.repeat(np.arange(len(counts)), counts)[keep]
+    edge = np.zeros(len(found.data) + 1, np.int8)
+    edge[found.start[keep]] += 1
+    edge[found.end[keep]] -= 1  # a word never begins where another ends
+    stay = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    gaps = found.start[keep[1:][text[1:] == text[:-1]]] - 1  # one separator before each kept word but a text's first
+    data = found.data.copy()
+    data[gaps] = 32
+    stay[gaps] = True
+    bounds = np.concatenate(([0], np.cumsum(stay)))[found.offsets]
+    return data[stay], bounds, counts - np.bincount(text, minlength=len(counts))
 
 
 def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -172,12 +206,9 @@ def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in common.chunks(whole):
                 found = common.Words(batch.column(1))
-                counts, gone, out = found.count(), [], []
-                for i in range(len(found)):
-                    kept = uncovered(found, i, batch.column(2)[i].as_py())
-                    gone.append(int(counts[i]) - len(kept))
-                    out.append(hashlib.sha256(joined(found, kept)).hexdigest())
-                yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                data, bounds, gone = kept_texts(found, batch.column(2).to_pylist())
+                out = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.record_batch([batch.column(0), pa.array(found.count(), pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return with_spans(common.ids_and_text(docs), spans).mapInArrow(run, OUT)
 
@@ -192,11 +223,12 @@ def rewritten(docs: DataFrame, spans: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in common.chunks(whole, text=at):
                 found, texts = common.Words(batch.column(at)), batch.column(at).to_pylist()
-                hit = []
-                for i, spans_of in enumerate(batch.column(len(names)).to_pylist()):
-                    if spans_of:
-                        hit.append(i)
-                        texts[i] = joined(found, uncovered(found, i, spans_of)).decode()
+                spans = batch.column(len(names)).to_pylist()
+                hit = [i for i, of in enumerate(spans) if of]
+                if hit:
+                    data, bounds, _ = kept_texts(found, spans)
+                    for i in hit:
+                        texts[i] = data[bounds[i] : bounds[i + 1]].tobytes().decode()
                 cols = list(batch.columns[: len(names)])
                 cols[at] = pa.array(texts, pa.string())
                 if hit and "n_chars" in names:
@@ -217,7 +249,7 @@ def span_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in common.chunks(whole):
                 found, rows = common.Words(batch.column(1)), []
-                raw = found.data
+                raw, plain = found.data, not np.isin(found.data, ODD_SPACE).any()
                 for i, (doc, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                     a = int(found.first[i])
                     gap_ok = found.start[a + 1 : int(found.first[i + 1])] - found.end[a : int(found.first[i + 1]) - 1]
@@ -228,7 +260,7 @@ def span_digests(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                             continue
                         low, high = int(found.start[x]), int(found.end[y - 1])
                         text = raw[low:high].tobytes()
-                        if single[y - 1 - a] != single[x - a] or any(c in text for c in (b"\n", b"\t", b"\r", b"\x0b", b"\x0c")):
+                        if single[y - 1 - a] != single[x - a] or not plain:
                             text = b" ".join(text.split())
                         rows.append((doc, s["start"], s["n_words"], xxhash.xxh3_128_digest(text)))
                 if rows:
@@ -254,12 +286,13 @@ def verify(spark: SparkSession, docs: DataFrame, spans: DataFrame) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, k: int = WIDTH) -> DataFrame:
     """Per document: n_words, n_removed, kept_sha256. Words are as in common.Words, unchanged. Null and empty texts have no
     words; rows with null doc_id keep all their words and are no one's source; repeated rows, which share a doc_id, are no
-    smaller than each other."""
+    smaller than each other. Very long texts are taken whole; other columns of `docs` aren't read."""
     return digests(docs, verify(spark, docs, repeated_spans(spark, docs, k)))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, k: int = WIDTH) -> DataFrame:
-    """`docs` with all columns and shortened texts, under the rules of dedup()."""
+    """`docs` with all columns, whatever their names, and shortened texts, under the rules of dedup()."""
+    common.small_batches(spark)
     return rewritten(docs, verify(spark, docs, repeated_spans(spark, docs, k)))
 
 
