@@ -26,8 +26,8 @@ def _steady_memory() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 12 << 20)  # M_MMAP_THRESHOLD: above what a slice of texts takes
+        libc.mallopt(-1, 48 << 20)  # M_TRIM_THRESHOLD
     except (AttributeError, OSError):
         pass  # another C library
 
