@@ -229,8 +229,10 @@ class Encoder:
             self.forget()
             slot = self.memo.find(h, check)
         while (new := np.flatnonzero(slot < 0)).size:
+            slots = self.memo.bits
             self.learn(data, start[new], end[new], kind[new], h[new], check[new])
-            slot[new] = self.memo.find(h[new], check[new])
+            again = new if self.memo.bits == slots else np.arange(len(slot))  # a table that grew has moved all pieces
+            slot[again] = self.memo.find(h[again], check[again])
         begin, length = self.memo.begin[slot].astype(np.int64), self.memo.length[slot]
         ends = np.cumsum(length, dtype=np.int64)
         flat = self.memo.pool[np.repeat(begin - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
