@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import decontam, divergence, jaccard, substring, warc
+from recollect.llm import decontam, divergence, jaccard, pivots, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.mined(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(spark, table(spark, sf_dir, "documents"))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hilbert_sharding": op9_hilbert_sharding,
     "op10_quality_rules": op10_quality_rules,
     "op11_warc": op11_warc,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -101,5 +106,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_benchmark_decontamination": decontam.oracle(),
     "op8_substring_dedup": substring.oracle(),
     "op11_warc": warc.oracle(),
+    "op12_hard_negatives": pivots.oracle(),
     "op13_source_divergence": divergence.oracle(),
 }
