@@ -48,6 +48,24 @@ def holds(found: Column, of: list[str]) -> Column:
     return F.exists(found, lambda w: w.isin(of))
 
 
+ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def looked_up(word: Column, table: dict[str, str]) -> Column:
+    """A word's entry in a small table, or the word."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), word), word)
+
+
+def search_words(query: Column, most: int = 8) -> Column:
+    """The first `most` words by which a query is looked up, in order and with repeats: two bytes or more, no stop word, in one spelling and one
+    word for synonyms. Where none is left, the query without marks; an empty array where nothing is left of that."""
+    parts = F.split(F.translate(query, ASCII_UPPER, ASCII_LOWER), r"[^\p{L}\p{N}]+")
+    kept = F.filter(parts, lambda w: (F.octet_length(w) >= 2) & ~w.isin(words.SEARCH_STOPS))
+    found = F.slice(F.transform(kept, lambda w: looked_up(looked_up(w, words.SPELLING), words.SYNONYMS)), 1, most)
+    bare = trimmed(F.regexp_replace(query, r"[^\p{L}\p{N}\s]", ""))
+    return F.when(F.size(found) > 0, found).when(bare != "", F.array(bare)).otherwise(F.array().cast("array<string>"))
+
+
 # Markdown
 
 

@@ -121,9 +121,6 @@ SELECT p.doc_id, round(p.bm25 + 0.1 * coalesce(max(c.c), 0.0), 6) AS score FROM
     # windows
     "rank_ladder": Plan("W1 W2", f"""WITH {VECTOR}, r AS (SELECT vec_id, sim, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id) AS k FROM near) SELECT vec_id, round(sim + 0.15 *
   CASE k WHEN 1 THEN 0.15 WHEN 2 THEN 0.10 WHEN 3 THEN 0.06 WHEN 4 THEN 0.03 WHEN 5 THEN 0.01 ELSE 0.0 END, 6) AS score FROM r"""),
-    "rrf_fusion": Plan("W3", f"""WITH {BM25}, {VECTOR}, a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) AS r FROM scored),
-  b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id) AS r FROM near) SELECT coalesce(a.id, b.id) AS id,
-  round((coalesce(1.0 / (60 + a.r), 0.0) + coalesce(1.0 / (60 + b.r), 0.0)) / (2.0 / 61), 6) AS score FROM a FULL OUTER JOIN b ON a.id = b.id"""),
     "last_n_per_session": Plan("W4", """SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) t WHERE k <= 3"""),
     "budgeted_suffix": Plan("W5", """SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text) + 1) OVER (PARTITION BY conv_id
   ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM conversations) t WHERE used - 1 <= 1000"""),

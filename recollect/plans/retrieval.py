@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from recollect.functions.words import STOP_WORDS
 from recollect.operators import lines, ranks, vectors
+from recollect.plans import catalog, dialect
 from recollect.plans.catalog import PLANS, QUERY
 from recollect.plans.registry import Tables, query
 
@@ -67,7 +68,7 @@ def bm25_topk(t: Tables):
     return bm25(t("documents")).select("doc_id", F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(10)
 
 
-@query("K3", PLANS["bm25_topk"].duck().replace("LIMIT 10", "LIMIT 200"))
+@query("K3", f"WITH {dialect.render(catalog.BM25, dialect.DUCK)} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored ORDER BY round(bm25, 6) DESC, doc_id LIMIT 200")
 def bm25_pool(t: Tables):
     """The keyword pool of a search."""
     return bm25(t("documents")).select("doc_id", F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(200)
@@ -136,7 +137,10 @@ def adaptive_fusion(t: Tables):
     return both.select("id", F.round(fused / (1 + F.exp(-20 * (fused - 0.6))), 6).alias("score"))
 
 
-POOLED = PLANS["rrf_fusion"].duck().replace("FROM scored), b AS", "FROM scored QUALIFY r <= 200), b AS").replace("FROM near)", "FROM near QUALIFY r <= 50)")
+POOLED = f"""WITH {dialect.render(catalog.BM25, dialect.DUCK)}, {dialect.render(catalog.VECTOR, dialect.DUCK)},
+a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) AS r FROM scored QUALIFY r <= 200),
+b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id) AS r FROM near QUALIFY r <= 50)
+SELECT coalesce(a.id, b.id) AS id, round((coalesce(1e0 / (60 + a.r), 0) + coalesce(1e0 / (60 + b.r), 0)) / (2e0 / 61), 6) AS score FROM a FULL JOIN b ON a.id = b.id"""
 
 
 @query("W3", POOLED)

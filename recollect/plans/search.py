@@ -69,10 +69,9 @@ def prepare(spark, r: Request) -> Prepared:
     q = F.lit(r.query)
     cue = c.temporal_cue(q)
     prefix = c.user_prefix(F.lit(r.session)) if r.session else F.lit(None).cast("string")
-    row = spark.range(1).select(c.category(q).alias("category"), cue["kind"].alias("kind"), cue["depth"].alias("depth"), c.without_temporal(q).alias("clean"), prefix.alias("prefix")).first()
-    kind = row["kind"] if r.hybrid else None
-    cleaned = row["clean"] if kind else r.query
-    return Prepared(row["category"], kind, row["depth"] or 0.0, cleaned, tuple(dict.fromkeys(words.search_words(cleaned))), row["prefix"])
+    clean = F.when(cue["kind"].isNotNull() & F.lit(r.hybrid), c.without_temporal(q)).otherwise(q)
+    row = spark.range(1).select(c.category(q).alias("category"), cue["kind"].alias("kind"), cue["depth"].alias("depth"), clean.alias("clean"), F.array_distinct(c.search_words(clean)).alias("terms"), prefix.alias("prefix")).first()
+    return Prepared(row["category"], row["kind"] if r.hybrid else None, row["depth"] or 0.0, row["clean"], tuple(row["terms"]), row["prefix"])
 
 
 def visible(rows: DataFrame, kind: str, r: Request, p: Prepared) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from recollect.functions import columns as c
 from recollect.functions import stem, texts, words
 from recollect.operators import lines, walks
+from recollect.plans.catalog import spelled
 from recollect.plans.registry import Tables, query
 
 
@@ -326,15 +327,16 @@ def identities(t: Tables):
 # Queries
 
 
-@query("T3 T5", None)
-def fts_words(t: Tables):
-    """The words by which a turn's text is looked up; query-side, so a function of one text."""
+SEARCHED = f"""WITH s AS (SELECT conv_id, turn, coalesce(text, '') AS q FROM conversations),
+k AS (SELECT conv_id, turn, q, list_transform(list_filter(regexp_split_to_array(translate(q, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}]+'),
+  lambda x: strlen(x) >= 2 AND x NOT IN ({listed(words.SEARCH_STOPS)})), lambda w: {spelled("w")})[1:8] AS kept FROM s)
+SELECT conv_id, turn, CASE WHEN len(kept) > 0 THEN array_to_string(kept, ' ') ELSE trim(regexp_replace(q, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')) END AS words FROM k"""
 
-    @F.pandas_udf("array<string>")
-    def looked_up(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: words.search_words(x or ""))
 
-    return t("conversations").select("conv_id", "turn", looked_up("text").alias("words"))
+@query("T3 T5", SEARCHED)
+def fts_words(t: Tables):
+    """The words by which a turn's text is looked up."""
+    return t("conversations").select("conv_id", "turn", F.array_join(c.search_words(F.coalesce("text", F.lit(""))), " ").alias("words"))
 
 
 ASKED = ["what did i eat before lunch?", "Which hotel do you like", "who am I really", "Show the build log", "My MTG notes", "tell me About Me please"]

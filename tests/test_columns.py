@@ -84,3 +84,10 @@ def test_answers(spark):
     said = ["```\na\n```", "```json {} ```", "x ```py\nb\n``` y ```c```", "<think>\n```\n</think> z", " plain "]
     assert values(spark, said, lines.clean_answer(F.col("a"))) == ["a", "{}", "py\nb\n``` y ```c", "z", "plain"]
     assert values(spark, ["a(:|-|:) x\nb\nc(:|-|:)y", "a(:|-|:)x"], lines.titles(F.col("a"), 2)) == [["x", "y"], []]
+
+
+def test_search_words(spark):
+    said = ["Which motel can I book, near the Diner?", "who is it?", "?!", "word " * 20, "company lodgings", "Éa É x", ""]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", c.search_words(F.col("s")).alias("w")).collect()
+    got = [r["w"] for r in sorted(rows)]
+    assert got == [["hotel", "can", "book", "near", "restaurant"], ["who is it"], [], ["word"] * 8, ["work", "hotel"], ["Éa", "É"], []]

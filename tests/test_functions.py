@@ -20,10 +20,7 @@ def test_words_that_are_not_stemmed():
 
 
 def test_word_lists():
-    assert words.expanded("lodgings") == "hotel" and words.expanded("company") == "work" and words.expanded("other") == "other" and words.expanded("appt") == "appointment"
-    assert words.search_words("Which motel can I book, near the Diner?") == ["hotel", "can", "book", "near", "restaurant"]
-    assert words.search_words("who is it?") == ["who is it"] and words.search_words("?!") == [] and len(words.search_words("word " * 20)) == 8
-    assert "can" not in words.SEARCH_STOPS and "were" not in words.SEARCH_STOPS and "youve" in words.SEARCH_STOPS
+    assert len(words.SEARCH_STOPS) == 172 and "can" not in words.SEARCH_STOPS and "youve" in words.SEARCH_STOPS
 
 
 def test_splitting():
