@@ -103,9 +103,24 @@ def tail(spark: SparkSession, folder: str, offsets: DataFrame) -> DataFrame:
     return known.select("path", whole.alias("text"), (start + F.octet_length(whole)).cast("long").alias("next"))
 
 
-def questions(spark: SparkSession, path: str) -> DataFrame:
+QUESTION = """question_id string, question_type string, question string, question_date string, answer_session_ids array<string>,
+haystack_session_ids array<string>, haystack_sessions array<array<struct<role: string, content: string, has_answer: boolean>>>"""
+
+
+def _question_rows(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    return spark.read.option("multiLine", str(not lines).lower()).schema(QUESTION).json(path)
+
+
+def asked(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A row a question: question_id, question_type, question, question_date, answer_session_ids (empty where left out). A file holds an array of
+    questions, or with `lines` one a line; its haystacks aren't read."""
+    ids = F.coalesce("answer_session_ids", F.array().cast("array<string>")).alias("answer_session_ids")
+    return _question_rows(spark, path, lines).select("question_id", "question_type", "question", "question_date", ids)
+
+
+def questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A row a turn of each question's haystack."""
-    raw = spark.read.option("multiLine", "true").schema("question_id string, question string, haystack_session_ids array<string>, haystack_sessions array<array<struct<role: string, content: string, has_answer: boolean>>>").json(path)
+    raw = _question_rows(spark, path, lines)
     sessions = raw.select("question_id", "question", "haystack_session_ids", F.posexplode("haystack_sessions").alias("s", "turns"))
     turns = sessions.select("question_id", "question", F.get("haystack_session_ids", F.col("s")).alias("session_id"), F.posexplode("turns").alias("turn", "t"))
-    return turns.select("question_id", "question", "session_id", "turn", "t.role", F.col("t.content").alias("text"), "t.has_answer")
+    return turns.select("question_id", "question", "session_id", "turn", "t.role", F.col("t.content").alias("text"), F.coalesce("t.has_answer", F.lit(False)).alias("has_answer"))
