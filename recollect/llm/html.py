@@ -29,13 +29,17 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
 INLINE |= set("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 INLINE |= set("svg circle clippath defs desc ellipse filter g image line lineargradient marker mask path pattern polygon polyline radialgradient rect stop symbol text textpath tspan use".split())
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-AWAY = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
+AWAY = {"nav", "footer", "menu", "dialog", "button"}
+FORMS = {"form", "fieldset"}
+CODE = {"script", "style"}
 MAIN = {"article", "main"}
 HINT = re.compile(
     r"(?:^|[\s_-])(?:nav\w*|menus?|menubar|headers?|masthead|topbar|footers?|sidebars?|aside|rail|ads?|adverts?|advertisements?|advertising|adbox|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal"
     r"|comments?|commentlist|replies|disqus|respond|forms?|login|signup|subscribe|newsletter|search|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|widgets?|copyright|legal|toolbar|hidden)(?=$|[\s_-])",
     re.I,
 )
+#: Hints that are also words of a subject: inside content they cost about what a long paragraph earns, and it stays content.
+WEAK = re.compile(r"(?:^|(?<=[\s_-]))(?:headers?|search|share|sharing|social|related|recommended|legal|copyright|forms?)(?=$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|post|story|entry|content|body|main|text)(?=$|[\s_-])", re.I)
 HEAD = re.compile(r"(?:^|(?<=[\s_-]))headers?(?=$|[\s_-])", re.I)
@@ -50,10 +54,12 @@ ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"
 class Element:
     """An open element: its number, the one around it, and what it says about the text inside."""
 
-    __slots__ = ("away", "cost", "depth", "good", "heading", "number", "parent", "tag")
+    __slots__ = ("away", "cost", "depth", "form", "good", "heading", "number", "parent", "tag", "wrapped")
 
     def __init__(self, tag: str, number: int, parent: Element | None, away: bool, good: bool, cost: float):
         self.tag, self.number, self.parent, self.away, self.good, self.cost = tag, number, parent, away, good, cost
+        self.form = parent.form if parent and parent.form else number if tag in FORMS else 0  # the outermost one
+        self.wrapped = bool(parent and parent.wrapped or self.form and good and not parent.good)  # content that begins inside of it
         self.depth = parent.depth + 1 if parent else 0
         self.heading = 3 if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else max(0, parent.heading - 1) if parent else 0  # so many levels down
 
@@ -62,10 +68,11 @@ ROOT = Element("", 0, None, False, False, 0.0)
 
 
 class Block:
-    __slots__ = ("away", "element", "heading", "hints", "linked", "main", "text")
+    __slots__ = ("away", "element", "form", "heading", "hints", "linked", "main", "text", "wrapped")
 
     def __init__(self, text: str, linked: int, element: Element):
         self.text, self.linked, self.element = text, linked, element
+        self.form, self.wrapped = element.form, element.wrapped
         self.away, self.main, self.hints, self.heading = element.away, element.good, element.cost, element.heading > 0
 
 
@@ -81,10 +88,10 @@ def steps_between(a: Element, b: Element) -> int:
     return n
 
 
-def hinted(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]:
-    """(boilerplate for certain by name, role or style, content, boilerplate by a class or id). A class that speaks for content
-    outweighs the others of its element; a header of content is part of it."""
-    hint, away, good = False, tag in AWAY or tag == "header" and not in_main, tag in MAIN
+def hinted(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool, int]:
+    """(boilerplate for certain by name, role or style; content; boilerplate by a hint: 0 no, 1 weakly, 2 strongly). A class that speaks for
+    content outweighs the others of its element; a header of content is part of it."""
+    hint, away, good = 2 * (tag == "aside"), tag in AWAY or tag == "header" and not in_main, tag in MAIN
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), entities.unescape(next((v for v in values if v), ""))
@@ -92,7 +99,8 @@ def hinted(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]:
                 for word in value.split():
                     content = bool(GOOD.search(word))
                     against = bool(HINT.search(HEAD.sub("", word) if content or in_main else word))
-                    hint |= against and tag not in ("html", "body") and tag not in MAIN
+                    if against and tag not in ("html", "body") and tag not in MAIN:
+                        hint = max(hint, 2 if HINT.search(WEAK.sub("", word)) else 1)
                     good |= content and not against
             elif name == "role":
                 away |= value.lower() in ROLES
@@ -101,7 +109,29 @@ def hinted(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]:
                 away |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             elif name == "hidden" or value.lower() == "true":
                 away = True
-    return away, good, hint and not good
+    return away, good, 0 if good else hint
+
+
+NAME = re.compile(r"<(?!!)/?([a-zA-Z][^\s/>]*)")
+
+
+def end_of_raw(page: str, tag: str, attributes: str, at: int, ends: dict[str, int]) -> int:
+    """Where the text goes on behind the start tag of an element whose content is no text. Its end tag counts if it opens no second time
+    before that; else it ends at the next tag of a block, a script or style at the end of the page. `ends` holds the next end tags found."""
+    if tag not in CODE and attributes.rstrip().endswith("/"):
+        return at
+    if ends.get(tag, -1) < at:  # each end tag is searched for once
+        found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+        ends[tag] = found.start() if found else len(page)
+    end = ends[tag]
+    if tag in CODE or end < len(page) and not re.compile(rf"<{re.escape(tag)}(?=[\s/>])", re.I).search(page, at, end):
+        return min(len(page), page.find(">", end) + 1 or len(page)) if end < len(page) else len(page)
+    if tag == "head":
+        return at  # its end may be left out
+    for m in NAME.finditer(page, at):
+        if m[1].lower() not in INLINE and m[1].lower() not in ("option", "optgroup"):
+            return m.start()
+    return len(page)
 
 
 def blocks(page: str) -> list[Block]:
@@ -111,7 +141,7 @@ def blocks(page: str) -> list[Block]:
     here, open_tags = ROOT, Counter()
     parts: list[str] = []
     linked = links = at = number = 0
-    pattern, endless = TOKEN, set()
+    pattern, ends = TOKEN, {}
 
     def flush() -> None:
         nonlocal parts, linked
@@ -168,13 +198,7 @@ def blocks(page: str) -> list[Block]:
                 leave()
             continue
         if tag in RAW:
-            closing = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if closing:
-                at = closing.end()
-            elif tag == "head":  # its end may be left out
-                endless.add(tag)
-            else:
-                at = len(page)
+            at = end_of_raw(page, tag, m[3], at, ends)
             continue
         if tag in VOID or m[3].endswith("/") and tag not in ("p", "div"):
             continue
@@ -182,19 +206,32 @@ def blocks(page: str) -> list[Block]:
             leave()
         number += 1
         away, good, hint = hinted(tag, m[3], here.good)
-        cost = max(here.cost, (2 * HINTED if here.good else HINTED) if hint else 0.0)  # twice as much inside content, which it isn't part of
-        here = Element(tag, number, here, here.away or away, good or here.good and not hint, cost)
+        strong = hint == 2 and here.good  # no part of the content around it
+        here = Element(tag, number, here, here.away or away, good or here.good and not strong, max(here.cost, 2 * HINTED if strong else HINTED if hint else 0.0))
         open_tags[tag] += 1
     flush()
     return out
 
 
+def wrappers(page_blocks: list[Block]) -> set[int]:
+    """Forms that are no forms but stand around the page's text: marked content begins inside, or they hold three long blocks and over half of all text."""
+    size, long, out = Counter(), Counter(), set()
+    for b in page_blocks:
+        if not b.away:
+            size[b.form] += len(b.text) - b.linked
+            long[b.form] += len(b.text) - b.linked >= 80
+            if b.form and b.wrapped and b.main:
+                out.add(b.form)
+    return out | {f for f, n in size.items() if f and long[f] >= 3 and 2 * n > sum(size.values())}
+
+
 def costs(page_blocks: list[Block]) -> list[float]:
     """Cost of the label boilerplate less that of content: positive speaks for content."""
     marked = any(b.main and not b.away and not b.hints for b in page_blocks)
+    wraps = wrappers(page_blocks)
     out = []
     for b in page_blocks:
-        if b.away:
+        if b.away or b.form and b.form not in wraps:
             out.append(-CERTAIN)
             continue
         n = len(b.text)
