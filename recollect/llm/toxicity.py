@@ -277,9 +277,10 @@ def ablation(texts: list[str], labels: list[int], grammar: Grammar) -> dict[str,
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Grammar:
-    """Learns from at most `most` rows and `most_bytes` bytes of training rows, in the order of a hash of the id. Null texts are empty;
-    without labels the fixed grammar holds."""
-    chosen = common.ids_and_text(docs).join(F.broadcast(sample(docs, labels, "toxic", most)), "doc_id")
+    """Learns from at most `most` rows and `most_bytes` bytes of training rows, in the order of a hash of the id; a text of over an eighth of these
+    bytes isn't learned from. Null texts are empty; without labels the fixed grammar holds."""
+    known = common.ids_and_text(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 8)
+    chosen = known.join(F.broadcast(sample(docs, labels, "toxic", most)), "doc_id")
     sizes = sorted((r["h"], r["doc_id"], r["n"]) for r in chosen.select("doc_id", F.xxhash64("doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect())  # `most` ids and repeats of them
     total = np.cumsum([n for *_, n in sizes]) if sizes else np.zeros(0)
     cut = int(np.searchsorted(total, most_bytes, "right"))
@@ -290,7 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int
 
 
 def scored(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out (its fold is the held-out one; null id: false), score, predicted. Null and empty texts match nothing."""
+    """doc_id, held_out (its fold is the held-out one; null id: false), score, predicted. Null and empty texts match nothing; repeated rows are
+    scored one by one; very long texts are read whole."""
 
     def run(batches):
         memo: dict[str, int] = {}
