@@ -41,7 +41,7 @@ def test_clauses_decide_where_words_cannot():
 
 
 def test_a_text_over_the_sample_is_passed_over(spark):
-    rows = [(i, "x" * 5_000 if i % 10 == 0 else ("you zorgat here" if i % 3 == 0 else "fine words here")) for i in range(400)]
+    rows = [(i, "x" * 5_000 if i % 10 == 0 else f"{'zorgat' if i % 3 == 0 else 'fine'} words {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxy'[i // 100]}") for i in range(400)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
     grammar = tox.fit(docs, labels, most_bytes=20_000)
     assert any(f.startswith("zorg") for f in [*grammar.words, *grammar.stems])
