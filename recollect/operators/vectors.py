@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recollect.sources import staging
+
 BLOCKS = "scope string, ids array<bigint>, width int, data binary"
 
 
@@ -59,15 +61,167 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, part_blocks: int = 128) -
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def within(rows: DataFrame, queries: DataFrame, least: float, strict: bool = False, part_blocks: int = 128) -> DataFrame:
-    """(query_id, id, sim): all rows whose dot product with a query is at least (`strict`: over) `least`, other than the query itself."""
+class Cells:
+    """Cells around some pivots, and what the triangle inequality says of them. A row x is taken as (x, sqrt(M**2 - |x|**2)), with M the greatest length, and
+    a query as (q, 0), so a dot product of `least` or more is a distance of `reach` at most."""
+
+    def __init__(self, sample: np.ndarray, longest: float, most: int):
+        self.m2 = longest
+        x = self.rows(sample)
+        far, chosen = np.full(len(x), np.inf), []
+        while len(chosen) < min(most, len(x)) and (not chosen or far.max() > 1e-9):
+            chosen.append(int(np.argmax(far)))
+            far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        self.pivots = x[chosen]
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack((x, np.sqrt(np.maximum(0.0, self.m2 - (x * x).sum(axis=1)))))
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (self.pivots * self.pivots).sum(axis=1) - 2 * x @ self.pivots.T))
+
+    def wide(self, x: np.ndarray) -> np.ndarray:
+        return np.pad(x, ((0, 0), (0, self.pivots.shape[1] - 1 - x.shape[1])))
+
+    def reach(self, q: np.ndarray, least: float) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, (q * q).sum(axis=1) + self.m2 - 2 * least)) + 1e-6
+
+
+def matrices(batch: pa.RecordBatch, column: int):
+    """(places, matrix) for each width in a list column."""
+    vectors = batch.column(column)
+    offsets = vectors.offsets.to_numpy()
+    n, flat = np.diff(offsets), vectors.values.to_numpy(zero_copy_only=False).astype("<f8")
+    for width in np.unique(n).tolist():
+        of = np.flatnonzero(n == width)
+        yield of, flat[(offsets[of][:, None] + np.arange(width)).ravel()].reshape(len(of), width)
+
+
+UNIT = "unit long, scope string, width int, cell int, low double, high double, n long"
+
+
+def placed(rows: DataFrame, cells: Cells, unit_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(stored blocks of rows: unit, ids, width, data; units: scope, width, cell and the least and greatest distance to the pivot). A unit is a run of at most
+    `unit_rows` rows of a cell by distance, so a cell that many rows share is many units."""
+
+    def keyed(batches):
+        for batch in batches:
+            ids, scopes = batch.column(0), batch.column(2)
+            for of, x in matrices(batch, 1):
+                d = cells.distances(cells.rows(cells.wide(x)))
+                cell = d.argmin(axis=1)
+                take = pa.array(of)
+                yield pa.record_batch([ids.take(take), scopes.take(take), pa.array(np.full(len(of), x.shape[1], np.int32)), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(of)), cell]), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "scope", "width", "cell", "dist", "data"])
+
+    def packed(batches):
+        from pyspark import TaskContext
+
+        unit, key, inside, held = (TaskContext.get().partitionId() << 32) - 1, None, 0, []
+
+        def block():
+            made = pa.record_batch([pa.array([unit], pa.int64()), pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()), pa.array([held[0][1]]), pa.array([held[-1][1]]), pa.array([[h[0] for h in held]], pa.list_(pa.int64())), pa.array([b"".join(h[2] for h in held)], pa.binary())], names=["unit", "scope", "width", "cell", "low", "high", "ids", "data"])
+            held.clear()
+            return made
+
+        for batch in batches:
+            for row, scope, width, cell, dist, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                new = (scope, width, cell) != key or inside == unit_rows
+                if held and (new or len(held) == 512):
+                    yield block()
+                if new:
+                    unit, key, inside = unit + 1, (scope, width, cell), 0
+                held.append((row, dist, data))
+                inside += 1
+        if held:
+            yield block()
+
+    order = ["scope", "width", "cell", "dist", "id"]
+    sorted_rows = rows.mapInArrow(keyed, "id long, scope string, width int, cell int, dist double, data binary").repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks_of = staging.staged(sorted_rows.mapInArrow(packed, "unit long, scope string, width int, cell int, low double, high double, ids array<bigint>, data binary"), "blocks")
+    units = blocks_of.groupBy("unit", "scope", "width", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum(F.size("ids")).alias("n"))
+    return blocks_of, staging.staged(units.select(*(c.split()[0] for c in UNIT.split(", "))), "units")
 
-    def over(sims: np.ndarray, ids: np.ndarray, own: int):
-        sims = np.round(sims, 9)
-        hit = ((sims > least) if strict else (sims >= least)) & (ids != own)
-        return ids[hit], sims[hit]
 
-    return matched(rows, queries, over, part_blocks)
+def visits(queries: DataFrame, units: DataFrame, cells: Cells, least: float) -> DataFrame:
+    """(unit, id, width, data): the units in which a query can have a partner."""
+
+    def aimed(batches):
+        for batch in batches:
+            ids, scopes = batch.column(0), batch.column(2)
+            for of, x in matrices(batch, 1):
+                wide = cells.wide(x)
+                d, r = cells.distances(np.column_stack((wide, np.zeros(len(wide))))), cells.reach(wide, least)
+                i, c = np.nonzero(d <= (d.min(axis=1) + 2 * r)[:, None])  # a row of a farther cell would be nearer to another pivot
+                take, data = pa.array(of[i]), [x[k].tobytes() for k in range(len(x))]
+                yield pa.record_batch([ids.take(take), scopes.take(take), pa.array(np.full(len(i), x.shape[1], np.int32)), pa.array(c.astype(np.int32)), pa.array(d[i, c] - r[i]), pa.array(d[i, c] + r[i]), pa.array([data[k] for k in i.tolist()], pa.binary())], names=["id", "scope", "width", "cell", "from", "to", "data"])
+
+    asked = queries.mapInArrow(aimed, "id long, scope string, width int, cell int, from double, to double, data binary").alias("q")
+    u = (F.broadcast(units) if units.count() <= 1 << 16 else units).alias("u")
+    same = [F.col(f"q.{c}") == F.col(f"u.{c}") for c in ("scope", "width", "cell")]
+    met = asked.join(u, same[0] & same[1] & same[2] & (F.col("q.from") <= F.col("u.high")) & (F.col("q.to") >= F.col("u.low")))
+    return met.select("u.unit", "q.id", "q.width", "q.data")
+
+
+PIVOTS, SAMPLE, UNIT_ROWS = 128, 2048, 1 << 17
+
+
+def celled(rows: DataFrame, pivots: int = PIVOTS) -> Cells:
+    """Pivots from SAMPLE rows by a hash of the id, each as far as can be from those before."""
+    wide = F.transform("embedding", lambda x: x.cast("double"))
+    ends = rows.agg(F.max(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x)).alias("m"), F.max(F.size("embedding")).alias("w")).first()
+    sample = [r["embedding"] for r in rows.orderBy(F.xxhash64("id"), "id").select("embedding").limit(SAMPLE).collect()]
+    matrix = np.zeros((len(sample), ends["w"] or 0))
+    for k, v in enumerate(sample):
+        matrix[k, : len(v)] = v
+    return Cells(matrix, ends["m"] or 0.0, pivots)
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    scope = F.coalesce(F.col("scope").cast("string"), F.lit("")) if "scope" in rows.columns else F.lit("")
+    return rows.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), scope.alias("scope")).where("embedding IS NOT NULL AND id IS NOT NULL")
+
+
+def within(rows: DataFrame, queries: DataFrame, least: float, strict: bool = False, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """(query_id, id, sim): all rows whose dot product with a query is at least (`strict`: over) `least`, other than the query itself; of the same
+    scope, where there are scopes. Exact: units of rows are left out only where the triangle inequality rules a partner out, so on vectors
+    without any clusters all units are visited, and on clustered ones few."""
+    rows, queries = typed(rows), typed(queries)
+    cells = celled(rows)
+    if not len(cells.pivots):
+        return rows.sparkSession.createDataFrame([], "query_id long, id long, sim double")
+    held, units = placed(rows, cells, unit_rows)
+    asked = visits(queries, units, cells, least)
+
+    def run(batches):
+        unit, blocks_here, waiting = None, [], []
+
+        def answer():
+            q = np.frombuffer(b"".join(d for _, d in waiting), "<f8").reshape(len(waiting), -1)
+            out, own = [], np.array([i for i, _ in waiting])
+            for ids, x in blocks_here:
+                sims = np.round(q @ x.T, 9)
+                i, j = np.nonzero(((sims > least) if strict else (sims >= least)) & (own[:, None] != ids))
+                out.append((own[i], ids[j], sims[i, j]))
+            waiting.clear()
+            return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "id", "sim"])
+
+        for batch in batches:
+            for u, kind, ids, width, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if u != unit:
+                    if waiting:
+                        yield answer()
+                    unit, blocks_here = u, []
+                if kind == 0:
+                    blocks_here.append((np.array(ids, np.int64), np.frombuffer(data, "<f8").reshape(len(ids), width)))
+                    continue
+                waiting.append((ids[0], data))
+                if len(waiting) == 64:
+                    yield answer()
+        if waiting:
+            yield answer()
+
+    dealt = held.select("unit", F.lit(0).alias("kind"), "ids", "width", "data").unionByName(asked.select("unit", F.lit(1).alias("kind"), F.array("id").alias("ids"), "width", "data"))
+    return dealt.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(run, "query_id long, id long, sim double")
 
 
 def matched(rows: DataFrame, queries: DataFrame, choose, part_blocks: int) -> DataFrame:

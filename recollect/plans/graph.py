@@ -201,14 +201,14 @@ def pagerank_3(t: Tables):
 
 # Clusters
 
-NEAR = """v AS (SELECT vec_id AS id, label, CAST(embedding[1:8] AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT id, label,
+NEAR = """v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT id, label,
   list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v), p AS (SELECT a.id AS a, b.id AS b, a.label FROM u a
-  JOIN u b ON a.label = b.label AND a.id < b.id WHERE round(list_dot_product(a.e, b.e), 9) >= 0.55)"""
+  JOIN u b ON a.label = b.label AND a.id < b.id WHERE round(list_dot_product(a.e, b.e), 9) >= 0.3)"""
 
 
 def close_pairs(t: Tables, least: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs, nodes): pairs of one label by the cosine of their first eight numbers."""
-    rows = t("embeddings").select(F.col("vec_id").alias("id"), vectors.unit(F.slice("embedding", 1, 8)).alias("embedding"), F.col("label").alias("scope"))
+    """(pairs, nodes): pairs of one label by cosine. The bar is a parameter: the tables' vectors lie so far apart that a low one is taken."""
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), vectors.unit(F.col("embedding")).alias("embedding"), F.col("label").alias("scope"))
     return vectors.within(rows, rows, least).select(F.col("query_id").alias("a"), F.col("id").alias("b")), rows.select("id")
 
 
@@ -220,7 +220,7 @@ def close_pairs(t: Tables, least: float) -> tuple[DataFrame, DataFrame]:
   FROM (SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS c FROM s) x WHERE c >= 2""")
 def greedy_clusters(t: Tables):
     """Clusters in order of id within each scope; pairs come in blocks, seeds in rounds."""
-    return graphs.greedy_clusters(*close_pairs(t, 0.55))
+    return graphs.greedy_clusters(*close_pairs(t, 0.3))
 
 
 @query("R14", f"""WITH RECURSIVE {NEAR}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), c AS (SELECT u.id FROM u LEFT JOIN e ON e.a = u.id GROUP BY u.id
@@ -229,7 +229,7 @@ def greedy_clusters(t: Tables):
   WHERE e.a NOT IN (SELECT id FROM c) GROUP BY e.a) SELECT id, cluster, true AS core FROM m UNION ALL SELECT id, cluster, false FROM b""")
 def density_clusters(t: Tables):
     """Core rows have four rows near, themselves included; they join what they are near to, others join a core row's cluster."""
-    pairs, nodes = close_pairs(t, 0.55)
+    pairs, nodes = close_pairs(t, 0.3)
     counts = nodes.join(pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")), "id", "left")
     core = counts.where("coalesce(n, 0) + 1 >= 4").select("id")
     of = lambda side: core.withColumnRenamed("id", side)
@@ -267,19 +267,19 @@ def hypothesis_states(t: Tables):
 
 
 GRADUATED = """n AS (SELECT vec_id, label, CASE WHEN vec_id % 17 = 0 THEN 'conflict' ELSE 'insight' END AS node_type,
-  list_transform(CAST(embedding[1:5] AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding[1:5] AS DOUBLE[]),
-  CAST(embedding[1:5] AS DOUBLE[])))) AS e FROM embeddings),
+  list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]),
+  CAST(embedding AS DOUBLE[])))) AS e FROM embeddings),
   m AS (SELECT a.vec_id AS local_id, a.label AS scope, b.vec_id AS other_id, b.label AS other_scope, round(list_dot_product(a.e, b.e), 9) AS sim
   FROM n a JOIN n b ON a.label <> b.label
-  WHERE round(list_dot_product(a.e, b.e), 9) >= 0.85 AND a.node_type <> 'conflict' AND b.node_type <> 'conflict'), f AS (SELECT * FROM m
+  WHERE round(list_dot_product(a.e, b.e), 9) >= 0.35 AND a.node_type <> 'conflict' AND b.node_type <> 'conflict'), f AS (SELECT * FROM m
   QUALIFY row_number() OVER (PARTITION BY local_id ORDER BY other_id) = 1)"""
 
 
-def first_converging(t: Tables) -> DataFrame:
-    """For each row the first of another scope that is close; conflicts are passed over."""
-    rows = t("embeddings").select(F.col("vec_id").alias("id"), vectors.unit(F.slice("embedding", 1, 5)).alias("embedding"))
+def first_converging(t: Tables, least: float = 0.35) -> DataFrame:
+    """For each row the first of another scope that is close; conflicts are passed over. The bar is low, as the tables' vectors lie far apart."""
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), vectors.unit(F.col("embedding")).alias("embedding"))
     kinds = t("embeddings").where("vec_id % 17 <> 0").select(F.col("vec_id").alias("id"), F.col("label").alias("scope"))
-    pairs = vectors.within(rows, rows, 0.85)
+    pairs = vectors.within(rows, rows, least)
     named = pairs.join(kinds.select(F.col("id").alias("query_id"), "scope"), "query_id").join(kinds.select("id", F.col("scope").alias("other_scope")), "id").where("scope <> other_scope")
     return named.groupBy(F.col("query_id").alias("local_id"), "scope").agg(F.min_by(F.struct(F.col("id").alias("other_id"), "other_scope", "sim"), "id").alias("o")).select("local_id", "scope", "o.*")
 
@@ -324,18 +324,18 @@ def keyword_graduation(t: Tables):
 
 @query(
     "R19",
-    """WITH v AS (SELECT vec_id, list_transform(CAST(embedding[1:4] AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding[1:4] AS DOUBLE[]),
-  CAST(embedding[1:4] AS DOUBLE[])))) AS e FROM embeddings), m AS (SELECT l.vec_id AS lesson, min(r.vec_id) AS rule FROM v l
-  JOIN v r ON l.vec_id % 3 = 1 AND r.vec_id % 20 = 0 AND l.vec_id <> r.vec_id WHERE round(list_dot_product(l.e, r.e), 9) >= 0.8 GROUP BY l.vec_id),
+    """WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]),
+  CAST(embedding AS DOUBLE[])))) AS e FROM embeddings), m AS (SELECT l.vec_id AS lesson, min(r.vec_id) AS rule FROM v l
+  JOIN v r ON l.vec_id % 3 = 1 AND r.vec_id % 20 = 0 AND l.vec_id <> r.vec_id WHERE round(list_dot_product(l.e, r.e), 9) >= 0.25 GROUP BY l.vec_id),
   h AS (SELECT rule, count(*) AS n FROM m GROUP BY rule)
 SELECT 'rule:' || vec_id AS id, round(least(1e0, 0.3e0 + 0.2e0 * coalesce(n, 0)), 6) AS importance FROM v LEFT JOIN h ON h.rule = vec_id
   WHERE vec_id % 20 = 0 UNION ALL SELECT 'lesson:' || vec_id, 0.2e0 FROM v WHERE vec_id % 3 = 1 AND vec_id NOT IN (SELECT lesson FROM m)""",
 )
 def reflection_dedup(t: Tables):
     """A lesson raises the first pruned rule that is close, up to 1; one that is close to none becomes a rule."""
-    rows = t("embeddings").select(F.col("vec_id").alias("id"), vectors.unit(F.slice("embedding", 1, 4)).alias("embedding"))
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), vectors.unit(F.col("embedding")).alias("embedding"))
     lessons, rules = rows.where("id % 3 = 1"), rows.where("id % 20 = 0")
-    met = vectors.within(rules, lessons, 0.8).groupBy(F.col("query_id").alias("lesson")).agg(F.min("id").alias("rule"))
+    met = vectors.within(rules, lessons, 0.25).groupBy(F.col("query_id").alias("lesson")).agg(F.min("id").alias("rule"))
     hits = met.groupBy("rule").agg(F.count("*").alias("n"))
     raised = rules.select("id").join(hits, F.col("id") == F.col("rule"), "left").select(F.concat(F.lit("rule:"), "id").alias("id"), F.round(F.least(F.lit(1.0), 0.3 + 0.2 * F.coalesce("n", F.lit(0))), 6).alias("importance"))
     new = lessons.select("id").join(met.select(F.col("lesson").alias("id")), "id", "left_anti").select(F.concat(F.lit("lesson:"), "id").alias("id"), F.lit(0.2).alias("importance"))

@@ -304,13 +304,13 @@ def guardrails(t: Tables):
     return folds.contained(rules, t("conversations").select(F.lower("text").alias("text")), "pattern", "text", 5).groupBy("item_id").agg(F.sum("hits").alias("hits"))
 
 
-@query("P16", """WITH u AS (SELECT vec_id, CAST(embedding[1:6] AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT r.vec_id AS rule_id, e.vec_id,
+@query("P16", """WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT r.vec_id AS rule_id, e.vec_id,
   round(list_dot_product(r.e, e.e) / sqrt(list_dot_product(r.e, r.e) * list_dot_product(e.e, e.e)), 9) AS s FROM u r JOIN u e ON r.vec_id <> e.vec_id
-  WHERE r.vec_id % 100 = 0) SELECT rule_id, vec_id AS turn_id FROM c WHERE s > 0.82""")
+  WHERE r.vec_id % 100 = 0) SELECT rule_id, vec_id AS turn_id FROM c WHERE s > 0.3""")
 def guardrail_neighbours(t: Tables):
     """Turns that a rule's vector is close to: the rules pass the turns in blocks."""
-    e = t("embeddings").select(F.col("vec_id").alias("id"), vectors.unit(F.slice("embedding", 1, 6)).alias("embedding"))
-    return vectors.within(e, e.where("id % 100 = 0"), 0.82, strict=True).select(F.col("query_id").alias("rule_id"), F.col("id").alias("turn_id"))
+    e = t("embeddings").select(F.col("vec_id").alias("id"), vectors.unit(F.col("embedding")).alias("embedding"))
+    return vectors.within(e, e.where("id % 100 = 0"), 0.3, strict=True).select(F.col("query_id").alias("rule_id"), F.col("id").alias("turn_id"))
 
 
 # Joins
