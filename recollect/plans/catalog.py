@@ -40,6 +40,14 @@ def spelled(word: str) -> str:
     return "CASE (" + first + ") " + " ".join(f"WHEN '{w}' THEN '{k}'" for w, k in SYNONYMS.items()) + f" ELSE ({first}) END"
 
 
+def redacted_sql(text: str) -> str:
+    """A text without its secrets."""
+    return r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(""" + text + r""",
+ '((?i:password|passwd|secret|token|api[_-]?key)["'']?\s*[:=]\s*)"[^"\n]+"', '\1"[REDACTED]"', 'g'), '((?i:password|passwd|secret|token|api[_-]?key)["'']?\s*[:=]\s*)''[^''\n]+''', '\1''[REDACTED]''', 'g'),
+ 'AKIA[0-9A-Z]{16}', '[REDACTED]', 'g'), 'gh[pousr]_[A-Za-z0-9]{36,}', '[REDACTED]', 'g'), '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED]', 'g'),
+ 'eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+', '[REDACTED]', 'g'), '(export\s+[A-Za-z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD)[A-Za-z0-9_]*=)\S+', '\1[REDACTED]', 'g')"""
+
+
 PLANS: dict[str, Plan] = {
     # lexical
     "bm25_topk": Plan("C1 T1 T2 A4 A5 S11 S12 K1 K3", f"WITH {BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored ORDER BY round(bm25, 6) DESC, doc_id LIMIT 10"),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.plans.catalog import redacted_sql
 from recollect.plans.registry import Tables, query
-from recollect.sources import sinks, staging, transcripts
-from recollect.streaming import events
+from recollect.sources import sinks, staging, tails, transcripts
+from recollect.streaming import events, stateful
 
 
 def written(df: DataFrame, label: str, **options) -> str:
@@ -114,24 +115,28 @@ def tailed_files(t: Tables):
     return read.select(conv.alias("conv_id"), F.when(conv % 3 == 0, 7).otherwise(0).cast("long").alias("start"), "text")
 
 
-@query("D15 D19", "SELECT n, n_bad FROM (SELECT count(*) AS n, count(*) FILTER (contains(text, '\"hunter')) * 0 AS n_bad FROM documents)")
+REDACTED = redacted_sql("""coalesce(text, '') || ' password = "hunter2"'""")
+
+
+@query("D15", f"SELECT doc_id, sha256({REDACTED}) AS text_sha256 FROM documents")
 def redacted_files(t: Tables):
     """Texts are redacted before they are stored; a committed write stands in for a temporary file."""
     path = staging.new_path(t.spark, "texts")
     text = F.concat(F.coalesce("text", F.lit("")), F.lit(' password = "hunter2"'))
     sinks.write_texts(t("documents").select("doc_id", text.alias("text")), path)
-    return t.spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_if(F.col("text").contains("hunter2")).alias("n_bad"))
+    return t.spark.read.parquet(path).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("D19", "SELECT CAST(count(*) AS BIGINT) AS results, 'documents' AS dataset, CAST(3 AS BIGINT) AS report_lines FROM documents")
+@query("D19", """SELECT 'result' AS part, 'document ' || doc_id AS name, length(text) AS n FROM documents UNION ALL SELECT 'manifest', 'documents', count(*) FROM documents UNION ALL SELECT 'report', 'lines', 3""")
 def written_results(t: Tables):
-    """Result lines, a manifest and a report."""
+    """Result lines, a manifest and a report, read back."""
     path = staging.new_path(t.spark, "results")
     rows = t("documents").select("doc_id", F.length("text").alias("n"))
     sinks.write_run(rows, rows.agg(F.count("*").alias("n")), {"dataset": "documents"}, path)
-    manifest = t.spark.read.schema("dataset string, results long").json(f"{path}/manifest")
-    lines = t.spark.read.text(f"{path}/report").agg(F.count("*").alias("report_lines"))
-    return manifest.crossJoin(F.broadcast(lines)).select("results", "dataset", "report_lines")
+    results = t.spark.read.schema("doc_id long, n long").json(f"{path}/results").select(F.lit("result").alias("part"), F.concat(F.lit("document "), "doc_id").alias("name"), "n")
+    manifest = t.spark.read.schema("dataset string, results long").json(f"{path}/manifest").select(F.lit("manifest").alias("part"), F.col("dataset").alias("name"), F.col("results").alias("n"))
+    report = t.spark.read.text(f"{path}/report").agg(F.count("*").alias("n")).select(F.lit("report").alias("part"), F.lit("lines").alias("name"), "n")
+    return results.unionByName(manifest).unionByName(report)
 
 
 # Streams: the table's rows arrive as files.
@@ -249,3 +254,72 @@ def expired_tasks(t: Tables):
     now = F.unix_timestamp(F.lit("2024-01-20 00:00:00").cast("timestamp"))
     ttl = F.col("event_id") % 4 * 86400
     return t("events").where((F.col("event_id") % 4 > 0) & (F.unix_timestamp("ts") + ttl < now)).select("event_id")
+
+
+# By the clock: nothing further has to arrive.
+
+
+@query("M4", """WITH r AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 3 AS c FROM events)
+  SELECT user_id, CASE WHEN count(*) = 3 THEN 'threshold' ELSE 'idle' END AS reason, count(*) AS n, arg_max(event_id, (ts, event_id)) AS last FROM r GROUP BY user_id, c""")
+def stream_due(t: Tables):
+    """Work is due after so many waiting events (three here) or a second without one on the clock; in the end nothing waits."""
+    n, out = t("events").count(), staging.new_path(t.spark, "due")
+    due = stateful.triggers(arriving(t, "due-in"), 3, 1.0)
+    stateful.run_until(due, out, staging.new_path(t.spark, "due-state"), lambda d: (d.agg(F.sum("n").alias("n")).first()["n"] or 0) == n, most_seconds=900)
+    return t.spark.read.schema(due.schema).parquet(out).select("user_id", "reason", F.col("n").cast("long").alias("n"), "last")
+
+
+@query("M2", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY user_id")
+def stream_settled(t: Tables):
+    """The latest event of each user once no other has come for a second; its state goes with it."""
+    n, out = t("events").select("user_id").distinct().count(), staging.new_path(t.spark, "settled")
+    rows = stateful.settled(arriving(t, "settling"), 1.0)
+    stateful.run_until(rows, out, staging.new_path(t.spark, "settled-state"), lambda d: d.count() == n, most_seconds=900)
+    return t.spark.read.schema(rows.schema).parquet(out).select("user_id", "event_id", F.col("n").cast("long").alias("n"))
+
+
+def in_two(t: Tables, run) -> None:
+    """Runs a stream over a first file, and again once a second one with every tenth event has come."""
+    path = staging.new_path(t.spark, "late-in")
+    for later in ("event_id % 10 > 0", "event_id % 10 = 0"):
+        t("events").where(later).coalesce(1).write.mode("append").parquet(path)
+        run(events.stream(t.spark, path))
+
+
+CLOCKS = """WITH c AS (SELECT max(ts) FILTER (event_id % 10 > 0) AS first, max(ts) AS last FROM events)"""
+
+
+@query("M10", CLOCKS + """ SELECT event_id FROM events, c WHERE event_id % 10 = 0 AND ts < first - INTERVAL 1 HOUR""")
+def stream_late(t: Tables):
+    """Rows that come over an hour late are put aside, each once."""
+    aside, clock, state, good = (staging.new_path(t.spark, x) for x in ("late", "clock", "late-state", "on-time"))
+    in_two(t, lambda df: stateful.run_with_late_aside(df, lambda b, n: b.write.mode("overwrite").parquet(f"{good}/batch={n}"), aside, clock, state, 3600))
+    return stateful.late_rows(t.spark, aside, events.EVENTS).select("event_id")
+
+
+@query("M10", CLOCKS + """, k AS (SELECT date_trunc('hour', ts) AS start, event_type FROM events, c WHERE event_id % 10 > 0 OR date_trunc('hour', ts) + INTERVAL 1 HOUR > first - INTERVAL 10 MINUTE)
+  SELECT start, event_type, count(*) AS n FROM k, c WHERE start + INTERVAL 1 HOUR <= last - INTERVAL 10 MINUTE GROUP BY start, event_type""")
+def stream_closed(t: Tables):
+    """Counts of hours that the watermark has closed; what comes for a closed hour is dropped."""
+    out, state = staging.new_path(t.spark, "closed"), staging.new_path(t.spark, "closed-state")
+    rows = []
+    in_two(t, lambda df: rows.append(events.windowed(df)) or events.run(rows[-1], out, state))
+    return t.spark.read.schema(rows[-1].schema).parquet(out).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("M1 C5", "SELECT conv_id, turn, sha256('turn ' || conv_id || ' ' || turn || ' ' || role) AS line_sha256 FROM conversations")
+def stream_tailed(t: Tables):
+    """Lines of growing folders of text files, each once, over two runs."""
+    t.spark.dataSource.register(tails.Tail)
+    path, out, state = staging.new_path(t.spark, "logs"), staging.new_path(t.spark, "lines"), staging.new_path(t.spark, "lines-state")
+    line = F.concat(F.lit("turn "), "conv_id", F.lit(" "), "turn", F.lit(" "), "role")
+    total = 0
+    for part in ("turn % 2 = 0", "turn % 2 = 1"):
+        rows = t("conversations").where(part)
+        rows.select(line.alias("value")).write.mode("append").text(path)
+        total += rows.count()
+        df = t.spark.readStream.format("tail").option("folder", path).load()
+        stateful.run_until(df, out, state, lambda d, n=total: d.count() >= n, most_seconds=300)
+    found = t.spark.read.schema(tails.SCHEMA).parquet(out)
+    said = F.split("line", " ")
+    return found.select(said[1].cast("long").alias("conv_id"), said[2].cast("long").alias("turn"), F.sha2("line", 256).alias("line_sha256"))

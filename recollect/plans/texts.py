@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from recollect.functions import columns as c
 from recollect.functions import stem, texts, words
 from recollect.operators import lines, walks
-from recollect.plans.catalog import spelled
+from recollect.plans.catalog import redacted_sql, spelled
 from recollect.plans.registry import Tables, query
 
 
@@ -128,10 +128,7 @@ def token_estimates(t: Tables):
     return t("documents").select("doc_id", F.coalesce(c.token_estimate(F.col("text")), F.lit(0)).alias("tokens"))
 
 
-@query("T14 D15", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
- '((?i:password|passwd|secret|token|api[_-]?key)["'']?\s*[:=]\s*)"[^"\n]+"', '\1"[REDACTED]"', 'g'), '((?i:password|passwd|secret|token|api[_-]?key)["'']?\s*[:=]\s*)''[^''\n]+''', '\1''[REDACTED]''', 'g'),
- 'AKIA[0-9A-Z]{16}', '[REDACTED]', 'g'), 'gh[pousr]_[A-Za-z0-9]{36,}', '[REDACTED]', 'g'), '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED]', 'g'),
- 'eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+', '[REDACTED]', 'g'), '(export\s+[A-Za-z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD)[A-Za-z0-9_]*=)\S+', '\1[REDACTED]', 'g')) AS redacted_sha256 FROM documents""")
+@query("T14 D15", f"SELECT doc_id, sha256({redacted_sql('text')}) AS redacted_sha256 FROM documents")
 def secret_redaction(t: Tables):
     """Secrets in quotes after their key, and those known by their form."""
     return t("documents").select("doc_id", F.sha2(c.redacted(F.col("text")), 256).alias("redacted_sha256"))
