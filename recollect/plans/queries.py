@@ -7,10 +7,10 @@ from pyspark.sql.window import Window
 
 from recollect.functions import columns as c
 from recollect.operators import folds, lines
-from recollect.plans import basics, evaluation, feeds, graph, retrieval, search, tables, texts
+from recollect.plans import basics, evaluation, feeds, graph, retrieval, saving, search, tables, texts
 from recollect.plans.registry import REGISTRY, Tables, query
 
-MODULES = (basics, evaluation, feeds, graph, retrieval, search, tables, texts)
+MODULES = (basics, evaluation, feeds, graph, retrieval, saving, search, tables, texts)
 
 
 @query("T4", None)
