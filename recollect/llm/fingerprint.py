@@ -142,14 +142,13 @@ def in_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("at", F.struct(F.col("range").cast("int").alias("range"), part.alias("part")))
     place = F.struct(key.alias("id"), "tie")
     first = sorted((tuple(r["at"]), tuple(r["first"])) for r in dealt.groupBy("at").agg(F.min(place).alias("first")).collect())  # a row a bucket
-    number = {at: i for i, (at, _) in enumerate(first)}
-    numbers = F.create_map(*(x for (a, b), i in number.items() for x in (F.lit(a * 100_000 + b), F.lit(i)))) if first else F.lit(None).cast("map<int,int>")
-    heads = F.create_map(*(x for i, (_, (doc, tie)) in enumerate(first) for x in (F.concat_ws(":", F.lit(doc), F.lit(tie)), F.lit((i - 1) % len(first))))) if first else F.lit(None).cast("map<string,int>")
-    bucket = F.element_at(numbers, F.col("at.range") * 100_000 + F.col("at.part"))
-    here = F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("extra")))
-    there = F.element_at(heads, F.concat_ws(":", key, F.col("tie")))
-    both = F.when(there.isNotNull(), F.concat(here, F.array(F.struct(there.alias("bucket"), F.lit(True).alias("extra"))))).otherwise(here)
-    spread = dealt.select("doc_id", "text", "tie", F.explode(both).alias("b")).select("b.bucket", "b.extra", "doc_id", "text", "tie")
+    numbers = spark.createDataFrame([(*at, i) for i, (at, _) in enumerate(first)], "range int, part int, bucket int")
+    heads = spark.createDataFrame([(*head, (i - 1) % len(first)) for i, (_, head) in enumerate(first)], "id long, head long, before int")
+    keyed = dealt.select("doc_id", "text", "tie", key.alias("id"), F.col("at.range").alias("range"), F.col("at.part").alias("part"))
+    keyed = keyed.join(F.broadcast(numbers), ["range", "part"]).join(F.broadcast(heads), (keyed["id"] == heads["id"]) & (F.col("tie") == F.col("head")), "left")  # a row a bucket
+    here = F.array(F.struct("bucket", F.lit(False).alias("extra")))
+    both = F.when(F.col("before").isNotNull(), F.concat(here, F.array(F.struct(F.col("before").alias("bucket"), F.lit(True).alias("extra"))))).otherwise(here)
+    spread = keyed.select("doc_id", "text", "tie", F.explode(both).alias("b")).select("b.bucket", "b.extra", "doc_id", "text", "tie")
     return spread.repartition("bucket").sortWithinPartitions("bucket", "extra", "doc_id", "tie").select("bucket", "extra", "doc_id", "text")
 
 
