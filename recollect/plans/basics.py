@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from recollect.functions import columns as c
 from recollect.functions import words
-from recollect.operators import dml, folds, graphs, lines
+from recollect.operators import dml, folds, graphs, lines, ranks
 from recollect.plans.catalog import PLANS
 from recollect.plans.registry import Tables, query
 from recollect.plans.retrieval import near
@@ -204,9 +204,8 @@ def metrics_rollup(t: Tables):
 
 @checked("A9")
 def p95_nearest_rank(t: Tables):
-    of = Window.partitionBy("event_type")
-    rows = t("events").select("event_type", "value", F.row_number().over(of.orderBy("value", "event_id")).alias("k"), F.count("*").over(of).alias("n"))
-    return rows.where(F.col("k") == F.ceil(0.95 * F.col("n"))).select("event_type", F.col("value").alias("p95"))
+    rows = ranks.within(t("events").select("event_type", "value", "event_id"), ["event_type"], "value", "event_id")
+    return rows.where(F.col("k") == F.ceil(0.95 * F.col("n_group"))).select("event_type", F.col("value").alias("p95"))
 
 
 @checked("A11 H10")

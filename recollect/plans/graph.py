@@ -136,8 +136,9 @@ def user_profiles(t: Tables):
     turns = t("conversations").where("role = 'user'").select(F.concat(F.lit("u"), F.col("conv_id") % 5).alias("prefix"), "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     kv = t("events").groupBy(F.concat(F.lit("u"), F.col("user_id") % 5).alias("prefix"), F.when(F.col("event_type") == "error", "_error").otherwise(F.col("event_type")).alias("key")).agg(F.count("*").alias("value"))
     facts = kv.where(~F.col("key").startswith("_")).groupBy("prefix").agg(F.array_join(F.array_sort(F.collect_list(F.concat("key", F.lit(": "), "value"))), "\n").alias("facts"))
-    w = Window.partitionBy("prefix").orderBy(F.desc("turn"), F.desc("conv_id")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = turns.withColumn("used", F.sum(F.length("text") + 1).over(w)).where("used <= 1001").join(facts, "prefix", "left")
+    sized = turns.select("prefix", "conv_id", "turn", (-F.col("turn")).alias("a"), (-F.col("conv_id")).alias("b"), (F.length("text") + 1).alias("size"))
+    first = ranks.within(sized, ["prefix"], "a", "b", total="size").where("upto <= 1001").select("conv_id", "turn", F.col("upto").alias("used"))  # texts stay out of the sort
+    rows = turns.join(first, ["conv_id", "turn"]).join(facts, "prefix", "left")  # 1001 a user at most
     room = 1000 - F.coalesce(F.length("facts") + 1, F.lit(0))
     kept = rows.where(F.col("used") - 1 <= room).groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("turn", "conv_id", "text"))).alias("kept"))
     every = turns.select("prefix").distinct().join(facts, "prefix", "left").join(kept, "prefix", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import columns as c
-from recollect.operators import dml, folds, graphs, vectors
+from recollect.operators import dml, folds, graphs, ranks, vectors
 from recollect.plans.registry import Tables, query
 
 ANCHOR = "2024-02-01 00:00:00"
@@ -391,9 +391,10 @@ def budgeted_history(t: Tables):
   WHERE freed < excess""")
 def evictions(t: Tables):
     """Unpinned rows, the least important first, until enough is freed."""
-    rows = t("documents").select("source", "doc_id", "n_chars", (F.col("doc_id") % 9 == 0).alias("pinned")).withColumn("excess", 0.2 * F.sum("n_chars").over(Window.partitionBy("source")))
-    before = Window.partitionBy("source").orderBy("n_chars", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.where(~F.col("pinned")).withColumn("freed", F.coalesce(F.sum("n_chars").over(before), F.lit(0))).where("freed < excess").select("source", "doc_id")
+    excess = t("documents").groupBy("source").agg((0.2 * F.sum("n_chars")).alias("excess"))
+    rows = t("documents").select("source", "doc_id", "n_chars", (F.col("doc_id") % 9 == 0).alias("pinned")).join(excess, "source")
+    held = ranks.within(rows.where(~F.col("pinned")), ["source"], "n_chars", "doc_id", total="n_chars")
+    return held.where(F.col("upto") - F.coalesce("n_chars", F.lit(0)) < F.col("excess")).select("source", "doc_id")
 
 
 @query("R20", """WITH a AS (SELECT user_id % 3 AS shard, user_id, max(ts) AS last_use, user_id % 7 = 0 AS pinned FROM events GROUP BY user_id), k AS (SELECT *,
@@ -402,8 +403,9 @@ def evictions(t: Tables):
 def lru_evictions(t: Tables):
     """Over the capacity of four, the least recently used rows that aren't pinned go."""
     used = t("events").groupBy("user_id").agg(F.max("ts").alias("last_use")).select((F.col("user_id") % 3).alias("shard"), "user_id", "last_use", (F.col("user_id") % 7 == 0).alias("pinned"))
-    rows = used.withColumn("n", F.count("*").over(Window.partitionBy("shard"))).withColumn("k", F.row_number().over(Window.partitionBy("shard", "pinned").orderBy("last_use", "user_id")))
-    return rows.where(~F.col("pinned") & (F.col("k") <= F.col("n") - 4)).select("shard", "user_id")
+    sizes = used.groupBy("shard").agg(F.count("*").alias("n"))
+    rows = ranks.within(used.where(~F.col("pinned")), ["shard"], "last_use", "user_id").join(sizes, "shard")
+    return rows.where(F.col("k") <= F.col("n") - 4).select("shard", "user_id")
 
 
 @query("W14", """WITH r AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN 'tool_result'
