@@ -29,13 +29,12 @@ import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from recollect.llm import common, tokens
 
 END_ID = 0
 MAGIC = b"RCSST\x00\x00\x01"
-RESTART, BLOCK_BYTES, SHARD_BYTES, TASK_BYTES, BITS_A_KEY, PROBES = 16, 64 << 10, 64 << 20, 256 << 20, 10, 7
+RESTART, BLOCK_BYTES, SHARD_BYTES, BITS_A_KEY, PROBES = 16, 64 << 10, 64 << 20, 10, 7
 FOOTER = struct.Struct("<7QI8s")
 MANIFEST = "path string, first_key binary, last_key binary, n_docs long, n_tokens long, n_bytes long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -247,13 +246,14 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str
     return common.staged(spark, sorted_docs.mapInArrow(pour, MANIFEST), "manifest")
 
 
-def read(spark: SparkSession, manifest: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """Reads every shard of a manifest: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. Tokens are added up over the manifest, a
-    few numbers a shard; a task reads some shards."""
-    before = Window.orderBy("first_key", "last_key", "path").rowsBetween(Window.unboundedPreceding, -1)
-    placed = common.staged(spark, manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")).alias("start")), "placed")  # a row a shard
-    sizes = manifest.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()
-    tasks = max(1, min(sizes["n"], max(spark.sparkContext.defaultParallelism, -(-sizes["b"] // task_bytes))))
+def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """Reads every shard of a manifest: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. The driver adds
+    up one number a shard."""
+    shards = sorted(manifest.select("path", "first_key", "last_key", "n_tokens").collect(), key=lambda r: (bytes(r["first_key"]), bytes(r["last_key"]), r["path"]))
+    rows, at = [], 0
+    for r in shards:
+        rows.append((r["path"], at))
+        at += r["n_tokens"]
 
     def scan(batches):
         for batch in batches:
@@ -267,7 +267,10 @@ def read(spark: SparkSession, manifest: DataFrame, task_bytes: int = TASK_BYTES)
                 for k in range(0, len(out), 10_000):
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out[k : k + 10_000], strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition(tasks).mapInArrow(scan, ROWS)
+    if not rows:
+        return spark.createDataFrame([], ROWS)
+    tasks = spark.sparkContext.parallelize(rows, len(rows)).toDF("path string, start long")  # a task a shard
+    return tasks.mapInArrow(scan, ROWS)
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, ids: list[int]) -> dict[int, list[bytes]]:
