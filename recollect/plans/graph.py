@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from recollect.functions import columns as c
 from recollect.functions import texts
-from recollect.operators import folds, graphs, ranks, vectors
+from recollect.operators import folds, graphs, ranks, trees, vectors
 from recollect.plans.catalog import PLANS
 from recollect.plans.registry import Tables, query
 from recollect.plans.tables import EPISODES, episodes
@@ -153,6 +153,13 @@ def tree(t: Tables) -> DataFrame:
     return t("documents").select(F.col("doc_id").alias("node"), F.when(F.col("doc_id") > 0, F.expr("doc_id DIV 10")).alias("parent"), (F.col("n_chars") % 101).alias("score"), (F.col("doc_id") % 7 == 0).alias("done"))
 
 
+@query("R10 K8", None)
+def tree_search(t: Tables):
+    """Five rounds of search in a tree for each conversation; a node's score follows from the conversation's turns."""
+    sizes = t("conversations").groupBy(F.col("conv_id").alias("tree")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("size"))
+    return trees.searched(sizes.select((F.col("tree") * 1000 + F.col("size") % 1000).alias("tree")), 5, 3, lambda tree, node: F.pmod(tree * 31 + node * node * 17, F.lit(101)))
+
+
 @query("R10", f"""WITH RECURSIVE {TREE}, up(leaf, node) AS (SELECT node, node FROM t WHERE done UNION ALL SELECT up.leaf, t.parent FROM up JOIN t ON t.node = up.node
   WHERE t.parent IS NOT NULL) SELECT t.node, count(up.leaf) AS visits, t.done AND t.score < 70 AS pruned FROM t LEFT JOIN up ON up.node = t.node
   GROUP BY t.node, t.done, t.score""")

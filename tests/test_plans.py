@@ -58,7 +58,7 @@ def tokens(text):
 
 
 def test_every_query_is_tested():
-    bare = {"stem_terms", "stemmed_postings", "compacted_results", "session_diffs", "diverse_results", "section_groups", "recursive_chunks", "pagerank_10", "token_packing", "search_packed", "search_keywords", "stemmed_topk", "weight_search"}
+    bare = {"stem_terms", "stemmed_postings", "compacted_results", "session_diffs", "diverse_results", "section_groups", "recursive_chunks", "pagerank_10", "token_packing", "search_packed", "search_keywords", "stemmed_topk", "weight_search", "tree_search"}
     assert set(QUERIES) - set(ORACLE_SQL) == bare
 
 
