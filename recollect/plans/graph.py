@@ -9,9 +9,10 @@ from pyspark.sql.window import Window
 
 from recollect.functions import columns as c
 from recollect.functions import texts
-from recollect.operators import folds, graphs, ranks, trees, vectors
+from recollect.operators import clusters, folds, graphs, ranks, trees, vectors
 from recollect.plans.catalog import PLANS
 from recollect.plans.registry import Tables, query
+from recollect.sources import staging
 from recollect.plans.tables import EPISODES, episodes
 
 # Graph
@@ -231,6 +232,23 @@ def greedy_clusters(t: Tables):
     return graphs.greedy_clusters(*close_pairs(t, 0.3))
 
 
+RUNS = """v AS (SELECT vec_id AS id, label, vec_id % 3 AS run, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT id, label, run, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e,
+  row_number() OVER (PARTITION BY label ORDER BY run, id) AS k FROM v), p AS (SELECT a.k AS a, b.id AS b FROM u a JOIN u b ON a.label = b.label AND a.k < b.k WHERE round(list_dot_product(a.e, b.e), 9) >= 0.3)"""
+
+
+@query("R13 R12", f"""WITH RECURSIVE {RUNS}, n AS (SELECT u.id, u.label, u.run, u.k, coalesce(list(p.a ORDER BY p.a) FILTER (p.a IS NOT NULL), []) AS smaller FROM u LEFT JOIN p ON p.b = u.id GROUP BY ALL),
+  s(label, k, id, run, seeds, cluster) AS (SELECT label, k, id, run, [k], k FROM n WHERE k = 1 UNION ALL SELECT n.label, n.k, n.id, n.run, CASE WHEN list_has_any(n.smaller, s.seeds) THEN s.seeds
+  ELSE list_append(s.seeds, n.k) END, coalesce(list_min(list_intersect(n.smaller, s.seeds)), n.k) FROM s JOIN n ON n.label = s.label AND n.k = s.k + 1)
+  SELECT x.id, u.id AS cluster, CAST(x.run AS INTEGER) AS run FROM (SELECT *, count(*) OVER (PARTITION BY label, cluster) AS c FROM s) x JOIN u ON u.label = x.label AND u.k = x.cluster WHERE c >= 2""")
+def clusters_over_runs(t: Tables):
+    """Rows come in three runs; each joins what is there or makes clusters of its own."""
+    held = clusters.Clusters(t.spark, staging.new_path(t.spark, "clusters"), 0.3)
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), vectors.unit(F.col("embedding")).alias("embedding"), F.col("label").alias("scope"))
+    for run in range(3):
+        held.add(run, rows.where(F.col("id") % 3 == run))
+    return held.clusters()
+
+
 @query("R14", f"""WITH RECURSIVE {NEAR}, e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), c AS (SELECT u.id FROM u LEFT JOIN e ON e.a = u.id GROUP BY u.id
   HAVING count(e.b) + 1 >= 4), r(x, y) AS (SELECT id, id FROM c UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y WHERE e.b IN (SELECT id FROM c)),
   m AS (SELECT x AS id, min(y) AS cluster FROM r GROUP BY x), b AS (SELECT e.a AS id, min(m.cluster) AS cluster FROM e JOIN m ON m.id = e.b
