@@ -10,6 +10,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_left: set[str] = set()
+
+
+def _sweep() -> None:
+    """Deletes what was staged, when the driver's Python ends: results that were read until then needed it."""
+    from pyspark import SparkContext
+
+    if _left and SparkContext._jvm is not None:
+        for path in _left:
+            p = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(SparkContext._jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
+atexit.register(_sweep)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """`spark.checkpoint.dir`; where that is unset, a temporary folder of a local session, as in tests; on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -24,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/recollect-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/recollect-{label}-{uuid.uuid4().hex}"
+    _left.add(path)
+    return path
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
