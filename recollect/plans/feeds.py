@@ -101,6 +101,21 @@ def workspace_files(t: Tables):
     return transcripts.files(t.spark, path, "*.txt", depth=10).select("sha256")
 
 
+@query("C12 T8", """SELECT item_id, CASE WHEN item_id % 3 > 0 THEN 'Item ' || item_id END AS title, CASE WHEN item_id % 3 = 1 THEN 's' || (item_id % 4) END AS scope,
+  sha256('Body of ' || coalesce(text, '') || chr(10)) AS body_sha256 FROM benchmark""")
+def markdown_files(t: Tables):
+    """Markdown files with a head, with a short one, and without; their keys and what stands behind."""
+    i, body = F.col("item_id"), F.concat(F.lit("Body of "), F.coalesce("text", F.lit("")))
+    long = F.concat(F.lit('---\ntitle: "Item '), i, F.lit("\"\nscope: s"), i % 4, F.lit("\ntags: [a, b]\n---\n\n"), body)
+    short = F.concat(F.lit("---\ntitle: Item "), i, F.lit("\n---\n"), body)
+    path = staging.new_path(t.spark, "vault")
+    text = F.when(i % 3 == 1, long).when(i % 3 == 2, short).otherwise(body)
+    t("benchmark").select("item_id", text.alias("value")).repartition("item_id").write.partitionBy("item_id").text(path)
+    read = transcripts.markdown(t.spark, path, pattern="*.txt")
+    ends = F.concat(F.regexp_replace("body", r"\n+\z", ""), F.lit("\n"))  # the writer ends a file by a line break
+    return read.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "title", "scope", F.sha2(ends, 256).alias("body_sha256"))
+
+
 @query("M1", """SELECT conv_id, CAST(CASE conv_id % 3 WHEN 1 THEN 0 ELSE 7 END AS BIGINT) AS start, CASE conv_id % 3 WHEN 0 THEN 'line 2' || chr(10)
   ELSE 'line 1' || chr(10) || 'line 2' || chr(10) END AS text FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 3 < 2)""")
 def tailed_files(t: Tables):

@@ -92,6 +92,16 @@ def files(spark: SparkSession, folder: str, pattern: str = "*", depth: int | Non
     return kept.select("path", F.sha2("content", 256).alias("sha256"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+def markdown(spark: SparkSession, folder: str, keys: tuple[str, ...] = ("title", "scope"), pattern: str = "*.md", depth: int | None = None) -> DataFrame:
+    """path, sha256, the front matter's `keys` (null where a file has none), name (the title, or else the file's name without its ending) and body of each
+    markdown file below a folder. Spark gives no row for an empty file."""
+    found = files(spark, folder, pattern, depth)
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    values = [c.front_matter(F.col("text"), k).alias(k) for k in keys]
+    name = F.coalesce(c.front_matter(F.col("text"), "title"), stem)
+    return found.select("path", "sha256", *values, name.alias("name"), c.body_of(F.col("text")).alias("body"))
+
+
 def tail(spark: SparkSession, folder: str, offsets: DataFrame) -> DataFrame:
     """(path, text, next): what each file holds behind its stored offset (path, offset; none is 0); a file that is shorter than that is read
     from its start. Only whole lines are taken, `next` is the offset behind them."""

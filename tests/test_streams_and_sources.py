@@ -65,3 +65,11 @@ def test_state_goes_on_over_batches(spark, tmp_path):
             events.run(f(events.stream(spark, f"{tmp_path}/in-{name}")), f"{tmp_path}/{name}", f"{tmp_path}/{name}-state")
         rows = spark.read.parquet(f"{tmp_path}/{name}").collect()
         assert {r["event_id"] if name == "c" else r["last"] for r in rows} == want
+
+
+def test_markdown_files(spark, tmp_path):
+    (tmp_path / "v" / "deep").mkdir(parents=True)
+    for name, body in (("a.md", "---\ntitle: 'A b'\nscope: x\n---\n\n# Text\nmore"), ("deep/plain.md", "no head\n---\n"), ("skip.txt", "---\ntitle: no\n---\n")):
+        (tmp_path / "v" / name).write_text(body)
+    got = sorted((r["name"], r["title"], r["scope"], r["body"]) for r in transcripts.markdown(spark, f"{tmp_path}/v").collect())
+    assert got == [("A b", "A b", "x", "# Text\nmore"), ("plain", None, None, "no head\n---\n")]
