@@ -106,7 +106,6 @@ class Keeping(StatefulProcessor):
 
 
 def with_state(events: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return events.groupBy("user_id").transformWithStateInPandas(processor, schema, "append", "processingTime")
 
 
@@ -126,9 +125,11 @@ def kept_values(events: DataFrame, ttl_seconds: float = 300.0) -> DataFrame:
 
 
 def run_until(df: DataFrame, folder: str, checkpoint: str, done: Callable[[DataFrame], bool], every: str = "500 milliseconds", most_seconds: float = 120.0) -> None:
-    """Runs by the clock, so timers are due, until what has been written satisfies `done`."""
+    """Runs by the clock, so timers are due, until what has been written satisfies `done`. The state is in RocksDB; the session's own setting is put back."""
+    spark, ends, name = df.sparkSession, time.time() + most_seconds, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
     stream = df.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()
-    spark, ends = df.sparkSession, time.time() + most_seconds
     try:
         while not ((stream.lastProgress or {}).get("batchId") is not None and done(spark.read.schema(df.schema).parquet(folder))):
             if stream.exception():
@@ -138,6 +139,7 @@ def run_until(df: DataFrame, folder: str, checkpoint: str, done: Callable[[DataF
             time.sleep(0.5)
     finally:
         stream.stop()
+        spark.conf.set(name, before)
 
 
 # Late rows
