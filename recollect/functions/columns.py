@@ -66,6 +66,35 @@ def search_words(query: Column, most: int = 8) -> Column:
     return F.when(F.size(found) > 0, found).when(bare != "", F.array(bare)).otherwise(F.array().cast("array<string>"))
 
 
+# What a question and a text share
+
+
+def names(text: Column) -> Column:
+    """Capitalised words that don't begin a sentence."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)"), F.lit(1)))
+
+
+def quotations(text: Column) -> Column:
+    """What stands between double quotation marks."""
+    return F.filter(F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), lambda x: F.trim(x) != "")
+
+
+def dates(text: Column) -> Column:
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1)), lambda x: x.try_cast("date")), lambda x: x.isNotNull())
+
+
+def closeness(a: Column, b: Column, days: int = 30) -> Column:
+    """1 for a common date, falling to 0 over some days; 0 without a date on either side."""
+    gaps = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.abs(F.datediff(x, y)))))
+    return F.coalesce(F.greatest(F.lit(0.0), 1 - F.array_min(gaps) / F.lit(days)), F.lit(0.0))
+
+
+def boosted_distance(base: Column, person: Column, quote: Column, near: Column, overlap: Column, known: Column) -> Column:
+    """A distance less what a text shares with a question: a name and a quotation take a share of it, dates and words a step, a known symbol half."""
+    less = F.when(person, 0.4 * base).otherwise(0.0) + F.when(quote, 0.6 * base).otherwise(0.0) + 0.2 * near + 0.3 * overlap + 0.5 * known * base
+    return F.least(F.lit(2.0), F.greatest(F.lit(-2.0), base - less))
+
+
 # Markdown
 
 

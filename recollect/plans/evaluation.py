@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.functions import columns as c
 from recollect.functions.words import STOP_WORDS
 from recollect.operators import index, lines, ranking
 from recollect.plans.registry import Tables, query
@@ -208,3 +209,31 @@ def weight_gate(t: Tables):
     long = means.select("beta", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in ("ndcg_10", "any_turn_5", "all_turn_5")))).alias("m")).select("beta", "m.*")
     both = long.where("beta = 0.4").select("measure", F.col("v").alias("base")).join(long.where("beta = 0.6").select("measure", F.col("v").alias("now")), "measure")
     return both.select("measure", F.round("base", 6).alias("base"), F.round("now", 6).alias("now"), F.when(F.col("now") < F.col("base") - 0.0001, "fail").otherwise("pass").alias("verdict"))
+
+
+BOOSTED = f"""WITH f AS (SELECT conv_id, array_to_string(regexp_split_to_array(coalesce(text, ''), '\\s+')[1:3], ' ') AS quote FROM conversations WHERE turn = 0),
+q AS (SELECT conv_id, quote, 'When did ' || CASE conv_id % 2 WHEN 0 THEN 'Anna' ELSE 'Berta' END || ' say "' || quote || '" near 2024-01-' || (10 + conv_id % 10) || '?' AS question FROM f),
+t AS (SELECT conv_id, turn, 'Note of 2024-01-' || (10 + turn) || ' by ' || CASE turn % 2 WHEN 0 THEN 'Anna' ELSE 'Berta' END || ': ' || coalesce(text, '') AS content FROM conversations),
+b AS (SELECT t.*, q.quote, list_distinct({words_sql("question")}) AS a, {words_sql("content")} AS w, 1 - list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])) AS base
+  FROM t JOIN q USING (conv_id) JOIN embeddings e ON e.vec_id = (t.conv_id * 8 + t.turn) % 500 JOIN embeddings f ON f.vec_id = (t.conv_id * 8 + 7) % 500)
+SELECT conv_id, turn, round(least(2, greatest(-2, base - CASE WHEN conv_id % 2 = turn % 2 THEN 0.4e0 * base ELSE 0 END - CASE WHEN trim(quote) <> '' AND contains(content, quote) THEN 0.6e0 * base ELSE 0 END
+  - 0.2e0 * greatest(0, 1 - abs(conv_id % 10 - turn) / 30e0) - 0.3e0 * len(list_intersect(a, w)) / len(a))), 6) AS distance FROM b"""
+
+
+@query("S15 T18", BOOSTED)
+def text_boosts(t: Tables):
+    """Distances of a conversation's turns to a question about it, less what is found in both texts: a name, a quotation, dates, words."""
+    k, n, said = F.col("conv_id"), F.col("turn"), F.coalesce("text", F.lit(""))
+    name = lambda x: F.when(x % 2 == 0, "Anna").otherwise("Berta")
+    turns = t("conversations")
+    opening = turns.where("turn = 0").select("conv_id", F.array_join(F.slice(F.split(said, r"\s+"), 1, 3), " ").alias("quote"))
+    asked = opening.select("conv_id", F.concat(F.lit("When did "), name(k), F.lit(' say "'), "quote", F.lit('" near 2024-01-'), 10 + k % 10, F.lit("?")).alias("question"))
+    rows = turns.select("conv_id", "turn", F.concat(F.lit("Note of 2024-01-"), 10 + n, F.lit(" by "), name(n), F.lit(": "), said).alias("content")).join(asked, "conv_id")
+    vec = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    rows = rows.withColumn("vec_id", (k * 8 + n) % 500).join(vec, "vec_id").withColumn("q_vec", (k * 8 + 7) % 500).join(vec.select(F.col("vec_id").alias("q_vec"), F.col("e").alias("qe")), "q_vec")
+    base = 1 - F.aggregate(F.zip_with("e", "qe", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    q, content = F.col("question"), F.col("content")
+    words = F.array_distinct(lines.terms(q))
+    overlap = F.size(F.array_intersect(words, lines.terms(content))) / F.size(words)
+    found = c.boosted_distance(base, F.arrays_overlap(c.names(q), c.names(content)), F.exists(c.quotations(q), lambda x: F.contains(content, x)), c.closeness(c.dates(q), c.dates(content)), overlap, F.lit(0.0))
+    return rows.select("conv_id", "turn", F.round(found, 6).alias("distance"))

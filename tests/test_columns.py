@@ -91,3 +91,16 @@ def test_search_words(spark):
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", c.search_words(F.col("s")).alias("w")).collect()
     got = [r["w"] for r in sorted(rows)]
     assert got == [["hotel", "can", "book", "near", "restaurant"], ["who is it"], [], ["word"] * 8, ["work", "hotel"], ["Éa", "É"], []]
+
+
+def test_what_a_question_and_a_text_share(spark):
+    said = 'When did Anna and Élise meet? "not this" nor "  ", said Tom on 2024-02-30 or 2024-03-01.'
+    row = spark.createDataFrame([(said,)], "s string").select(c.names(F.col("s")).alias("n"), c.quotations(F.col("s")).alias("q"), c.dates(F.col("s")).alias("d")).first()
+    assert row["n"] == ["Anna", "Élise", "Tom"] and row["q"] == ["not this"] and row["d"] == [dt.date(2024, 3, 1)]
+    one = spark.range(1)
+    day = lambda *x: F.array(*(F.lit(v).cast("date") for v in x)) if x else F.array().cast("array<date>")
+    near = one.select(c.closeness(day("2024-01-01", "2024-01-20"), day("2024-01-23")).alias("a"), c.closeness(day(), day("2024-01-01")).alias("b"), c.closeness(day("2024-01-01"), day("2025-01-01")).alias("c")).first()
+    assert tuple(near) == pytest.approx((0.9, 0.0, 0.0))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0.0)
+    got = one.select(c.boosted_distance(F.lit(1.0), yes, no, zero, zero, zero), c.boosted_distance(F.lit(0.5), yes, yes, F.lit(1.0), F.lit(1.0), F.lit(1.0)), c.boosted_distance(F.lit(9.0), no, no, zero, zero, zero)).first()
+    assert tuple(got) == pytest.approx((0.6, -0.75, 2.0))
