@@ -114,7 +114,8 @@ def contained(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id and fingerprint of every row; null text is empty, null ids and repeated rows stay as they are."""
+    """doc_id and fingerprint of every row; null text is empty, null ids and repeated rows stay as they are, very long texts are taken whole, an
+    empty table gives no rows."""
 
     def run(batches):
         for whole in batches:
