@@ -60,8 +60,8 @@ def secondary_lookup(t: Tables):
 
 @query("C16", """SELECT user_id, arg_max('log/' || CAST(value AS INT) || '.jsonl', (ts, event_id)) AS path FROM events WHERE event_type = 'view' GROUP BY user_id""")
 def registered_sources(t: Tables):
-    """The transcript each session has registered last, from a key-value table."""
-    kv = t("events").select("user_id", F.when(F.col("event_type") == "view", "_transcript_path").otherwise(F.col("event_type")).alias("key"), F.concat(F.lit("log/"), F.round("value", 0).cast("int"), F.lit(".jsonl")).alias("value"), "ts", "event_id")
+    """The transcript each session has registered last, from a key-value table. Halves go to the even number, as in a cast of the SQL."""
+    kv = t("events").select("user_id", F.when(F.col("event_type") == "view", "_transcript_path").otherwise(F.col("event_type")).alias("key"), F.concat(F.lit("log/"), F.rint("value").cast("int"), F.lit(".jsonl")).alias("value"), "ts", "event_id")
     return kv.where("key = '_transcript_path'").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("path"))
 
 
