@@ -137,20 +137,19 @@ def adaptive_fusion(t: Tables):
     return both.select("id", F.round(fused / (1 + F.exp(-20 * (fused - 0.6))), 6).alias("score"))
 
 
-POOLED = f"""WITH {dialect.render(catalog.BM25, dialect.DUCK)}, {dialect.render(catalog.VECTOR, dialect.DUCK)},
-a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) AS r FROM scored QUALIFY r <= 200),
-b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id) AS r FROM near QUALIFY r <= 50)
+FUSED = f"""WITH {dialect.render(catalog.BM25, dialect.DUCK)}, {dialect.render(catalog.VECTOR, dialect.DUCK)},
+a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) AS r FROM scored),
+b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(sim, 9) DESC, vec_id) AS r FROM near)
 SELECT coalesce(a.id, b.id) AS id, round((coalesce(1e0 / (60 + a.r), 0) + coalesce(1e0 / (60 + b.r), 0)) / (2e0 / 61), 6) AS score FROM a FULL JOIN b ON a.id = b.id"""
 
 
-@query("W3", POOLED)
+@query("W3", FUSED)
 def rrf_fusion(t: Tables):
-    """Reciprocal ranks of the two pools."""
-    words = bm25(t("documents")).select(F.col("doc_id").alias("id"), F.round("bm25", 9).alias("s")).orderBy(F.desc("s"), "id").limit(200)
-    close = near(t).select(F.col("vec_id").alias("id"), F.round("sim", 9).alias("s")).orderBy(F.desc("s"), "id").limit(50)
-    place = F.row_number().over(Window.orderBy(F.desc("s"), "id"))  # pools of a bounded size
+    """Reciprocal ranks of all rows that the keywords or the vector find."""
+    words = bm25(t("documents")).select(F.col("doc_id").alias("id"), (-F.round("bm25", 9)).alias("s"))
+    close = near(t).select(F.col("vec_id").alias("id"), (-F.round("sim", 9)).alias("s"))
     share = lambda c: F.coalesce(1.0 / (60 + F.col(c)), F.lit(0.0))
-    both = words.select("id", place.alias("a")).join(close.select("id", place.alias("b")), "id", "full_outer")
+    both = ranks.numbered(words, "s", "id", name="a").select("id", "a").join(ranks.numbered(close, "s", "id", name="b").select("id", "b"), "id", "full_outer")
     return both.select("id", F.round((share("a") + share("b")) / (2.0 / 61), 6).alias("score"))
 
 
