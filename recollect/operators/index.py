@@ -1,7 +1,7 @@
 """An inverted index that is kept and changed by batches.
 
 A folder of Parquet tables, a segment a batch: `postings` (term, id, scope, tf, dl), sorted by ranges of term and id, so a lookup reads the row groups of its terms
-alone, however frequent another term is; `documents` (id, scope, dl, terms); `removed` (id: gone from all earlier segments); `frequencies` (term, scope,
+alone, however frequent another term is; `documents` (id, scope, dl, terms, and in what a batch wrote tfs); `removed` (id: gone from all earlier segments); `frequencies` (term, scope,
 change of the document frequency); `sizes` (scope, changes of documents and their lengths). A batch is written beside what is there: its cost follows its own
 size and that of the documents it removes. Readers add the segments up; `compacted` writes them as one.
 """
@@ -35,12 +35,13 @@ class Index:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/segment={segment}")  # a repeated batch replaces itself
 
     def terms_of(self, rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-        """keys, term, tf. The stemmer sees each distinct word once."""
-        counts = rows.select(*keys, F.explode(lines.terms(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+        """keys, term, tf, and a row with a null term and tf 0 for a row without terms. Texts are dealt by their first key once; only
+        stemmed counts are dealt by it again, as Spark forgets the order behind Python."""
+        words = rows.repartition(keys[0]).select(*keys, F.explode_outer(lines.terms(F.col(text))).alias("term"))
+        counts = words.groupBy(*keys, "term").agg(F.count("term").alias("tf"))
         if not self.stems:
             return counts
-        stems = counts.select("term").distinct().select("term", lines.stemmed("term").alias("stem"))
-        return counts.join(stems, "term").groupBy(*keys, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+        return counts.withColumn("term", lines.stemmed("term")).repartition(keys[0]).groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
 
     def change(self, segment: int, added: DataFrame, removed: DataFrame | None = None) -> None:
         """Batch number `segment`, from 0: `removed` (id) leaves all earlier segments, `added` (id, scope, text; ids once) comes. A changed document is both. Ids
@@ -48,15 +49,13 @@ class Index:
         gone = removed.select(F.col("id").cast("long").alias("id")).distinct() if removed is not None else self.spark.createDataFrame([], "id long")
         self.write("removed", gone, segment)
         docs = added.select(F.col("id").cast("long").alias("id"), F.coalesce("scope", F.lit("general")).alias("scope"), F.col("text").cast("string").alias("text"))
-        found = self.terms_of(docs, ["id", "scope"], "text").groupBy("id", "scope").agg(F.sum("tf").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("found"))
-        whole = docs.select("id", "scope").join(found, ["id", "scope"], "left").withColumn("dl", F.coalesce("dl", F.lit(0).cast("long")))
-        path = f"{self.folder}/counted/segment={segment}"
-        whole.write.mode("overwrite").parquet(path)
-        whole = self.spark.read.parquet(path)
-        rows = whole.select("id", "scope", "dl", F.explode("found").alias("f")).select("f.term", "id", "scope", "f.tf", "dl")
+        found = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
+        whole = self.terms_of(docs, ["id", "scope"], "text").groupBy("id", "scope").agg(F.sum("tf").alias("dl"), found.alias("found"))
+        self.write("documents", whole.select("id", "scope", "dl", F.col("found.term").alias("terms"), F.col("found.tf").alias("tfs")), segment)
+        whole = self.spark.read.schema("id long, scope string, dl long, terms array<string>, tfs array<long>").parquet(f"{self.folder}/documents/segment={segment}")
+        rows = whole.select("id", "scope", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("f")).select(F.col("f.terms").alias("term"), "id", "scope", F.col("f.tfs").alias("tf"), "dl")
         self.write("postings", rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), segment)
-        self.write("documents", whole.select("id", "scope", "dl", F.transform("found", lambda f: f["term"]).alias("terms")), segment)
-        change = whole.select("scope", F.lit(1).alias("sign"), "dl", F.transform("found", lambda f: f["term"]).alias("terms"))
+        change = whole.select("scope", F.lit(1).alias("sign"), "dl", "terms")
         if segment:
             lost = self.live("documents", segment - 1).join(gone, "id", "left_semi")
             change = change.unionByName(lost.select("scope", F.lit(-1).alias("sign"), "dl", "terms"))
@@ -87,7 +86,7 @@ class Index:
 
     def asked(self, questions: DataFrame) -> DataFrame:
         """question, term, each once. questions: question, text."""
-        return self.terms_of(questions.select("question", "text"), ["question"], "text").select("question", "term")
+        return self.terms_of(questions.select("question", "text"), ["question"], "text").where("term IS NOT NULL").select("question", "term")
 
     def scored(self, questions: DataFrame, scopes: list[str] | None = None, few: int = 1 << 16) -> DataFrame:
         """question, id, bm25 of all documents with a term of the question. Frequencies and sizes are those of `scopes` (None: all). Of

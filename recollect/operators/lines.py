@@ -153,14 +153,13 @@ def terms(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def stemmed(s: pd.Series) -> pd.Series:
-    return s.map(stem.stem)
+    return s.map(stem.stem, na_action="ignore")
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, stem and count of every stemmed term. The stemmer sees each distinct word once."""
-    counts = docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    stems = counts.select("term").distinct().select("term", stemmed("term").alias("stem"))
-    return counts.join(stems, "term").groupBy(key, "stem").agg(F.sum("n").alias("n"))
+    """key, stem and count of every stemmed term. Texts are dealt by key once, the stemmer sees each word of a text once; no join by term."""
+    counts = docs.select(key, text).repartition(key).select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return counts.withColumn("stem", stemmed("term")).groupBy(key, "stem").agg(F.sum("n").alias("n"))
 
 
 PRIORITY = ["Temporal", "Preference", "User", "Default"]
