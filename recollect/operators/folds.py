@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,20 +82,90 @@ def first_of_each(rows: DataFrame, keys: list[str], n: int, *order) -> DataFrame
     return rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("k") <= n)
 
 
+# Characters of all patterns that a task holds as one trie, and places of a text that are looked at together.
+MOST_IN_TRIE, BLOCK = 1 << 22, 1 << 20
+
+
 def contained(rules: DataFrame, texts: DataFrame, pattern: str, text: str, width: int) -> DataFrame:
-    """`rules` with `hits`, the number of texts that contain their pattern, where there are any. Patterns are about `width` long: the
-    texts' own pieces of each length that occurs meet them in an equi join."""
-    lengths = sorted(r[0] for r in rules.select(F.length(pattern)).distinct().collect())  # a few numbers
-    wanted = rules.select(F.col(pattern).alias("_piece")).distinct()
-    hits = None
-    for n in lengths:
+    """`rules` with `hits`, the number of texts that contain their pattern, where there are any. The patterns, whose characters are counted first, form a
+    trie that each task passes its texts through, so the work is a text's length; with too many for that, the texts' pieces meet them in a join."""
+    wanted = rules.select(F.col(pattern).alias("_piece")).where("_piece IS NOT NULL").distinct()
+    size = wanted.agg(F.sum(F.length("_piece")), F.count("*")).first()
+    if max(size[0] or 0, size[1]) > MOST_IN_TRIE:
+        hits = _contained_by_join(wanted, texts, text)
+    else:
+        hits = _contained_by_trie([r[0] for r in wanted.collect()], texts, text)
+    return rules.join(hits.withColumnRenamed("_piece", pattern), pattern)
+
+
+def _contained_by_join(wanted: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """(_piece, hits): pieces of each length that occurs."""
+    hits = texts.sparkSession.createDataFrame([], "_piece string, hits long")
+    for n in sorted(r[0] for r in wanted.select(F.length("_piece")).distinct().collect()):  # a few numbers
         cut = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(F.col(text), i, F.lit(n)))  # noqa: B023
         pieces = texts.where(F.length(text) >= n).select(F.explode(F.array_distinct(cut)).alias("_piece"))
-        met = pieces.join(wanted.where(F.length("_piece") == n), "_piece").groupBy("_piece").agg(F.count("*").alias("hits"))
-        hits = met if hits is None else hits.unionByName(met)
-    if hits is None:
-        return rules.withColumn("hits", F.lit(0).cast("long")).limit(0)
-    return rules.join(hits.withColumnRenamed("_piece", pattern), pattern)
+        hits = hits.unionByName(pieces.join(wanted.where(F.length("_piece") == n), "_piece").groupBy("_piece").agg(F.count("*").alias("hits")))
+    return hits
+
+
+def _contained_by_trie(patterns: list[str], texts: DataFrame, text: str) -> DataFrame:
+    """(_piece, hits). A node is a number, and a child is found by node * alphabet + character in a sorted array, for all places of a block at once."""
+    alphabet = np.unique(np.frombuffer("".join(patterns).encode("utf-32-le"), np.uint32))
+    wide, rank = len(alphabet), {chr(c): k for k, c in enumerate(alphabet)}
+    child: dict[int, int] = {}
+    ends = [-1]
+    for k, p in enumerate(patterns):
+        node = 0
+        for x in p:
+            node = child.setdefault(node * wide + rank[x], len(ends))
+            if node == len(ends):
+                ends.append(-1)
+        ends[node] = k
+    steps = np.array(sorted(child), np.int64)
+    goes, ends = np.array([child[k] for k in steps.tolist()], np.int32), np.array(ends, np.int64)
+    dense = len(ends) * wide <= 1 << 22  # a cell a node and character
+
+    def children(node: np.ndarray, x: np.ndarray, table: np.ndarray | None) -> np.ndarray:
+        key = node * wide + x
+        if table is not None:
+            return np.where(x >= 0, table[key], -1)
+        k = np.minimum(np.searchsorted(steps, key), len(steps) - 1)
+        return np.where((x >= 0) & (steps[k] == key), goes[k], -1)
+
+    def met(rows: list[str], known: np.ndarray, table: np.ndarray | None) -> np.ndarray:
+        """Numbers of the patterns in each of the rows, once a row."""
+        codes = known[np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)]
+        stops = np.cumsum([len(r) for r in rows])
+        found = [np.arange(len(rows)) * len(patterns) + ends[0]] if ends[0] >= 0 else []
+        for at in range(0, len(codes) if wide else 0, BLOCK):
+            place = np.arange(at, min(at + BLOCK, len(codes)))
+            row, node, deep = np.searchsorted(stops, place, "right"), np.zeros(len(place), np.int64), 0
+            while len(place):
+                inside = place + deep < stops[row]
+                place, row, node = place[inside], row[inside], node[inside]
+                node = children(node, codes[place + deep], table)
+                goes_on = node >= 0
+                place, row, node, deep = place[goes_on], row[goes_on], node[goes_on].astype(np.int64), deep + 1
+                here = ends[node] >= 0
+                found.append(row[here] * len(patterns) + ends[node[here]])
+            found = [np.unique(np.concatenate(found))] if found else []
+        return (found[0] if found else np.zeros(0, np.int64)) % len(patterns)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.full(0x110000, -1, np.int32)
+        known[alphabet] = np.arange(wide)
+        table = None
+        if dense:
+            table = np.full(len(ends) * wide, -1, np.int32)
+            table[steps] = goes
+        total = np.zeros(len(patterns), np.int64)
+        for batch in batches:
+            if batch.num_rows and patterns:
+                total += np.bincount(met(batch.column(0).to_pylist(), known, table), minlength=len(patterns))
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array([patterns[k] for k in some], pa.string()), pa.array(total[some])], names=["_piece", "hits"])
+
+    return texts.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "_piece string, hits long").groupBy("_piece").agg(F.sum("hits").alias("hits"))
 
 
 def all_parts(items: DataFrame, key: str, parts: str, docs: DataFrame, text: str, most: int = 1 << 20) -> DataFrame:

@@ -296,8 +296,7 @@ def disclosure(t: Tables):
   WHERE text <> ''), h AS (SELECT p, count(*) AS hits FROM (SELECT DISTINCT p FROM r) a JOIN conversations c ON contains(lower(c.text), a.p)
   GROUP BY p) SELECT item_id, CAST(sum(hits) AS BIGINT) AS hits FROM r JOIN h USING (p) GROUP BY item_id""")
 def guardrails(t: Tables):
-    """Turns that contain a rule's pattern. Patterns are pieces of a few characters, so a turn's own pieces of those lengths meet them in an
-    equi join."""
+    """Turns that contain a rule's pattern. Patterns are pieces of a few characters; all of them are looked for in one pass through a turn."""
     text = F.col("text")
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / 5).cast("int")), lambda i: F.lower(F.substring(text, i * 5 + 1, F.lit(5))))
     rules = t("benchmark").where("text <> ''").select("item_id", F.explode(F.array_distinct(cut)).alias("pattern"))
