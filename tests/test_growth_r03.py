@@ -1,5 +1,8 @@
 """Work that grows no faster than its input."""
 
+import time
+
+from recollect.functions import texts
 from recollect.operators import folds
 
 
@@ -17,3 +20,13 @@ def test_patterns_are_found_in_one_pass(spark, monkeypatch, capsys):
     monkeypatch.setattr(folds, "MOST_IN_TRIE", 1 << 22)
     monkeypatch.setattr(folds, "BLOCK", 7)
     assert {r["item"]: r["hits"] for r in folds.contained(rules, short, "pattern", "text", 5).collect()} == {1: 1, 2: 1, 3: 1, 4: 3, 7: 1, 8: 4}
+
+
+def test_compaction_reads_what_the_budget_holds():
+    for text in ("word. " * 1_000_000, "a\n\n" * 1_000_000, "x" * 6_000_000, "FooBar" * 1_000_000):
+        start = time.process_time()
+        short = texts.compacted(text, 120)
+        assert time.process_time() - start < 1.5  # by counting whole texts, minutes
+        assert short.endswith(texts.CUT) and texts.token_estimate(short) <= 120
+        kept = len(short) - len(texts.CUT)
+        assert texts.token_estimate(text[: kept + 4] + texts.CUT) > 120 or short.endswith("\n\n" + texts.CUT)
