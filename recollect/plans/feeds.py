@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.plans.catalog import redacted_sql
@@ -18,6 +18,11 @@ def written(df: DataFrame, label: str, **options) -> str:
     return path
 
 
+def named(key: str) -> Column:
+    """The path of a key's own file."""
+    return sinks.dealt(F.col(key), F.concat(F.lit(f"{key}="), key, F.lit(".txt")))
+
+
 def turns(t: Tables) -> DataFrame:
     return t("conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -64,9 +69,9 @@ def message_documents(t: Tables):
     k = F.col("conv_id") % 3
     body = F.when(k == 0, F.to_json("m")).when(k == 1, F.to_json(F.struct(F.col("m").alias("messages")))).otherwise(F.array_join(F.transform("m", lambda m: F.to_json(m)), "\n"))
     path = staging.new_path(t.spark, "documents")
-    grouped.select("conv_id", body.alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(path)
-    read = transcripts.documents(t.spark, f"{path}/*/*.txt")
-    conv = F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("long")
+    sinks.write_files(grouped.select(named("conv_id").alias("path"), F.concat(body, F.lit("\n")).alias("value")), path)
+    read = transcripts.documents(t.spark, path)
+    conv = F.regexp_extract("file", r"conv_id=(-?\d+)", 1).cast("long")
     return read.select(conv.alias("conv_id"), F.col("place").cast("long").alias("place"), "role", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -87,8 +92,10 @@ def step_logs(t: Tables):
     kind = F.when(F.col("role") == "user", "USER_INPUT").when(F.col("role") == "assistant", "PLANNER_RESPONSE").otherwise("TOOL")
     line = F.to_json(F.struct(F.col("turn").cast("int").alias("step_index"), kind.alias("type"), F.col("text").alias("content"), F.concat(F.lit("2024-01-0"), F.col("turn") + 1).alias("created_at")))
     path = staging.new_path(t.spark, "logs")
-    turns(t).select("conv_id", line.alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(path)
-    return transcripts.step_log(t.spark, f"{path}/*/*.txt").select(F.sha2("text", 256).alias("text_sha256"), "created_at")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "value"))), lambda x: F.concat(x["value"], F.lit("\n"))), "")
+    logs = turns(t).select("conv_id", "turn", line.alias("value")).groupBy("conv_id").agg(body.alias("value"))
+    sinks.write_files(logs.select(named("conv_id").alias("path"), "value"), path)
+    return transcripts.step_log(t.spark, path).select(F.sha2("text", 256).alias("text_sha256"), "created_at")
 
 
 @query("C14", "SELECT sha256('# ' || item_id || chr(10) || coalesce(text, '') || chr(10)) AS sha256 FROM benchmark WHERE item_id % 5 > 0")
@@ -96,8 +103,8 @@ def workspace_files(t: Tables):
     """Hashes of a folder's files; folders that are ignored aren't walked."""
     rows = t("benchmark").select("item_id", F.when(F.col("item_id") % 5 == 0, "node_modules").otherwise("docs").alias("folder"), F.concat(F.lit("# "), "item_id", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("value"))
     path = staging.new_path(t.spark, "workspace")
-    for folder in ("docs", "node_modules"):
-        rows.where(F.col("folder") == folder).select("item_id", "value").repartition("item_id").write.partitionBy("item_id").text(f"{path}/{folder}")
+    name = F.concat("folder", F.lit("/"), named("item_id"))
+    sinks.write_files(rows.select(name.alias("path"), F.concat("value", F.lit("\n")).alias("value")), path)
     return transcripts.files(t.spark, path, "*.txt", depth=10).select("sha256")
 
 
@@ -110,10 +117,10 @@ def markdown_files(t: Tables):
     short = F.concat(F.lit("---\ntitle: Item "), i, F.lit("\n---\n"), body)
     path = staging.new_path(t.spark, "vault")
     text = F.when(i % 3 == 1, long).when(i % 3 == 2, short).otherwise(body)
-    t("benchmark").select("item_id", text.alias("value")).repartition("item_id").write.partitionBy("item_id").text(path)
+    sinks.write_files(t("benchmark").select(named("item_id").alias("path"), F.concat(text, F.lit("\n")).alias("value")), path)
     read = transcripts.markdown(t.spark, path, pattern="*.txt")
     ends = F.concat(F.regexp_replace("body", r"\n+\z", ""), F.lit("\n"))  # the writer ends a file by a line break
-    return read.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "title", "scope", F.sha2(ends, 256).alias("body_sha256"))
+    return read.select(F.regexp_extract("path", r"item_id=(-?\d+)", 1).cast("long").alias("item_id"), "title", "scope", F.sha2(ends, 256).alias("body_sha256"))
 
 
 @query("M1", """SELECT conv_id, CAST(CASE conv_id % 3 WHEN 1 THEN 0 ELSE 7 END AS BIGINT) AS start, CASE conv_id % 3 WHEN 0 THEN 'line 2' || chr(10)
@@ -122,9 +129,9 @@ def tailed_files(t: Tables):
     """What files hold behind their stored offset; a file that shrank is read anew."""
     path = staging.new_path(t.spark, "tail")
     ids = t("conversations").where("conv_id % 3 < 2").select("conv_id").distinct()
-    ids.select("conv_id", F.lit("line 1\nline 2").alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(path)
+    sinks.write_files(ids.select(named("conv_id").alias("path"), F.lit("line 1\nline 2\n").alias("value")), path)
     found = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    conv = F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long")
+    conv = F.regexp_extract("path", r"conv_id=(-?\d+)", 1).cast("long")
     offsets = found.select("path", F.when(conv % 3 == 0, 7).otherwise(1000).alias("offset"))
     read = transcripts.tail(t.spark, path, offsets)
     return read.select(conv.alias("conv_id"), F.when(conv % 3 == 0, 7).otherwise(0).cast("long").alias("start"), "text")

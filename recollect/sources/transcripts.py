@@ -36,8 +36,8 @@ MESSAGES = "array<struct<role: string, content: string>>"
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(file, place, role, text): a file that is an array of messages, or an object with `messages`, or else lines of messages."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
+    """(file, place, role, text) of a file, or of all below a folder: a file that is an array of messages, or an object with `messages`, or else lines of messages."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
     listed = F.from_json("body", MESSAGES)
     inner = F.from_json("body", f"messages {MESSAGES}")["messages"]
     each = F.filter(F.transform(c.lines(F.col("body")), lambda x: F.from_json(x, "role string, content string")), lambda m: m["role"].isNotNull() | m["content"].isNotNull())
@@ -71,8 +71,8 @@ def _pairs(body: str | None) -> list[dict[str, str]]:
 
 
 def step_log(spark: SparkSession, path: str) -> DataFrame:
-    """User inputs and planner responses of a log in one document a file, in order; the first created_at dates it."""
-    raw = spark.read.schema("step_index int, type string, content string, created_at string").json(path).withColumn("file", F.input_file_name())
+    """User inputs and planner responses of a log in one document a file, in order; the first created_at dates it. A file, or all below a folder."""
+    raw = spark.read.option("recursiveFileLookup", "true").schema("step_index int, type string, content string, created_at string").json(path).withColumn("file", F.input_file_name())
     kept = raw.where(F.col("type").isin("USER_INPUT", "PLANNER_RESPONSE"))
     parts = F.array_sort(F.collect_list(F.struct("step_index", F.concat(F.lit("## "), "type", F.lit("\n"), "content").alias("s"))))
     return kept.groupBy("file").agg(F.array_join(F.transform(parts, lambda x: x["s"]), "\n\n").alias("text"), F.min("created_at").alias("created_at"))

@@ -1,9 +1,14 @@
 """Work that grows no faster than its input."""
 
+import glob
+import os
 import time
 
 from recollect.functions import texts
 from recollect.operators import folds
+from recollect.plans import feeds
+from recollect.plans.registry import Tables
+from recollect.sources import sinks, transcripts
 
 
 def test_patterns_are_found_in_one_pass(spark, monkeypatch, capsys):
@@ -30,3 +35,21 @@ def test_compaction_reads_what_the_budget_holds():
         assert short.endswith(texts.CUT) and texts.token_estimate(short) <= 120
         kept = len(short) - len(texts.CUT)
         assert texts.token_estimate(text[: kept + 4] + texts.CUT) > 120 or short.endswith("\n\n" + texts.CUT)
+
+
+def test_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/many"
+    rows = spark.range(300).selectExpr("id AS k", "IF(id = 7, NULL, concat('{\"role\": \"r', id, '\"}\\n')) AS value")
+    sinks.write_files(rows.select(feeds.named("k").alias("path"), "value"), folder)
+    found = glob.glob(f"{tmp_path}/many/*/*")
+    assert len(found) == 300 and len(os.listdir(f"{tmp_path}/many")) <= 256 and not glob.glob(f"{tmp_path}/many/*/.*")
+    assert {os.path.basename(x): open(x).read() for x in found}["k=8.txt"] == '{"role": "r8"}\n'
+    assert transcripts.documents(spark, folder).count() == 299
+    roots = []
+    monkeypatch.setattr(transcripts, "step_log", lambda s, path, f=transcripts.step_log: roots.append(path) or f(s, path))
+    monkeypatch.setattr(transcripts, "documents", lambda s, path, f=transcripts.documents: roots.append(path) or f(s, path))
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert feeds.step_logs(t).count() > 0 and feeds.message_documents(t).count() > 0
+    assert len(roots) == 2 and not any("*" in x for x in roots)  # no root a file
+    for x in roots:
+        assert len(os.listdir(x.removeprefix("file://"))) <= 256
