@@ -164,9 +164,14 @@ def written_results(t: Tables):
 # Streams: the table's rows arrive as files.
 
 
+# Fixed value: rows of an arriving file, and of a task that keeps state.
+ROWS_A_TASK = 250_000
+
+
 def arriving(t: Tables, label: str, files: int = 1, by: str = "user_id") -> DataFrame:
+    """At least so many files, and more of a larger table, so that it isn't written by one task."""
     path = staging.new_path(t.spark, label)
-    t("events").repartition(files, by).write.parquet(path)
+    t("events").repartition(max(files, -(-t("events").count() // ROWS_A_TASK)), by).write.parquet(path)
     return events.stream(t.spark, path)
 
 

@@ -9,6 +9,7 @@ from recollect.operators import folds
 from recollect.plans import feeds
 from recollect.plans.registry import Tables
 from recollect.sources import sinks, transcripts
+from recollect.streaming import events, stateful
 
 
 def test_patterns_are_found_in_one_pass(spark, monkeypatch, capsys):
@@ -53,3 +54,14 @@ def test_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
     assert len(roots) == 2 and not any("*" in x for x in roots)  # no root a file
     for x in roots:
         assert len(os.listdir(x.removeprefix("file://"))) <= 256
+
+
+def test_arriving_files_and_keyed_rows(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(feeds, "ROWS_A_TASK", 100)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    stream = feeds.arriving(t, "many")
+    many = spark.read.parquet(feeds.arriving.__globals__["staging"].shared_dir(spark) + "/recollect-many-*")
+    assert many.count() == t("events").count() and len(many.inputFiles()) > 5  # not one task's file
+    stateful.settled(stream, 1.0).explain()
+    plan = capsys.readouterr().out
+    assert "InPandas" not in plan and "TransformWithState" in plan and "props" not in plan.split("TransformWithState")[-1].split("StreamingRelation")[0]  # rows of four columns, no frame a key
