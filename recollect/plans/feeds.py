@@ -203,7 +203,8 @@ def stream_bursts(t: Tables):
     def write(batch: DataFrame, number: int) -> None:
         batch.select("user_id", "event_id", "n").write.mode("overwrite").parquet(out)
 
-    events.run_batches(events.debounced(arriving(t, "bursting")), write, staging.new_path(t.spark, "bursts-state"), "complete")
+    tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-t("events").count() // ROWS_A_TASK))
+    events.run_batches(events.debounced(arriving(t, "bursting"), tasks=tasks), write, staging.new_path(t.spark, "bursts-state"), "complete", tasks)
     return t.spark.read.parquet(out)
 
 

@@ -23,9 +23,12 @@ def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes",
     return events.withWatermark("ts", late).groupBy(window, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def debounced(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """The last event of each burst of a user."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n"))
+def debounced(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour", tasks: int | None = None) -> DataFrame:
+    """The last event of each burst of a user. With `tasks`, users are dealt to so many before their events are sorted, not after; if it is also the
+    session's number of shuffle partitions, that is the only shuffle."""
+    dealt = events.select("user_id", "ts", "event_id").withWatermark("ts", late)
+    dealt = dealt if tasks is None else dealt.repartition(tasks, "user_id")
+    return dealt.groupBy(F.session_window("ts", gap), "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n"))
 
 
 def once(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -97,6 +100,13 @@ def run(df: DataFrame, folder: str, checkpoint: str) -> None:
     df.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def run_batches(df: DataFrame, write, checkpoint: str, mode: str = "append") -> None:
-    """Calls write(batch, number) for each micro-batch, one after the other, and stops."""
-    df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def run_batches(df: DataFrame, write, checkpoint: str, mode: str = "append", tasks: int | None = None) -> None:
+    """Calls write(batch, number) for each micro-batch, one after the other, and stops. State is dealt to `tasks`, or as the session says; its own setting
+    is put back."""
+    spark, name = df.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, tasks or before)
+    try:
+        df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
