@@ -382,12 +382,19 @@ def uct_select(t: Tables):
     return n.join(total, "parent").groupBy("parent").agg(F.max_by("child", F.struct(F.round(uct, 9), -F.col("child"))).alias("child"))
 
 
+# Fixed value: lines of a task that makes or counts pairs.
+LINES_A_TASK = 250_000
+
+
 @checked("J9")
 def entity_cooccurrence(t: Tables):
-    """Pairs within an order, from its set of suppliers."""
-    sets = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s")).where(F.size("s") > 1)
+    """Pairs within an order, from its set of suppliers. Orders, and then pairs, are dealt to as many tasks as there are lines for, so that no task holds
+    more of them in a larger table."""
+    tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-t("lineitem").count() // LINES_A_TASK))
+    sets = t("lineitem").select("l_orderkey", "l_suppkey").repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("s")).where(F.size("s") > 1)
     pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("left_id"), y.alias("right_id")))))
-    return sets.select(F.explode(pairs).alias("p")).groupBy("p.left_id", "p.right_id").agg(F.count("*").alias("n")).where("n >= 2")
+    dealt = sets.select(F.explode(pairs).alias("p")).select("p.left_id", "p.right_id").repartition(tasks, "left_id", "right_id")
+    return dealt.groupBy("left_id", "right_id").agg(F.count("*").alias("n")).where("n >= 2")
 
 
 @checked("D18")

@@ -6,7 +6,7 @@ import time
 
 from recollect.functions import texts
 from recollect.operators import folds
-from recollect.plans import feeds
+from recollect.plans import basics, feeds
 from recollect.plans.registry import Tables
 from recollect.sources import sinks, transcripts
 from recollect.streaming import events, stateful
@@ -65,3 +65,20 @@ def test_arriving_files_and_keyed_rows(spark, tmp_path, monkeypatch, capsys):
     stateful.settled(stream, 1.0).explain()
     plan = capsys.readouterr().out
     assert "InPandas" not in plan and "TransformWithState" in plan and "props" not in plan.split("TransformWithState")[-1].split("StreamingRelation")[0]  # rows of four columns, no frame a key
+
+
+def test_bursts_are_dealt_to_more_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(feeds, "ROWS_A_TASK", 100)
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(events, "run_batches", lambda df, write, state, mode="append", tasks=None, f=events.run_batches: seen.append(tasks) or f(df, write, state, mode, tasks))
+    t = Tables(spark, "/root/testdata/sf0.001")
+    got = feeds.stream_bursts(t)
+    assert got.agg({"n": "sum"}).first()[0] == t("events").count()
+    assert seen == [-(-t("events").count() // 100)] and seen[0] > 4 and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_pairs_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(basics, "LINES_A_TASK", 500)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    tasks = -(-t("lineitem").count() // 500)
+    assert tasks > 4 and basics.entity_cooccurrence(t).rdd.getNumPartitions() == tasks
