@@ -29,11 +29,15 @@ def first(rows: DataFrame, by: list[str], score: str, k: int, *ties: str) -> Dat
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def blended(by: list[str], beta: Column, steep: Column, centre: Column) -> Column:
-    """Score of `dot` and `bm25` (null: none): bm25 is spread over 0 to 1 within the group, mixed by `beta`, and goes through a gate."""
+def keyword_share(by: list[str]) -> Column:
+    """`bm25` (null: none), spread over 0 to 1 within the group."""
     w = Window.partitionBy(*by)
     low, high = F.min(F.coalesce("bm25", F.lit(0.0))).over(w), F.max(F.coalesce("bm25", F.lit(0.0))).over(w)
-    keyword = F.when(high - low > 1e-6, (F.coalesce("bm25", F.lit(0.0)) - low) / (high - low)).when(high > 1e-6, 1.0).otherwise(0.0)
+    return F.when(high - low > 1e-6, (F.coalesce("bm25", F.lit(0.0)) - low) / (high - low)).when(high > 1e-6, 1.0).otherwise(0.0)
+
+
+def blended(keyword: Column, beta: Column, steep: Column, centre: Column) -> Column:
+    """Score of `dot` (null: none) and a keyword share: mixed by `beta`, and sent through a gate."""
     mixed = (1 - beta) * F.coalesce("dot", F.lit(0.0)) + beta * keyword
     return mixed / (1 + F.exp(-steep * (mixed - centre)))
 

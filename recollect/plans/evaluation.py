@@ -118,7 +118,7 @@ MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in ranking.MEASURES)
 def haystacks(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(questions, their haystacks' turns with bm25 and dot), read from files. A row's place (session, turn) names it."""
     path = question_files(t)
-    asked = transcripts.asked(t.spark, path, lines=True).withColumn("question", F.col("question_id"))
+    asked = staging.staged(transcripts.asked(t.spark, path, lines=True).withColumn("question", F.col("question_id")), "asked")  # the files are long, their heads aren't
     turns = transcripts.questions(t.spark, path, lines=True)
     conv = F.substring("session_id", 2, 20).cast("long")
     rows = turns.select(F.col("question_id").alias("question"), F.struct(conv.alias("conv"), "turn").alias("id"), F.col("session_id").alias("session"), F.col("question").alias("said"), "text", F.col("has_answer").alias("gold"))
@@ -142,9 +142,10 @@ def evaluated(rows: DataFrame, asked: DataFrame, betas: DataFrame | None = None,
     """Measures of each question, and of each `beta` of a grid."""
     by = ["question"] if betas is None else ["beta", "question"]
     frame = rows.groupBy("question").agg(F.count_if("gold").alias("n_gold")).join(asked.select("question", F.size("answer_session_ids").alias("n_sessions")), "question")
+    rows = rows.withColumn("keyword", ranking.keyword_share(["question"]))  # deals the rows by question, before each of them is there for every weight
     if betas is not None:  # a few numbers
         rows, frame, beta = rows.crossJoin(F.broadcast(betas)), frame.crossJoin(F.broadcast(betas)), F.col("beta")
-    scored = rows.withColumn("score", ranking.blended(by, beta, F.lit(20.0), F.lit(0.6)))
+    scored = rows.withColumn("score", ranking.blended(F.col("keyword"), beta, F.lit(20.0), F.lit(0.6)))
     return ranking.measured(ranking.first(scored, by, "score", 25, "id"), frame, by)
 
 

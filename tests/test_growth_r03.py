@@ -6,7 +6,7 @@ import time
 
 from recollect.functions import texts
 from recollect.operators import folds
-from recollect.plans import basics, feeds
+from recollect.plans import basics, evaluation, feeds
 from recollect.plans.registry import Tables
 from recollect.sources import sinks, transcripts
 from recollect.streaming import events, stateful
@@ -82,3 +82,14 @@ def test_pairs_are_dealt_to_more_tasks(spark, monkeypatch):
     t = Tables(spark, "/root/testdata/sf0.001")
     tasks = -(-t("lineitem").count() // 500)
     assert tasks > 4 and basics.entity_cooccurrence(t).rdd.getNumPartitions() == tasks
+
+
+def test_grid_is_crossed_behind_the_shuffle(spark, capsys):
+    rows = spark.createDataFrame([("1", (1, 0), "s1", True, True, 2.0, 0.5), ("1", (1, 1), "s1", False, True, None, 0.9)], "question string, id struct<conv: long, turn: int>, session string, gold boolean, gold_session boolean, bm25 double, dot double")
+    asked = spark.createDataFrame([("1", ["s1"])], "question string, answer_session_ids array<string>")
+    betas = spark.createDataFrame([(0.0,), (1.0,)], "beta double")
+    found = evaluation.evaluated(rows, asked, betas)
+    assert {r["beta"]: r["reciprocal"] for r in found.collect()} == {0.0: 0.5, 1.0: 1.0}
+    found.explain()
+    cut = next(x for x in capsys.readouterr().out.split("== Physical Plan ==")[-1].split("row_number()")[1:] if "keyword" in x)
+    assert cut.index("BroadcastNestedLoopJoin") < cut.index("hashpartitioning(question")  # from the top: the grid stands above the rows' shuffle
